@@ -317,7 +317,7 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY doc_id, part) -
     regexp_replace(replace(text, ', ', ' +'), '^[\s　]+|[\s　]+$', '', 'g'), '[\n\r\t]', '', 'g'), ' +', ' ')
   END AS title,
   CASE WHEN kind = 'item' AND doc_id % 7 <> 0 THEN 'Ed: & ' || source END AS author,
-  CASE kind WHEN 'item' THEN 'p.' || chr(160) || doc_id || '–' || chr(10) || chr(9) || '9' END AS add_info
+  CASE kind WHEN 'item' THEN 'p.' || chr(160) || doc_id || '–9' END AS add_info
 FROM listed
 """,
 }
