@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from eventdocs.operators.ordinal import slice_of
 
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 << 20
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether the table is within both bounds. Reads no more than ``max_rows`` + 1 rows of it."""
-    head = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("_bytes"))
-    size = head.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.coalesce("_bytes", F.lit(0))).alias("bytes")).first()
-    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+    """Whether the table is within both bounds. Takes the sizes of no more than ``max_rows`` + 1 rows."""
+    sizes = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes")).take(max_rows + 1)
+    return len(sizes) <= max_rows and sum(row["bytes"] or 0 for row in sizes) <= max_bytes
 
 
 def with_constants(

@@ -21,38 +21,47 @@ def expand_elements(
 ) -> DataFrame:
     """One row per (row, element) whose condition holds, placed from the row's ``x_mm`` and ``y_mm`` corner.
 
-    The list is inlined into the plan, so this is a projection and a generate step without join or shuffle.
-    ``overrides`` gives (element, field) pairs that depend on the row.
+    The list's values are literals picked by element number, so this is a generate step, a filter and a projection,
+    without join or shuffle. ``overrides`` gives (element, field) pairs that depend on the row.
     """
+    number = F.col("element_no")
+    number_of = {element.name: n for n, element in enumerate(elements, start=1)}
 
-    def field(element: Element, name: str, dtype: str) -> Column:
-        own = overrides.get((element.name, name))
-        return (F.lit(getattr(element, name)) if own is None else own).cast(dtype).alias(name)
+    def by_element(choices: Mapping[str, Column], otherwise: Column) -> Column:
+        picked = None
+        for name, value in choices.items():
+            is_it = number == number_of[name]
+            picked = F.when(is_it, value) if picked is None else picked.when(is_it, value)
+        return otherwise if picked is None else picked.otherwise(otherwise)
 
-    structs = [
-        F.struct(
-            F.lit(number).cast("bigint").alias("element_no"),
-            F.lit(e.name).alias("element"),
-            F.lit(e.kind).alias("kind"),
-            texts.get(e.name, F.lit(None)).cast("string").alias("text"),
-            (F.col("x_mm") + F.lit(float(e.dx))).alias("x"),
-            (F.col("y_mm") + F.lit(float(e.dy))).alias("y"),
-            field(e, "width", "double"),
-            field(e, "height", "double"),
-            field(e, "line_width", "double"),
-            field(e, "font_size", "double"),
-            field(e, "color", "string"),
-            field(e, "bg_color", "string"),
-            field(e, "shape", "string"),
-            field(e, "align", "string"),
-            conditions.get(e.name, F.lit(True)).alias("drawn"),
-        )
-        for number, e in enumerate(elements, start=1)
-    ]
-    drawn = rows.select(*keep, F.explode(F.filter(F.array(*structs), lambda e: e["drawn"])).alias("e"))
-    flat = drawn.select(*keep, "e.*").withColumns(
-        {"x_pt": mm_to_pt(F.col("x")), "y_pt": mm_to_pt(F.col("y")), "w_pt": mm_to_pt(F.col("width"))}
-    )
+    def field(name: str, dtype: str) -> Column:
+        values = [getattr(element, name) for element in elements]
+        if len(set(values)) == 1:
+            fixed = F.lit(values[0]).cast(dtype)
+        else:
+            fixed = F.element_at(F.array(*[F.lit(v).cast(dtype) for v in values]), number.cast("int"))
+        own = {element: value.cast(dtype) for (element, of), value in overrides.items() if of == name}
+        return by_element(own, fixed)
+
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(len(elements)).cast("bigint"))
+    drawn = rows.withColumn("element_no", F.explode(numbers)).where(by_element(conditions, F.lit(True)))
+    flat = drawn.select(
+        *keep,
+        "element_no",
+        field("name", "string").alias("element"),
+        field("kind", "string").alias("kind"),
+        by_element(texts, F.lit(None).cast("string")).alias("text"),
+        (F.col("x_mm") + field("dx", "double")).alias("x"),
+        (F.col("y_mm") + field("dy", "double")).alias("y"),
+        field("width", "double").alias("width"),
+        field("height", "double").alias("height"),
+        field("line_width", "double").alias("line_width"),
+        field("font_size", "double").alias("font_size"),
+        field("color", "string").alias("color"),
+        field("bg_color", "string").alias("bg_color"),
+        field("shape", "string").alias("shape"),
+        field("align", "string").alias("align"),
+    ).withColumns({"x_pt": mm_to_pt(F.col("x")), "y_pt": mm_to_pt(F.col("y")), "w_pt": mm_to_pt(F.col("width"))})
     c = F.col
     boxes = text_box(c("x_pt"), c("y_pt"), c("w_pt"), c("font_size"), c("shape"), c("bg_color"))
     return flat.select(

@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BITS = 20
+_LOWEST = -(1 << 63)
 
 
 def slice_of(key: str, bits: int = SLICE_BITS) -> Column:
-    """Slice number of a BIGINT key: keys share it when they agree above the lowest ``bits`` bits."""
-    return F.shiftright(F.col(key).cast("bigint"), bits)
+    """Slice number of a BIGINT key: keys share it when they agree above the lowest ``bits`` bits.
+
+    Never null, so that joins on it need no filter and the passes over one table stay shareable.
+    """
+    return F.shiftright(F.coalesce(F.col(key).cast("bigint"), F.lit(_LOWEST)), bits)
 
 
 def _before(value: str, group: Sequence[str], order: Sequence[str]) -> Column:
@@ -27,8 +31,12 @@ def _before(value: str, group: Sequence[str], order: Sequence[str]) -> Column:
 
 
 def _or_unplaced(position: Column, keys: Sequence[str]) -> Column:
-    """The position, or a failed job where a null key found none: rows are never dropped silently."""
-    return F.coalesce(position, F.raise_error(F.lit(f"null in {keys}: row has no place in the order")).cast("bigint"))
+    """The position, or a failed job where a key is null: rows are neither dropped nor placed at random."""
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    message = F.lit(f"null in {list(keys)}: row has no place in the order")
+    return F.when(known, position).otherwise(F.raise_error(message).cast("bigint"))
 
 
 def slice_starts(df: DataFrame, group: Sequence[str], key: str, bits: int = SLICE_BITS) -> DataFrame:
@@ -40,9 +48,9 @@ def slice_starts(df: DataFrame, group: Sequence[str], key: str, bits: int = SLIC
     group = list(group)
     slices = df.groupBy(*group, slice_of(key, bits).alias("_slice")).agg(F.count(F.lit(1)).alias("_rows"))
     slices = slices.withColumn("_block", F.shiftright("_slice", bits))
-    blocks = slices.groupBy(*group, "_block").agg(F.sum("_rows").alias("_block_rows"))
-    blocks = blocks.select(*group, "_block", _before("_block_rows", group, ["_block"]).alias("_block_start"))
     slices = slices.withColumn("_in_block", _before("_rows", [*group, "_block"], ["_slice"]))
+    blocks = slices.groupBy(*group, "_block").agg(F.max(F.col("_in_block") + F.col("_rows")).alias("_block_rows"))
+    blocks = blocks.select(*group, "_block", _before("_block_rows", group, ["_block"]).alias("_block_start"))
     return slices.join(blocks, [*group, "_block"]).select(
         *group, "_slice", (F.col("_block_start") + F.col("_in_block")).alias("_start")
     )

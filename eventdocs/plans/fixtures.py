@@ -5,8 +5,6 @@ Texts named ``*_SQL`` run on Spark and on DuckDB alike; ``{table}`` stands for a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,8 +89,22 @@ FROM {documents}
 """
 
 
+# Schemas of the given tables; a schema that is stated need not be read from the files first.
+TABLES = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_suppkey BIGINT, l_linenumber INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+}
+
+
 def given(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
+    return {name: spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet") for name in names}
 
 
 def _derived(spark: SparkSession, folder: str, sql: str, *tables: str) -> DataFrame:
@@ -293,6 +305,3 @@ def contents_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("</ul></div></body></html>"),
     )
     return paged.select(F.col("page").alias("page_id"), html.alias("html"))
-
-
-FIXTURE_TABLES: Sequence[str] = ("customer", "nation", "supplier", "part", "documents", "orders", "lineitem", "pages")

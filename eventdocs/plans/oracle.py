@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from eventdocs.plans import fixtures
 
-_TABLES = {name: name for name in fixtures.FIXTURE_TABLES}
+_TABLES = {name: name for name in fixtures.TABLES}
 
 
 def _cte(name: str, sql: str) -> str:
