@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventdocs.functions.text import author_list, clean_feed_text, present
 from eventdocs.schemas import FEED
+from eventdocs.sources.feed import XML_OPTIONS
 
 # Journal names of the citations.
 JOURNAL_JA, JOURNAL_EN = "植生学会誌", "Vegetation Science"
@@ -94,9 +95,8 @@ def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
 
     Whitespace is kept as it is, and all parts of an entry are texts: page 001 stays 001.
     """
-    options = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
     others = [c for c in feeds.columns if c != xml]
-    return feeds.select(*others, F.from_xml(xml, FEED, options).alias("feed")).select(*others, "feed.*")
+    return feeds.select(*others, F.from_xml(xml, FEED, XML_OPTIONS).alias("feed")).select(*others, "feed.*")
 
 
 def feed_entries(feeds: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -44,8 +44,14 @@ def split_unreadable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return files.where(readable), files.where(~readable)
 
 
-def page_combine(pages: DataFrame, files: DataFrame, job: Sequence[str] = ("job_id",)) -> DataFrame:
-    """Pages of all readable files of a job, numbered through in file-name order.
+BY_NAME = ("file_name", "upload_seq")
+BY_LIST = ("upload_seq", "file_name")
+
+
+def page_combine(
+    pages: DataFrame, files: DataFrame, job: Sequence[str] = ("job_id",), order: Sequence[str] = BY_NAME
+) -> DataFrame:
+    """Pages of all readable files of a job, numbered through in file-name order or in the order of the list.
 
     ``files`` has one row per (job, file_name, upload_seq) with ``status``; files of the same name keep their upload
     order. ``pages`` has ``page_no`` = 1, 2, ... within each file. Pages are counted per file, the counts are
@@ -59,7 +65,7 @@ def page_combine(pages: DataFrame, files: DataFrame, job: Sequence[str] = ("job_
     slices = sliced.groupBy(*file_key, "_slice").agg(F.count(F.lit(1)).alias("_pages"))
     counted = slices.groupBy(*file_key).agg(F.sum("_pages").alias("_pages"))
     counted = counted.join(readable.select(*file_key), file_key)
-    starts = running_total(counted, job, _FILE, "_pages", "_before").select(*file_key, "_before")
+    starts = running_total(counted, job, order, "_pages", "_before").select(*file_key, "_before")
     per_slice = slices.select(*file_key, "_slice").join(starts, file_key)
     return (
         sliced.join(per_slice, [*file_key, "_slice"])

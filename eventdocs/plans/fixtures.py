@@ -81,9 +81,10 @@ SELECT p_partkey AS request_id, CASE WHEN p_partkey % 3 = 2 THEN 'blank' ELSE 'd
 FROM {part}
 """
 
-# Files of pages, one combined document per language; one file cannot be read.
+# Files of pages, one combined document per language; listed by number, which is not the order of their names.
+# One file cannot be read.
 FILES_SQL = """
-SELECT DISTINCT lang AS job_id, source || '.pdf' AS file_name, CAST(0 AS BIGINT) AS upload_seq,
+SELECT DISTINCT lang AS job_id, source || '.pdf' AS file_name, CAST(substr(source, 4) AS BIGINT) AS upload_seq,
   CASE WHEN source = 'src13' THEN 'broken' ELSE 'ok' END AS status
 FROM {documents}
 """
@@ -152,7 +153,7 @@ def file_pages(spark: SparkSession, folder: str) -> DataFrame:
     documents = given(spark, folder, "documents")["documents"].select(
         F.col("lang").alias("job_id"),
         F.concat("source", F.lit(".pdf")).alias("file_name"),
-        F.lit(0).cast("bigint").alias("upload_seq"),
+        F.substring("source", 4, 20).cast("bigint").alias("upload_seq"),
         "doc_id",
     )
     numbered = dense_ordinal(documents, ["job_id", "file_name", "upload_seq"], "doc_id", "_ordinal")

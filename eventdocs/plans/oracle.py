@@ -176,6 +176,13 @@ FROM cited JOIN (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY do
   USING (doc_id)
 """
 
+_COMBINED = """
+SELECT lang AS job_id, source || '.pdf' AS file_name, substr(source, 4)::BIGINT AS upload_seq, doc_id,
+  row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS page_no,
+  row_number() OVER (PARTITION BY lang ORDER BY {order}) AS out_page
+FROM documents WHERE source <> 'src13'
+"""
+
 ORACLE: dict[str, str] = {
     "badge_layout": f"WITH {_ROSTER}, {_NUMBERED} {_LAYOUT}",
     "badge_sheets": f"""
@@ -261,12 +268,8 @@ SELECT manuscript, doc_id, page_w_mm, page_h_mm, page_no, CASE WHEN page_no <= l
   CASE WHEN page_no <= last THEN (page_h_mm - 303 * s) / 2 END AS offset_y_mm
 FROM fitted
 """,
-    "page_combine": """
-SELECT lang AS job_id, source || '.pdf' AS file_name, 0::BIGINT AS upload_seq, doc_id,
-  row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS page_no,
-  row_number() OVER (PARTITION BY lang ORDER BY source || '.pdf', doc_id) AS out_page
-FROM documents WHERE source <> 'src13'
-""",
+    "page_combine": _COMBINED.format(order="source || '.pdf', doc_id"),
+    "page_combine_listed": _COMBINED.format(order="substr(source, 4)::BIGINT, doc_id"),
     "page_combine_rejects": f"""
 WITH {_FILES}
 SELECT *, 'skipped ' || file_name || ': ' || status AS message FROM files WHERE status <> 'ok'

@@ -77,6 +77,11 @@ def page_combine(spark: SparkSession, folder: str) -> DataFrame:
     return pages.page_combine(fixtures.file_pages(spark, folder), fixtures.page_files(spark, folder))
 
 
+def page_combine_listed(spark: SparkSession, folder: str) -> DataFrame:
+    listed, files = fixtures.file_pages(spark, folder), fixtures.page_files(spark, folder)
+    return pages.page_combine(listed, files, order=pages.BY_LIST)
+
+
 def page_combine_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return pages.page_combine_rejects(fixtures.page_files(spark, folder))
 
@@ -156,6 +161,7 @@ QUERIES: dict[str, Query] = {
         page_requests,
         page_overlay,
         page_combine,
+        page_combine_listed,
         page_combine_rejects,
         citation_ja,
         citation_en,

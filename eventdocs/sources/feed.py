@@ -5,17 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventdocs.schemas import FEED, FEED_ENTRY
+from eventdocs.operators.constants import with_constants
+from eventdocs.operators.ordinal import use_checkpoints
+from eventdocs.schemas import FEED_ENTRY
 
-_OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
+# Texts keep their white space, and element names are matched without their namespace.
+XML_OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
 
 
-def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feed, with its entries in feed order and its own count of results."""
-    feeds = spark.read.format("xml").options(rowTag="feed", **_OPTIONS).schema(FEED).load(path)
-    return feeds.select(F.col("_metadata.file_path").alias("feed_file"), "totalResults", "entry")
+def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
+    rows = spark.read.format("xml").options(rowTag=tag, **XML_OPTIONS).schema(schema).load(path)
+    return rows.select(F.col("_metadata.file_path").alias("feed_file"), "*")
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """One row per entry, for citations that need no position in the feed."""
-    return spark.read.format("xml").options(rowTag="entry", **_OPTIONS).schema(FEED_ENTRY).load(path)
+    return _rows(spark, path, "entry", FEED_ENTRY)
+
+
+def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries with their ``ordinal`` in the feed, up to the feed's own count of results. One feed per file.
+
+    A feed is read entry by entry and never held whole. The entries of a file are read in order by one task, so
+    their row ids follow each other; they are checkpointed, which parses the files once and makes the ids stable.
+    What is known per feed, its first id and its count, then goes to every entry.
+    """
+    use_checkpoints(spark)
+    entries = read_entries(spark, path).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    counts = _rows(spark, path, "totalResults", "_VALUE BIGINT").withColumnRenamed("_VALUE", "total_results")
+    feeds = entries.groupBy("feed_file").agg(F.min("_row").alias("_first")).join(counts, "feed_file")
+    placed = with_constants(entries, feeds, key="feed_file", spread="_row")
+    return (
+        placed.withColumn("ordinal", F.col("_row") - F.col("_first"))
+        .where(F.col("ordinal") < F.col("total_results"))
+        .drop("_row", "_first", "total_results")
+    )
