@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from eventdocs.functions.text import clean_contents_text, section_text
 from eventdocs.schemas import CONTENTS_ITEM
 
-# HTML elements without an end tag, and those that keep their white space.
+# HTML elements without an end tag, those that keep their white space, and those whose text is not
+# part of the text around them.
 _VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr".split()) | {
     "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer"
 }
 _KEEPS_SPACE = frozenset({"pre", "textarea"})
-_NO_TEXT = frozenset({"script", "style", "template"})
+_NO_TEXT = frozenset({"script", "style", "template", "rt", "rp"})
 _ASCII_SPACE = " \n\t\f\r"
 _FIELDS = ("title", "author", "add_info")
 
@@ -48,6 +49,15 @@ def _selects(selector: str, tag: str, attrs: dict[str, str]) -> bool:
     return tag == selector
 
 
+def _character(code: int) -> str:
+    """Character of a numeric reference; pages that mean Windows-1252 by 128 to 159 are understood."""
+    try:
+        return bytes([code]).decode("windows-1252")
+    except ValueError:
+        is_character = code < 0xD800 or 0xE000 <= code < 0x110000
+        return chr(code) if is_character else "\N{REPLACEMENT CHARACTER}"
+
+
 @dataclass
 class _Item:
     kind: str
@@ -133,15 +143,20 @@ class _ItemReader(HTMLParser):
         self.node.append(html5.get(f"{name};", f"&{name}"))
 
     def handle_charref(self, name):
-        code = int(name[1:], 16) if name[0] in "xX" else int(name)
-        if 128 <= code < 256:
-            self.node.append(bytes([code]).decode("windows-1252", "replace"))
-        else:
-            self.node.append(chr(code) if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else "�")
+        self.node.append(_character(int(name[1:], 16) if name[0] in "xX" else int(name)))
 
     def handle_comment(self, data):
         self.end_node()
 
+    def handle_pi(self, data):
+        self.end_node()
+
+    def unknown_decl(self, data):
+        self.end_node()
+        if data.startswith("CDATA["):
+            self.node.append(data[len("CDATA[") :])
+            self.end_node()
+
     def end_node(self):
         """Hand a finished text node to the items and fields it is inside of."""
         text, self.node = "".join(self.node), []

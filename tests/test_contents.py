@@ -71,8 +71,13 @@ def test_an_item_is_not_its_own_field(spark):
 
 
 def test_entities(spark):
-    html = '<h1 class="section-level1">&lt;&unknown;&#x41;&#66;&amp&</h1>'
-    assert items(spark, html).first()["text"] == "<&unknownAB&&"
+    html = '<h1 class="section-level1">&lt;&unknown;&#x41;&#66;&#147;&#129;&#12354;&#55296;&#1114112;&amp&</h1>'
+    assert items(spark, html).first()["text"] == "<&unknownAB“\x81あ\ufffd\ufffd&&"
+
+
+def test_text_that_is_not_part_of_an_item(spark):
+    html = '<h1 class="section-level1"><ruby>漢<rp>(</rp><rt>かん</rt></ruby><style>p{}</style><?x?>字</h1>'
+    assert items(spark, html).first()["text"] == "漢字"
 
 
 def test_other_rule_and_empty_pages(spark):
