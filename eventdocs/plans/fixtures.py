@@ -195,7 +195,7 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
     )
     c = F.col
     doc = c("doc_id")
-    spaced = F.replace(c("text"), F.lit(". "), F.lit(".  "))
+    spaced = F.concat(F.lit("  "), c("text"), F.lit("   .\n"))
     link = F.concat(F.lit("https://example.org/article/"), doc.cast("string"))
 
     def pair(en: Column, ja: Column) -> Column:

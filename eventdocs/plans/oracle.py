@@ -141,9 +141,9 @@ au AS (
   SELECT l_orderkey, list(s_name ORDER BY l_linenumber, l_suppkey) AS names
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY l_orderkey),
 art AS (
-  SELECT doc_id, lang, replace(text, '. ', '.  ') AS spaced,
-    CASE WHEN doc_id % 23 <> 0 THEN replace(text, '. ', '.  ') END AS title_en,
-    CASE WHEN doc_id % 19 = 0 THEN '' WHEN doc_id % 17 <> 0 THEN replace(text, '. ', '.  ') END AS title_ja,
+  SELECT doc_id, lang,
+    CASE WHEN doc_id % 23 <> 0 THEN '  ' || text || '   .' || chr(10) END AS title_en,
+    CASE WHEN doc_id % 19 = 0 THEN '' WHEN doc_id % 17 <> 0 THEN '  ' || text || '   .' || chr(10) END AS title_ja,
     'https://example.org/article/' || doc_id AS link, names,
     CASE WHEN doc_id % 29 <> 0 THEN o_custkey::VARCHAR END AS volume, (o_orderkey % 12)::VARCHAR AS number,
     printf('%03d', doc_id) || '-' || printf('%03d', doc_id + 9) AS pages, year(o_orderdate)::VARCHAR AS pubyear
