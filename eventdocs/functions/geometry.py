@@ -21,33 +21,22 @@ def stamp_height_mm(image_width: Column, image_height: Column) -> Column:
     return F.lit(layout.STAMP_WIDTH_MM) * image_height / image_width
 
 
-def text_anchor_pt(x_pt: Column, width_pt: Column, align: Column) -> Column:
-    """Centred texts are anchored at the middle of their width, others at their left end."""
-    return F.when(align == "center", x_pt + width_pt * F.lit(0.5)).otherwise(x_pt)
-
-
-def text_box(x_pt: Column, y_pt: Column, width_pt: Column, font_size: Column, shape: Column, bg: Column) -> dict:
-    """Columns of the box behind, or the rule under, a text.
-
-    A filled rectangle starts half a font size to the left and below the text, a filled circle is given by its
-    centre and radius, an underline by its left end.
-    """
-    filled = F.coalesce(bg != "white", F.lit(False))
-    box = (
-        F.when(filled & (shape == "rect"), "rect")
-        .when(filled & (shape == "circle"), "circle")
-        .when(shape == "underlined", "underline")
-    )
-    half = font_size * F.lit(0.5)
-    return {
-        "box": box,
-        "box_x_pt": F.when(box == "rect", x_pt - half)
-        .when(box == "circle", x_pt + font_size * F.lit(0.48))
-        .when(box == "underline", x_pt),
-        "box_y_pt": F.when(box == "rect", y_pt - half)
-        .when(box == "circle", y_pt + font_size * F.lit(0.38))
-        .when(box == "underline", y_pt - mm_to_pt(F.lit(1.0))),
-        "box_w_pt": F.when(box.isin("rect", "underline"), width_pt),
-        "box_h_pt": F.when(box == "rect", font_size * F.lit(2.0)),
-        "box_r_pt": F.when(box == "circle", font_size * F.lit(0.75)),
-    }
+# Where a text is drawn: centred texts are anchored at the middle of their width, others at their left end.
+TEXT_X_PT = "CASE WHEN align = 'center' THEN x_pt + w_pt * 0.5D ELSE x_pt END"
+
+# What is drawn with a text: a rectangle or circle filled behind it, or a rule under it.
+TEXT_BOX = """CASE WHEN bg_color <> 'white' AND shape = 'rect' THEN 'rect'
+    WHEN bg_color <> 'white' AND shape = 'circle' THEN 'circle'
+    WHEN shape = 'underlined' THEN 'underline' END"""
+
+# A rectangle starts half a font size to the left of and below the text, a circle is given by its centre and
+# radius, an underline runs from its left end 1 mm below the text.
+BOX_PT = {
+    "box_x_pt": """CASE box WHEN 'rect' THEN x_pt - font_size * 0.5D WHEN 'circle' THEN x_pt + font_size * 0.48D
+        WHEN 'underline' THEN x_pt END""",
+    "box_y_pt": """CASE box WHEN 'rect' THEN y_pt - font_size * 0.5D WHEN 'circle' THEN y_pt + font_size * 0.38D
+        WHEN 'underline' THEN y_pt - 72D / 25.4D END""",
+    "box_w_pt": "CASE WHEN box IN ('rect', 'underline') THEN w_pt END",
+    "box_h_pt": "CASE box WHEN 'rect' THEN font_size * 2D END",
+    "box_r_pt": "CASE box WHEN 'circle' THEN font_size * 0.75D END",
+}

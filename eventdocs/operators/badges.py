@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventdocs import layout
-from eventdocs.functions.text import fit_font_size, is_marked, present
+from eventdocs.functions.text import fit_font_size, is_marked
 from eventdocs.operators.constants import with_constants
 from eventdocs.operators.elements import expand_elements
 from eventdocs.operators.numbering import expand_range
@@ -91,26 +91,23 @@ def badge_elements(badges: DataFrame, events: DataFrame) -> DataFrame:
     """What is drawn for every badge of a layout: up to thirteen elements."""
     rows = with_constants(badges, events)
     texts = {
-        "congress": F.col("congress"),
-        "place": F.col("place"),
-        "date": F.col("event_date"),
-        "label_affiliation": F.col("label_affiliation"),
-        "label_name": F.col("label_name"),
-        "affiliation": F.col("affiliation"),
-        "name": F.col("name"),
-        "dinner_mark": F.lit(layout.DINNER_MARK),
-        "workshop_mark": F.lit(layout.WORKSHOP_MARK),
-        "committee": F.col("committee"),
-        "committee_sub": F.col("committee_sub"),
-    }
-    overrides = {
-        ("congress", "bg_color"): F.coalesce("strip_color", F.lit("green")),
-        ("affiliation", "font_size"): F.col("affil_font"),
+        "congress": "congress",
+        "place": "place",
+        "date": "event_date",
+        "label_affiliation": "label_affiliation",
+        "label_name": "label_name",
+        "affiliation": "affiliation",
+        "name": "name",
+        "dinner_mark": f"'{layout.DINNER_MARK}'",
+        "workshop_mark": f"'{layout.WORKSHOP_MARK}'",
+        "committee": "committee",
+        "committee_sub": "committee_sub",
     }
+    overrides = {("congress", "bg_color"): "coalesce(strip_color, 'green')", ("affiliation", "font_size"): "affil_font"}
     conditions = {
-        "affiliation": present(F.col("affiliation")),
-        "dinner_mark": F.col("dinner_mark"),
-        "workshop_mark": F.col("workshop_mark"),
+        "affiliation": "affil_font IS NOT NULL",
+        "dinner_mark": "dinner_mark",
+        "workshop_mark": "workshop_mark",
     }
     keep = ["event_id", "entry_no", "sheet_no", "slot_no"]
     return expand_elements(rows, keep, layout.BADGE_ELEMENTS, texts, overrides, conditions)

@@ -6,18 +6,23 @@ only finds items and their texts; the texts are cleaned by built-in functions af
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventdocs.functions.text import clean_contents_text, section_text
 from eventdocs.schemas import CONTENTS_ITEM
 
+# The tokenizer travels with the job, so that workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # HTML elements without an end tag, those that keep their white space, and those whose text is not
 # part of the text around them.
 _VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr".split()) | {

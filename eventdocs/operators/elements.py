@@ -4,82 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from eventdocs.functions.geometry import mm_to_pt, text_anchor_pt, text_box
+from eventdocs.functions.geometry import BOX_PT, TEXT_BOX, TEXT_X_PT
 from eventdocs.layout import Element
 
+_FIELDS = {
+    "element": ("name", "STRING"),
+    "kind": ("kind", "STRING"),
+    "dx": ("dx", "DOUBLE"),
+    "dy": ("dy", "DOUBLE"),
+    "width_mm": ("width", "DOUBLE"),
+    "height_mm": ("height", "DOUBLE"),
+    "line_width_mm": ("line_width", "DOUBLE"),
+    "font_size": ("font_size", "DOUBLE"),
+    "color": ("color", "STRING"),
+    "bg_color": ("bg_color", "STRING"),
+    "shape": ("shape", "STRING"),
+    "align": ("align", "STRING"),
+}
+
+
+def _literal(value, dtype: str) -> str:
+    if value is None:
+        return "NULL"
+    return f"'{value}'" if dtype == "STRING" else f"{float(value)}D"
+
 
 def expand_elements(
     rows: DataFrame,
     keep: Sequence[str],
     elements: Sequence[Element],
-    texts: Mapping[str, Column],
-    overrides: Mapping[tuple[str, str], Column],
-    conditions: Mapping[str, Column],
+    texts: Mapping[str, str],
+    overrides: Mapping[tuple[str, str], str],
+    conditions: Mapping[str, str],
 ) -> DataFrame:
     """One row per (row, element) whose condition holds, placed from the row's ``x_mm`` and ``y_mm`` corner.
 
-    The list's values are literals picked by element number, so this is a generate step, a filter and a projection,
-    without join or shuffle. ``overrides`` gives (element, field) pairs that depend on the row.
+    ``texts``, ``overrides`` and ``conditions`` are SQL over the row's columns, by element or (element, field). The
+    list's own values are literals picked by element number. So this is a generate step, a filter and projections,
+    without join or shuffle.
     """
-    number = F.col("element_no")
-    number_of = {element.name: n for n, element in enumerate(elements, start=1)}
+    number_of = {element.name: number for number, element in enumerate(elements, start=1)}
 
-    def by_element(choices: Mapping[str, Column], otherwise: Column) -> Column:
-        picked = None
-        for name, value in choices.items():
-            is_it = number == number_of[name]
-            picked = F.when(is_it, value) if picked is None else picked.when(is_it, value)
-        return otherwise if picked is None else picked.otherwise(otherwise)
+    def choose(choices: Mapping[str, str], otherwise: str) -> str:
+        cases = " ".join(f"WHEN {number_of[name]} THEN {sql}" for name, sql in choices.items())
+        return f"CASE element_no {cases} ELSE {otherwise} END" if choices else otherwise
 
-    def field(name: str, dtype: str) -> Column:
-        values = [getattr(element, name) for element in elements]
-        if len(set(values)) == 1:
-            fixed = F.lit(values[0]).cast(dtype)
-        else:
-            fixed = F.element_at(F.array(*[F.lit(v).cast(dtype) for v in values]), number.cast("int"))
-        own = {element: value.cast(dtype) for (element, of), value in overrides.items() if of == name}
-        return by_element(own, fixed)
+    def field(name: str, dtype: str) -> str:
+        values = [_literal(getattr(element, name), dtype) for element in elements]
+        listed = f"CAST(array({', '.join(values)}) AS ARRAY<{dtype}>)"
+        own = {element: sql for (element, of), sql in overrides.items() if of == name}
+        return choose(own, f"element_at({listed}, CAST(element_no AS INT))")
 
-    numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(len(elements)).cast("bigint"))
-    drawn = rows.withColumn("element_no", F.explode(numbers)).where(by_element(conditions, F.lit(True)))
-    flat = drawn.select(
+    numbered = rows.selectExpr("*", f"explode(sequence(1L, {len(elements)}L)) AS element_no")
+    drawn = numbered.where(choose(conditions, "true"))
+    fields = drawn.selectExpr(
         *keep,
         "element_no",
-        field("name", "string").alias("element"),
-        field("kind", "string").alias("kind"),
-        by_element(texts, F.lit(None).cast("string")).alias("text"),
-        (F.col("x_mm") + field("dx", "double")).alias("x"),
-        (F.col("y_mm") + field("dy", "double")).alias("y"),
-        field("width", "double").alias("width"),
-        field("height", "double").alias("height"),
-        field("line_width", "double").alias("line_width"),
-        field("font_size", "double").alias("font_size"),
-        field("color", "string").alias("color"),
-        field("bg_color", "string").alias("bg_color"),
-        field("shape", "string").alias("shape"),
-        field("align", "string").alias("align"),
-    ).withColumns({"x_pt": mm_to_pt(F.col("x")), "y_pt": mm_to_pt(F.col("y")), "w_pt": mm_to_pt(F.col("width"))})
-    c = F.col
-    boxes = text_box(c("x_pt"), c("y_pt"), c("w_pt"), c("font_size"), c("shape"), c("bg_color"))
-    return flat.select(
+        f"{choose(texts, 'NULL')} AS text",
+        "x_mm AS corner_x",
+        "y_mm AS corner_y",
+        *[f"{field(name, dtype)} AS {column}" for column, (name, dtype) in _FIELDS.items()],
+    )
+    placed = fields.selectExpr("* EXCEPT (corner_x, corner_y)", "corner_x + dx AS x_mm", "corner_y + dy AS y_mm")
+    in_points = placed.selectExpr(
+        "*",
+        "x_mm * 72D / 25.4D AS x_pt",
+        "y_mm * 72D / 25.4D AS y_pt",
+        "width_mm * 72D / 25.4D AS w_pt",
+        f"{TEXT_BOX} AS box",
+    )
+    return in_points.selectExpr(
         *keep,
-        "element_no",
-        "element",
-        "kind",
-        "text",
-        c("x").alias("x_mm"),
-        c("y").alias("y_mm"),
-        c("width").alias("width_mm"),
-        c("height").alias("height_mm"),
-        c("line_width").alias("line_width_mm"),
-        "font_size",
-        "color",
-        "bg_color",
-        "align",
-        F.when(c("kind") == "text", text_anchor_pt(c("x_pt"), c("w_pt"), c("align"))).alias("text_x_pt"),
-        F.when(c("kind") == "text", c("y_pt")).alias("text_y_pt"),
-        *[value.alias(name) for name, value in boxes.items()],
+        *"element_no element kind text x_mm y_mm width_mm height_mm line_width_mm".split(),
+        *"font_size color bg_color align".split(),
+        f"CASE kind WHEN 'text' THEN {TEXT_X_PT} END AS text_x_pt",
+        "CASE kind WHEN 'text' THEN y_pt END AS text_y_pt",
+        "box",
+        *[f"{sql} AS {column}" for column, sql in BOX_PT.items()],
     )

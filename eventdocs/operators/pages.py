@@ -62,11 +62,17 @@ def page_combine(
     file_key = [*job, *_FILE]
     readable, _ = split_unreadable(files)
     sliced = pages.withColumn("_slice", slice_of("page_no"))
-    slices = sliced.groupBy(*file_key, "_slice").agg(F.count(F.lit(1)).alias("_pages"))
-    counted = slices.groupBy(*file_key).agg(F.sum("_pages").alias("_pages"))
+    numbers_fit = (F.min("page_no") == 1) & (F.max("page_no") == F.count("page_no"))
+    counted = sliced.groupBy(*file_key).agg(
+        F.when(numbers_fit & (F.count("page_no") == F.count(F.lit(1))), F.count(F.lit(1)))
+        .otherwise(F.raise_error(F.lit("page numbers of a file have to be 1, 2, ...")).cast("bigint"))
+        .alias("_pages"),
+        F.max("_slice").alias("_last_slice"),
+    )
     counted = counted.join(readable.select(*file_key), file_key)
-    starts = running_total(counted, job, order, "_pages", "_before").select(*file_key, "_before")
-    per_slice = slices.select(*file_key, "_slice").join(starts, file_key)
+    starts = running_total(counted, job, order, "_pages", "_before")
+    slices = F.explode(F.sequence(F.lit(0).cast("bigint"), "_last_slice"))
+    per_slice = starts.select(*file_key, "_before", slices.alias("_slice"))
     return (
         sliced.join(per_slice, [*file_key, "_slice"])
         .withColumn("out_page", F.col("_before") + F.col("page_no"))

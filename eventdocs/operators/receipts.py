@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,20 +120,25 @@ def receipt_blank(events: DataFrame) -> DataFrame:
 
 def receipt_elements(items: DataFrame, events: DataFrame, stamped: bool = True) -> DataFrame:
     """What is drawn for every receipt: up to ten elements, the stamp only where the event has an image."""
-    rows = with_constants(items, events)
-    texts: Mapping[str, Column] = {
-        "title": F.col("title"),
-        "recipient": F.col("recipient"),
-        "amount": F.col("amount_text"),
-        "proviso": proviso_text(F.col("congress"), F.col("fee_label")),
-        "date": F.col("receipt_date"),
-        "received": F.lit(layout.RECEIVED_TEXT),
-        "committee_sub": F.col("committee_sub"),
-        "president": F.col("president"),
-    }
-    height = stamp_height_mm(F.col("image_width"), F.col("image_height"))
     has_image = F.coalesce((F.col("image_width") > 0) & (F.col("image_height") > 0), F.lit(False))
-    overrides = {("stamp", "height"): F.when(has_image, height)}
-    conditions = {"stamp": has_image if stamped else F.lit(False)}
+    height = stamp_height_mm(F.col("image_width"), F.col("image_height"))
+    rows = with_constants(items, events).withColumns(
+        {
+            "proviso": proviso_text(F.col("congress"), F.col("fee_label")),
+            "stamp_height": F.when(has_image & F.lit(stamped), height),
+        }
+    )
+    texts = {
+        "title": "title",
+        "recipient": "recipient",
+        "amount": "amount_text",
+        "proviso": "proviso",
+        "date": "receipt_date",
+        "received": f"'{layout.RECEIVED_TEXT}'",
+        "committee_sub": "committee_sub",
+        "president": "president",
+    }
+    overrides = {("stamp", "height"): "stamp_height"}
+    conditions = {"stamp": "stamp_height IS NOT NULL"}
     keep = ["event_id", "entry_no", "slot_no"]
     return expand_elements(rows, keep, layout.RECEIPT_ELEMENTS, texts, overrides, conditions)

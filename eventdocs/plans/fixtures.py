@@ -180,10 +180,11 @@ def overlay_requests(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("manuscript", F.lit(1).cast("bigint").alias("start"), last.alias("end"))
 
 
-def articles(spark: SparkSession, folder: str) -> DataFrame:
+def articles(spark: SparkSession, folder: str, numbered: bool = False) -> DataFrame:
     """Feed entries: a document's text is its title, the suppliers of the order of its number are its authors.
 
-    Some titles are missing or empty, some entries have no authors, some lack the volume.
+    Some titles are missing or empty, some entries have no authors, some lack the volume. ``numbered`` adds their
+    ``ordinal`` in the feed of their language. An article's authors are one value, as they are in a feed.
     """
     t = given(spark, folder, "documents", "orders", "lineitem", "supplier")
     lines = t["lineitem"].select("l_orderkey", "l_linenumber", "l_suppkey")
@@ -193,6 +194,13 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "s_name"))).alias("au"))
     )
+    published = (
+        t["documents"]
+        .join(t["orders"], F.col("doc_id") == F.col("o_orderkey"))
+        .select("doc_id", "lang", "text", "o_orderkey", "o_custkey", "o_orderdate")
+    )
+    if numbered:
+        published = dense_ordinal(published, ["lang"], "doc_id", "ordinal")
     c = F.col
     doc = c("doc_id")
     spaced = F.concat(F.lit("  "), c("text"), F.lit("   .\n"))
@@ -205,12 +213,10 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
         return F.struct(F.transform("au", lambda a: form(a["s_name"])).alias("name"))
 
     return (
-        t["documents"]
-        .join(t["orders"].select("o_orderkey", "o_custkey", "o_orderdate"), doc == c("o_orderkey"))
-        .join(written, doc == c("l_orderkey"), "left")
-        .select(
+        published.join(written, doc == c("l_orderkey"), "left").select(
             "doc_id",
             "lang",
+            *(["ordinal"] if numbered else []),
             pair(
                 F.when(doc % 23 != 0, spaced), F.when(doc % 19 == 0, "").when(doc % 17 != 0, spaced)
             ).alias("article_title"),

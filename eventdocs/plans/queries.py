@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventdocs.operators import badges, citations, contents, numbering, pages, receipts
-from eventdocs.operators.ordinal import dense_ordinal
 from eventdocs.plans import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,8 +98,7 @@ def citation_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _html_list(spark: SparkSession, folder: str, lang: str) -> DataFrame:
-    numbered = dense_ordinal(fixtures.articles(spark, folder), ["lang"], "doc_id", "ordinal")
-    return citations.citation_html(numbered, ["lang", "doc_id"], lang)
+    return citations.citation_html(fixtures.articles(spark, folder, numbered=True), ["lang", "doc_id"], lang)
 
 
 def citation_html_ja(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Python call sites in error messages cost several calls per column expression while a plan is built.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1,4 +1,8 @@
+import subprocess
+import sys
+
 import pytest
+from pyspark import cloudpickle
 
 from eventdocs.operators.contents import ItemRule, contents_rows, html_items
 
@@ -85,3 +89,12 @@ def test_other_rule_and_empty_pages(spark):
     got = rows(spark, "<nav><li><a>x</a></li></nav><li>no</li><h1>y</h1>", rule)
     assert [(r["kind"], r["section"], r["title"]) for r in got] == [("item", "x", "x"), ("heading", "y", None)]
     assert rows(spark, "") == [] and rows(spark, None) == []
+
+
+def test_workers_need_no_package(tmp_path):
+    from eventdocs.operators import contents
+
+    read = cloudpickle.dumps(contents._ItemReader)
+    check = "import pickle, sys; pickle.load(sys.stdin.buffer); assert 'eventdocs' not in sys.modules"
+    done = subprocess.run([sys.executable, "-c", check], input=read, cwd=tmp_path, capture_output=True)
+    assert done.returncode == 0, done.stderr
