@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLICE_BITS = 20
+# A slice is 2**16 neighbouring keys, a block is 2**24 neighbouring slices; a BIGINT has 2**24 blocks.
+SLICE_BITS, BLOCK_BITS = 16, 24
 _LOWEST = -(1 << 63)
 
 
@@ -39,15 +40,17 @@ def _or_unplaced(position: Column, keys: Sequence[str]) -> Column:
     return F.when(known, position).otherwise(F.raise_error(message).cast("bigint"))
 
 
-def slice_starts(df: DataFrame, group: Sequence[str], key: str, bits: int = SLICE_BITS) -> DataFrame:
+def slice_starts(
+    df: DataFrame, group: Sequence[str], key: str, bits: int = SLICE_BITS, block_bits: int = BLOCK_BITS
+) -> DataFrame:
     """One row per (group, slice): ``_slice``, and ``_start`` = number of rows in the group's earlier slices.
 
-    Slices are summed up in blocks of 2**bits slices, so no window sees more than 2**bits slices, or
-    2**(64 - 2 * bits) blocks, of one group, however large or sparse the group is.
+    Slices are summed up within blocks and blocks within the group, so no window sees more than 2**24 of these
+    narrow rows, however large or sparse the group is.
     """
     group = list(group)
     slices = df.groupBy(*group, slice_of(key, bits).alias("_slice")).agg(F.count(F.lit(1)).alias("_rows"))
-    slices = slices.withColumn("_block", F.shiftright("_slice", bits))
+    slices = slices.withColumn("_block", F.shiftright("_slice", block_bits))
     slices = slices.withColumn("_in_block", _before("_rows", [*group, "_block"], ["_slice"]))
     blocks = slices.groupBy(*group, "_block").agg(F.max(F.col("_in_block") + F.col("_rows")).alias("_block_rows"))
     blocks = blocks.select(*group, "_block", _before("_block_rows", group, ["_block"]).alias("_block_start"))
@@ -56,7 +59,14 @@ def slice_starts(df: DataFrame, group: Sequence[str], key: str, bits: int = SLIC
     )
 
 
-def dense_ordinal(df: DataFrame, group: Sequence[str], key: str, out: str, bits: int = SLICE_BITS) -> DataFrame:
+def dense_ordinal(
+    df: DataFrame,
+    group: Sequence[str],
+    key: str,
+    out: str,
+    bits: int = SLICE_BITS,
+    block_bits: int = BLOCK_BITS,
+) -> DataFrame:
     """Add ``out`` = 0, 1, 2, ... in ``key`` order within each group.
 
     ``key`` is a BIGINT unique within its group, so a slice holds at most 2**bits rows. The rows are shuffled
@@ -64,7 +74,7 @@ def dense_ordinal(df: DataFrame, group: Sequence[str], key: str, out: str, bits:
     no place in the order and fails the job.
     """
     group = list(group)
-    starts = slice_starts(df, group, key, bits)
+    starts = slice_starts(df, group, key, bits, block_bits)
     in_slice = Window.partitionBy(*group, "_slice").orderBy(key)
     return (
         df.withColumn("_slice", slice_of(key, bits))

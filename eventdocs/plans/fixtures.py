@@ -241,10 +241,11 @@ def _escaped(text: Column) -> Column:
     return text
 
 
-def _in_order(rows: DataFrame, group: Column, key: str, text: Column, *more: Column) -> DataFrame:
-    """Texts of up to 50 neighbouring keys, joined in key order."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, text.alias("t")))), lambda r: r["t"]), "")
-    return rows.groupBy(group.alias("page"), *more).agg(joined.alias("body"))
+def _pages_of_50(rows: DataFrame, key: str, render) -> DataFrame:
+    """``page`` and ``body``: the texts that ``render`` makes of up to 50 neighbouring rows, in key order."""
+    listed = F.array_sort(F.collect_list(F.struct(key, *[c for c in rows.columns if c != key])))
+    paged = rows.groupBy(F.expr(f"{key} div 50").alias("page")).agg(listed.alias("rows"))
+    return paged.select("page", F.array_join(F.transform("rows", render), "").alias("body"))
 
 
 def feeds(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,21 +258,22 @@ def feeds(spark: SparkSession, folder: str) -> DataFrame:
     def both(name: str, inner) -> list[Column]:
         return [F.lit(f"<{name}>\n"), F.lit("<en>"), inner("en"), F.lit("</en>\n<ja>"), inner("ja"), F.lit(f"</ja></{name}>")]
 
-    def authors(lang: str) -> Column:
-        listed = F.transform(f"author.{lang}.name", lambda name: element("name", name))
-        return F.coalesce(F.array_join(listed, "\n"), F.lit(""))
-
-    plain = ["volume", "number", "startingPage", "endingPage", "pubyear", "doi"]
-    entry = F.concat(
-        F.lit("<entry>\n"),
-        *both("article_title", lambda lang: F.coalesce(_escaped(F.col(f"article_title.{lang}")), F.lit(""))),
-        *both("article_link", lambda lang: _escaped(F.col(f"article_link.{lang}"))),
-        *both("author", authors),
-        *[element(name, F.col(name)) for name in plain],
-        F.lit("</entry>\n"),
-    )
-    feed = F.expr("doc_id div 50")
-    paged = _in_order(articles(spark, folder), feed, "doc_id", entry)
+    def entry(r: Column) -> Column:
+        def authors(lang: str) -> Column:
+            listed = F.transform(r["author"][lang]["name"], lambda name: element("name", name))
+            return F.coalesce(F.array_join(listed, "\n"), F.lit(""))
+
+        plain = ["volume", "number", "startingPage", "endingPage", "pubyear", "doi"]
+        return F.concat(
+            F.lit("<entry>\n"),
+            *both("article_title", lambda lang: F.coalesce(_escaped(r["article_title"][lang]), F.lit(""))),
+            *both("article_link", lambda lang: _escaped(r["article_link"][lang])),
+            *both("author", authors),
+            *[element(name, r[name]) for name in plain],
+            F.lit("</entry>\n"),
+        )
+
+    paged = _pages_of_50(articles(spark, folder), "doc_id", entry)
     total = F.when(F.col("page") % 3 == 0, 45).when(F.col("page") % 3 == 1, 50).otherwise(60)
     xml = F.concat(
         F.lit('<feed xmlns="http://www.w3.org/2005/Atom">\n<totalResults>'),
@@ -285,27 +287,28 @@ def feeds(spark: SparkSession, folder: str) -> DataFrame:
 
 def contents_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents listed on contents pages of up to 50 articles, with a heading before every tenth."""
-    doc = F.col("doc_id")
-    heading = F.concat(F.lit('<h2 class="lead section-level1">\n原著 '), F.expr("doc_id div 10").cast("string"), F.lit("</h2>"))
-    titled = F.concat(
-        F.lit('<div class="searchlist-title">\n\t<b> No. '),
-        doc.cast("string"),
-        F.lit(" </b>　"),
-        _escaped(F.replace("text", F.lit(", "), F.lit(" +"))),
-        F.lit(" </div>"),
-    )
-    author = F.concat(F.lit('<div class=searchlist-authortags>Ed: &amp; '), F.col("source"), F.lit("<br></div>"))
-    info = F.concat(F.lit("<p class='x searchlist-additional-info'>p.&#160;"), doc.cast("string"), F.lit("&ndash;\n\t9<!-- n --></p>"))
-    item = F.concat(
-        F.when(doc % 10 == 0, heading).otherwise(""),
-        F.lit("\n<li>\n  "),
-        titled,
-        F.when(doc % 7 == 0, "").otherwise(author),
-        info,
-        F.lit("<script>var a='</p>';</script></li>"),
-    )
+
+    def item(r: Column) -> Column:
+        doc = r["doc_id"]
+        number = doc.cast("string")
+        tenth = F.call_function("div", doc, F.lit(10)).cast("string")
+        heading = F.concat(F.lit('<h2 class="lead section-level1">\n原著 '), tenth, F.lit("</h2>"))
+        author = F.concat(F.lit("<div class=searchlist-authortags>Ed: &amp; "), r["source"], F.lit("<br></div>"))
+        return F.concat(
+            F.when(doc % 10 == 0, heading).otherwise(""),
+            F.lit('\n<li>\n  <div class="searchlist-title">\n\t<b> No. '),
+            number,
+            F.lit(" </b>　"),
+            _escaped(F.replace(r["text"], F.lit(", "), F.lit(" +"))),
+            F.lit(" </div>"),
+            F.when(doc % 7 == 0, "").otherwise(author),
+            F.lit("<p class='x searchlist-additional-info'>p.&#160;"),
+            number,
+            F.lit("&ndash;\n\t9<!-- n --></p><script>var a='</p>';</script></li>"),
+        )
+
     documents = given(spark, folder, "documents")["documents"]
-    paged = _in_order(documents.select("doc_id", "text", "source"), F.expr("doc_id div 50"), "doc_id", item)
+    paged = _pages_of_50(documents.select("doc_id", "text", "source"), "doc_id", item)
     html = F.concat(
         F.lit('<!DOCTYPE html><html><body><ul><li>menu</li></ul><div id="search-resultslist-wrap"><ul>'),
         F.col("body"),

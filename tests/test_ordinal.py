@@ -23,16 +23,16 @@ def expected_ordinals(rows):
 @given(st.sets(st.tuples(st.integers(0, 2), KEYS), min_size=1, max_size=60))
 def test_dense_ordinal_numbers_any_keys(spark, rows):
     df = spark.createDataFrame(list(rows), "g BIGINT, k BIGINT")
-    got = {(r["g"], r["k"]): r["o"] for r in dense_ordinal(df, ["g"], "k", "o", bits=2).collect()}
+    got = {(r["g"], r["k"]): r["o"] for r in dense_ordinal(df, ["g"], "k", "o", bits=2, block_bits=3).collect()}
     assert got == expected_ordinals(rows)
 
 
 def test_hot_group_is_cut_into_slices(spark):
     rows = spark.range(0, 5000).select(F.lit(7).alias("g"), F.col("id").alias("k"))
-    starts = slice_starts(rows, ["g"], "k", bits=6).collect()
+    starts = slice_starts(rows, ["g"], "k", bits=6, block_bits=4).collect()
     assert len(starts) == 5000 // 64 + 1
     assert all(row["_start"] == row["_slice"] * 64 for row in starts)
-    numbered = dense_ordinal(rows, ["g"], "k", "o", bits=6)
+    numbered = dense_ordinal(rows, ["g"], "k", "o", bits=6, block_bits=4)
     assert numbered.where("o <> k").count() == 0 and numbered.count() == 5000
 
 
