@@ -12,6 +12,7 @@ from eventdocs.operators.elements import expand_elements
 from eventdocs.operators.numbering import expand_range
 from eventdocs.operators.ordinal import dense_ordinal
 
+_EVENT = "event_id congress event_date committee committee_sub place label_affiliation label_name strip_color".split()
 _BADGE = ["event_id", "entry_no", "name", "affiliation", "fee_dinner", "fee_workshop"]
 
 
@@ -89,7 +90,7 @@ def badge_blank(events: DataFrame) -> DataFrame:
 
 def badge_elements(badges: DataFrame, events: DataFrame) -> DataFrame:
     """What is drawn for every badge of a layout: up to thirteen elements."""
-    rows = with_constants(badges, events)
+    rows = with_constants(badges, events.select(*_EVENT))
     texts = {
         "congress": "congress",
         "place": "place",

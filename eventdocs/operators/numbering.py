@@ -116,6 +116,7 @@ def page_requests(requests: DataFrame, key: str) -> DataFrame:
     lowered by 0.4 of the font size.
     """
     defaults = {
+        "bleed_mm": F.when(F.col("kind") == "blank", 0.0).otherwise(3.0),
         "text": F.lit(""),
         "x_mm": F.lit(None).cast("double"),
         "y_mm": F.lit(10.0),

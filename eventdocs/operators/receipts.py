@@ -15,6 +15,7 @@ from eventdocs.operators.elements import expand_elements
 from eventdocs.operators.ordinal import dense_ordinal
 from eventdocs.schemas import FEE_COLUMNS
 
+_EVENT = "event_id title congress committee_sub president receipt_date image_width image_height".split()
 _ITEM = ["event_id", "entry_no", "slot_no", "x_mm", "y_mm", "recipient", "amount_text", "fee_label"]
 
 
@@ -118,11 +119,16 @@ def receipt_blank(events: DataFrame) -> DataFrame:
     )
 
 
+def receipt_blank_footers(events: DataFrame) -> DataFrame:
+    """Footer lines of every event's blank page."""
+    return footer_lines(events, ["event_id"])
+
+
 def receipt_elements(items: DataFrame, events: DataFrame, stamped: bool = True) -> DataFrame:
     """What is drawn for every receipt: up to ten elements, the stamp only where the event has an image."""
     has_image = F.coalesce((F.col("image_width") > 0) & (F.col("image_height") > 0), F.lit(False))
     height = stamp_height_mm(F.col("image_width"), F.col("image_height"))
-    rows = with_constants(items, events).withColumns(
+    rows = with_constants(items, events.select(*_EVENT)).withColumns(
         {
             "proviso": proviso_text(F.col("congress"), F.col("fee_label")),
             "stamp_height": F.when(has_image & F.lit(stamped), height),

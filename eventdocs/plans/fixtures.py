@@ -46,7 +46,12 @@ FROM {nation}
 HOSTS_SQL = """
 SELECT s_suppkey AS event_id, s_name || '研究会' AS congress, s_suppkey % 4 AS n_sheet,
   CASE s_suppkey % 4 WHEN 0 THEN '参加費' WHEN 1 THEN '参加費,現地研修会参加費' WHEN 2 THEN '懇親会参加費'
-       ELSE '' END AS items_text
+       ELSE '' END AS items_text,
+  '2025年10月10日' AS event_date, s_name || '実行委員会' AS committee, '大会委員会' AS committee_sub, '会館' AS place,
+  '所属' AS label_affiliation, '氏名' AS label_name, 'navy' AS strip_color, '領収書' AS title,
+  '会長 ' || s_name AS president, '2025年10月10日' AS receipt_date,
+  '領収書について' || chr(10) || repeat('備考' || chr(10), CAST(s_suppkey % 10 AS INT)) AS footer_text_1,
+  '事務局' AS footer_text_2, CAST(501 AS BIGINT) AS image_width, CAST(493 AS BIGINT) AS image_height
 FROM {supplier}
 """
 
@@ -121,14 +126,17 @@ def badge_events(spark: SparkSession, folder: str) -> DataFrame:
     return _derived(spark, folder, BADGE_EVENTS_SQL, "nation")
 
 
-def receipt_events(spark: SparkSession, folder: str) -> DataFrame:
-    events = _derived(spark, folder, RECEIPT_EVENTS_SQL, "nation")
+def _with_footers(events: DataFrame) -> DataFrame:
     footers = {f"footer_{side}": text_lines(F.col(f"footer_text_{side}")) for side in (1, 2)}
     return events.withColumns(footers).drop("footer_text_1", "footer_text_2")
 
 
+def receipt_events(spark: SparkSession, folder: str) -> DataFrame:
+    return _with_footers(_derived(spark, folder, RECEIPT_EVENTS_SQL, "nation"))
+
+
 def hosts(spark: SparkSession, folder: str) -> DataFrame:
-    events = _derived(spark, folder, HOSTS_SQL, "supplier")
+    events = _with_footers(_derived(spark, folder, HOSTS_SQL, "supplier"))
     return events.withColumn("items", F.split("items_text", ","))
 
 

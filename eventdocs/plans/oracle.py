@@ -62,8 +62,7 @@ FROM (
   FROM placed)
 """
 
-_BADGE_ELEMENTS = f"""
-WITH {_ROSTER}, {_BADGE_EVENTS}, {_NUMBERED}, lay AS ({_LAYOUT}),
+_BADGE_TEMPLATE = """
 tpl(element_no, element, kind, dx, dy, width_mm, fs, color, shape, bg) AS (VALUES
   (1, 'congress', 'text', 1.0, -10.0, 91.0, 14.0, 'white', 'rect', NULL),
   (2, 'place', 'text', 65, -10, NULL, 7, 'white', NULL, NULL),
@@ -77,7 +76,10 @@ tpl(element_no, element, kind, dx, dy, width_mm, fs, color, shape, bg) AS (VALUE
   (10, 'dinner_mark', 'text', 5, -47, NULL, 12, 'white', 'circle', 'red'),
   (11, 'workshop_mark', 'text', 12, -47, NULL, 12, 'white', 'circle', 'blue'),
   (12, 'committee', 'text', 45, -45, NULL, 6, 'black', NULL, NULL),
-  (13, 'committee_sub', 'text', 45, -48, NULL, 6, 'black', NULL, NULL)),
+  (13, 'committee_sub', 'text', 45, -48, NULL, 6, 'black', NULL, NULL))
+"""
+
+_BADGE_PLACED = """
 placed AS (
   SELECT event_id, entry_no, sheet_no, slot_no, element_no, element, kind,
     CASE element WHEN 'congress' THEN congress WHEN 'place' THEN place WHEN 'date' THEN event_date
@@ -89,14 +91,20 @@ placed AS (
     NULL::DOUBLE AS line_width_mm, CASE WHEN element = 'affiliation' THEN affil_font ELSE fs::DOUBLE END AS font_size,
     color, shape, CASE WHEN element = 'congress' THEN coalesce(strip_color, 'green') ELSE bg END AS bg_color,
     CASE WHEN kind = 'text' THEN 'left' END AS align
-  FROM lay JOIN badge_events USING (event_id) CROSS JOIN tpl
+  FROM lay JOIN {events} USING (event_id) CROSS JOIN tpl
   WHERE CASE element WHEN 'affiliation' THEN coalesce(affiliation <> '', false) WHEN 'dinner_mark' THEN dinner_mark
     WHEN 'workshop_mark' THEN workshop_mark ELSE true END)
-{_DRAWN.format(keep="event_id, entry_no, sheet_no, slot_no")}
 """
 
-_RECEIPT_ELEMENTS = f"""
-WITH {_ROSTER}, {_RECEIPT_EVENTS}, {_ITEMS},
+
+def _badge_elements(rows: str, events: str) -> str:
+    """Elements of the badges numbered by the CTEs ``rows``, with the constants of the CTE ``events``."""
+    drawn = _DRAWN.format(keep="event_id, entry_no, sheet_no, slot_no")
+    placed = _BADGE_PLACED.format(events=events)
+    return f"WITH {rows}, lay AS ({_LAYOUT}), {_BADGE_TEMPLATE}, {placed} {drawn}"
+
+
+_RECEIPT_TEMPLATE = """
 tpl(element_no, element, kind, dx, dy, width_mm, font_size, color, shape, bg_color, align, lw) AS (VALUES
   (1, 'stamp', 'image', 140.0, -65.0, 22.0, NULL, NULL, NULL, NULL, NULL, NULL),
   (2, 'frame', 'frame', 0, -66, 182, NULL, NULL, NULL, NULL, NULL, 0.2),
@@ -107,7 +115,10 @@ tpl(element_no, element, kind, dx, dy, width_mm, font_size, color, shape, bg_col
   (7, 'date', 'text', 45, -45, NULL, 10, 'black', NULL, NULL, 'left', NULL),
   (8, 'received', 'text', 45, -48.5, NULL, 10, 'black', NULL, NULL, 'left', NULL),
   (9, 'committee_sub', 'text', 105, -58, NULL, 10, 'black', NULL, NULL, 'left', NULL),
-  (10, 'president', 'text', 118, -61.5, NULL, 10, 'black', NULL, NULL, 'left', NULL)),
+  (10, 'president', 'text', 118, -61.5, NULL, 10, 'black', NULL, NULL, 'left', NULL))
+"""
+
+_RECEIPT_PLACED = """
 placed AS (
   SELECT event_id, entry_no, slot_no, element_no, element, kind,
     CASE element WHEN 'title' THEN title WHEN 'recipient' THEN recipient WHEN 'amount' THEN amount_text
@@ -117,23 +128,44 @@ placed AS (
     x_mm + dx::DOUBLE AS x_mm, y_mm + dy::DOUBLE AS y_mm, width_mm::DOUBLE AS width_mm,
     CASE element WHEN 'stamp' THEN 22::DOUBLE * image_height / image_width WHEN 'frame' THEN 66::DOUBLE END AS height_mm,
     lw::DOUBLE AS line_width_mm, font_size::DOUBLE AS font_size, color, shape, bg_color, align
-  FROM items JOIN receipt_events USING (event_id) CROSS JOIN tpl
-  WHERE element <> 'stamp' OR image_width IS NOT NULL)
-{_DRAWN.format(keep="event_id, entry_no, slot_no")}
+  FROM items JOIN {events} USING (event_id) CROSS JOIN tpl
+  WHERE element <> 'stamp' OR {stamped})
+"""
+
+
+def _receipt_elements(rows: str, events: str, stamped: str) -> str:
+    """Elements of the receipts in the CTE ``items`` of ``rows``, with the constants of the CTE ``events``."""
+    drawn = _DRAWN.format(keep="event_id, entry_no, slot_no")
+    placed = _RECEIPT_PLACED.format(events=events, stamped=stamped)
+    return f"WITH {rows}, {_RECEIPT_TEMPLATE}, {placed} {drawn}"
+
+
+_BLANK_NUMBERED = """
+numbered AS (
+  SELECT event_id, ord, ord AS entry_no, '' AS name, '' AS affiliation, 0 AS fee_dinner, 0 AS fee_workshop
+  FROM (SELECT event_id, unnest(range(0, n_sheet * 10)) AS ord FROM hosts))
+"""
+
+_BLANK_ITEMS = """
+items AS (
+  SELECT event_id, 0::BIGINT AS entry_no, slot_no, 14::BIGINT AS x_mm, (286 - 70 * slot_no)::BIGINT AS y_mm,
+    repeat(' ', 16) || ' 様' AS recipient, '￥' || repeat(' ', 14) AS amount_text, fee_label
+  FROM hosts JOIN (VALUES (0::BIGINT, '参加費'), (1, '懇親会参加費'), (2, '現地研修会参加費')) s(slot_no, fee_label)
+    ON list_contains(string_split(items_text, ','), fee_label))
 """
 
-_FOOTERS = f"""
-WITH {_ROSTER}, {_RECEIPT_EVENTS},
+_FOOTER_LINES = """
 lines AS (
-  SELECT event_id, 1::BIGINT AS side, unnest(string_split(footer_text_1, chr(10))) AS text,
-    generate_subscripts(string_split(footer_text_1, chr(10)), 1) - 1 AS line_no FROM receipt_events
-  UNION ALL
-  SELECT event_id, 2, unnest(string_split(footer_text_2, chr(10))),
-    generate_subscripts(string_split(footer_text_2, chr(10)), 1) - 1 FROM receipt_events)
-SELECT event_id, entry_no, side, line_no,
-  (CASE side WHEN 1 THEN 10 ELSE 125 END + CASE WHEN line_no = 0 THEN 0 ELSE 5 END)::BIGINT AS x_mm,
-  (47 - 5 * line_no)::BIGINT AS y_mm, 11::DOUBLE AS font_size, text
-FROM roster JOIN lines USING (event_id) WHERE line_no < 8
+  SELECT event_id, side, line_no,
+    (CASE side WHEN 1 THEN 10 ELSE 125 END + CASE WHEN line_no = 0 THEN 0 ELSE 5 END)::BIGINT AS x_mm,
+    (47 - 5 * line_no)::BIGINT AS y_mm, 11::DOUBLE AS font_size, text
+  FROM (
+    SELECT event_id, 1::BIGINT AS side, unnest(string_split(footer_text_1, chr(10))) AS text,
+      generate_subscripts(string_split(footer_text_1, chr(10)), 1) - 1 AS line_no FROM {events}
+    UNION ALL
+    SELECT event_id, 2, unnest(string_split(footer_text_2, chr(10))),
+      generate_subscripts(string_split(footer_text_2, chr(10)), 1) - 1 FROM {events})
+  WHERE line_no < 8)
 """
 
 _ARTICLES = """
@@ -191,13 +223,9 @@ SELECT event_id, count(entry_no) AS badges, (count(entry_no) + 9) // 10 AS sheet
   count(entry_no) // 10 + 1 AS pages_emitted
 FROM badge_events LEFT JOIN roster USING (event_id) GROUP BY event_id
 """,
-    "badge_blank": f"""
-WITH {_HOSTS}, numbered AS (
-  SELECT event_id, ord, ord AS entry_no, '' AS name, '' AS affiliation, 0 AS fee_dinner, 0 AS fee_workshop
-  FROM (SELECT event_id, unnest(range(0, n_sheet * 10)) AS ord FROM hosts))
-{_LAYOUT}
-""",
-    "badge_elements": _BADGE_ELEMENTS,
+    "badge_blank": f"WITH {_HOSTS}, {_BLANK_NUMBERED} {_LAYOUT}",
+    "badge_elements": _badge_elements(f"{_ROSTER}, {_BADGE_EVENTS}, {_NUMBERED}", "badge_events"),
+    "badge_blank_elements": _badge_elements(f"{_HOSTS}, {_BLANK_NUMBERED}", "hosts"),
     "receipt_items": f"""
 WITH {_ROSTER}, {_RECEIPT_EVENTS}, {_ITEMS}
 SELECT items.*, 'ただし，' || congress || fee_label || 'として' AS proviso
@@ -210,16 +238,19 @@ SELECT event_id, entry_no, row_number() OVER (PARTITION BY event_id ORDER BY ent
    + coalesce(fee_workshop <> 0, false)::BIGINT) AS receipts
 FROM roster
 """,
-    "receipt_footers": _FOOTERS,
+    "receipt_footers": f"""
+WITH {_ROSTER}, {_RECEIPT_EVENTS}, {_FOOTER_LINES.format(events="receipt_events")}
+SELECT event_id, entry_no, side, line_no, x_mm, y_mm, font_size, text FROM roster JOIN lines USING (event_id)
+""",
+    "receipt_elements": _receipt_elements(
+        f"{_ROSTER}, {_RECEIPT_EVENTS}, {_ITEMS}", "receipt_events", "image_width IS NOT NULL"
+    ),
     "receipt_blank": f"""
-WITH {_HOSTS}
-SELECT event_id, 0::BIGINT AS entry_no, slot_no, 14::BIGINT AS x_mm, (286 - 70 * slot_no)::BIGINT AS y_mm,
-  repeat(' ', 16) || ' 様' AS recipient, '￥' || repeat(' ', 14) AS amount_text, fee_label,
-  'ただし，' || congress || fee_label || 'として' AS proviso
-FROM hosts JOIN (VALUES (0::BIGINT, '参加費'), (1, '懇親会参加費'), (2, '現地研修会参加費')) s(slot_no, fee_label)
-  ON list_contains(string_split(items_text, ','), fee_label)
+WITH {_HOSTS}, {_BLANK_ITEMS}
+SELECT items.*, 'ただし，' || congress || fee_label || 'として' AS proviso FROM items JOIN hosts USING (event_id)
 """,
-    "receipt_elements": _RECEIPT_ELEMENTS,
+    "receipt_blank_elements": _receipt_elements(f"{_HOSTS}, {_BLANK_ITEMS}", "hosts", "false"),
+    "receipt_blank_footers": f"WITH {_HOSTS}, {_FOOTER_LINES.format(events='hosts')} SELECT * FROM lines",
     "session_labels": f"""
 WITH {_SESSIONS}
 SELECT session_id, number, number - start + 1 AS page_no, pre || printf('%02d', number) || post AS label,

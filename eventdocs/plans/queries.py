@@ -33,6 +33,11 @@ def badge_elements(spark: SparkSession, folder: str) -> DataFrame:
     return badges.badge_elements(layout, fixtures.badge_events(spark, folder))
 
 
+def badge_blank_elements(spark: SparkSession, folder: str) -> DataFrame:
+    events = fixtures.hosts(spark, folder)
+    return badges.badge_elements(badges.badge_blank(events), events)
+
+
 def receipt_items(spark: SparkSession, folder: str) -> DataFrame:
     items = receipts.receipt_items(fixtures.roster(spark, folder))
     return receipts.with_proviso(items, fixtures.receipt_events(spark, folder))
@@ -50,6 +55,15 @@ def receipt_blank(spark: SparkSession, folder: str) -> DataFrame:
     return receipts.receipt_blank(fixtures.hosts(spark, folder))
 
 
+def receipt_blank_footers(spark: SparkSession, folder: str) -> DataFrame:
+    return receipts.receipt_blank_footers(fixtures.hosts(spark, folder))
+
+
+def receipt_blank_elements(spark: SparkSession, folder: str) -> DataFrame:
+    events = fixtures.hosts(spark, folder)
+    return receipts.receipt_elements(receipts.receipt_blank(events), events, stamped=False)
+
+
 def receipt_elements(spark: SparkSession, folder: str) -> DataFrame:
     items = receipts.receipt_items(fixtures.roster(spark, folder))
     return receipts.receipt_elements(items, fixtures.receipt_events(spark, folder))
@@ -149,10 +163,13 @@ QUERIES: dict[str, Query] = {
         badge_sheets,
         badge_blank,
         badge_elements,
+        badge_blank_elements,
         receipt_items,
         receipt_pages,
         receipt_footers,
         receipt_blank,
+        receipt_blank_elements,
+        receipt_blank_footers,
         receipt_elements,
         session_labels,
         page_labels,

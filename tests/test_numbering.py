@@ -43,7 +43,7 @@ def test_long_ranges_are_dealt_out_whole(spark, block):
 def test_division_and_blank_pages(spark):
     schema = "id BIGINT, kind STRING, text STRING, y_mm DOUBLE, font_size DOUBLE, fill_color STRING, bleed_mm DOUBLE"
     rows = [(1, "division", "第1部", 20.0, 30.0, "red", 3.0), (2, "blank", None, None, None, "greenyellow", 3.0),
-            (3, "blank", None, None, None, None, 0.0)]
+            (3, "blank", None, None, None, None, None), (4, "division", "", None, 10.0, None, None)]
     got = {r["id"]: r for r in numbering.page_requests(spark.createDataFrame(rows, schema), "id").collect()}
     strip = got[1]
     assert (strip["strip_y_mm"], strip["strip_w_mm"], strip["strip_h_mm"]) == (303 - 63, 216, 40)
@@ -51,3 +51,4 @@ def test_division_and_blank_pages(spark):
     assert strip["text_y_pt"] == pytest.approx(260 * 72 / 25.4 - 12)
     assert (got[2]["fill_color"], got[2]["page_w_mm"], got[2]["text"]) == ("greenyellow", 216, None)
     assert (got[3]["page_w_mm"], got[3]["page_h_mm"]) == (210, 297)
+    assert (got[4]["page_w_mm"], got[4]["strip_y_mm"]) == (216, 303 - 53)
