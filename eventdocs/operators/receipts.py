@@ -24,13 +24,15 @@ def fee_items(roster: DataFrame, labels: Sequence[str] = layout.FEE_LABELS) -> D
 
     Fees are called by ``labels``, or by the roster's own ``fee_labels`` where it has that column.
     """
-    slots = [f"{slot}L, '{column}', {column}" for slot, column in enumerate(FEE_COLUMNS)]
-    stacked = F.expr(f"stack({len(slots)}, {', '.join(slots)}) AS (slot_no, fee, amount)")
-    own = "fee_labels" in roster.columns
+    own = [column for column in roster.columns if column == "fee_labels"]
     names = F.col("fee_labels") if own else F.array(*[F.lit(text) for text in labels])
-    rows = roster.select("event_id", "entry_no", "name", *(["fee_labels"] if own else []), stacked)
-    label = F.element_at(names, (F.col("slot_no") + 1).cast("int"))
-    return rows.where(F.col("amount") != 0).withColumn("fee_label", label).drop("fee_labels")
+    position = F.array_position(F.array(*[F.lit(fee) for fee in FEE_COLUMNS]), F.col("fee"))
+    return (
+        roster.unpivot(["event_id", "entry_no", "name", *own], list(FEE_COLUMNS), "fee", "amount")
+        .where(F.col("amount") != 0)
+        .withColumns({"slot_no": position - 1, "fee_label": F.element_at(names, position.cast("int"))})
+        .select("event_id", "entry_no", "name", "slot_no", "fee", "amount", "fee_label")
+    )
 
 
 def _slot_corner(slot: Column) -> dict[str, Column]:
@@ -69,7 +71,8 @@ def footer_lines(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
 
     def column(side: int) -> Column:
         first_mm, other_mm = layout.FOOTER_COLUMNS_MM[side]
-        lines = F.slice(F.coalesce(F.col(f"footer_{side}"), F.array().cast("array<string>")), 1, layout.FOOTER_MAX_LINES)
+        given = F.coalesce(F.col(f"footer_{side}"), F.array().cast("array<string>"))
+        lines = F.slice(given, 1, layout.FOOTER_MAX_LINES)
         return F.transform(
             lines,
             lambda text, i: F.struct(

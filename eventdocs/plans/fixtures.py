@@ -264,7 +264,8 @@ def feeds(spark: SparkSession, folder: str) -> DataFrame:
         return F.coalesce(filled, F.lit(f"<{name}/>"))
 
     def both(name: str, inner) -> list[Column]:
-        return [F.lit(f"<{name}>\n"), F.lit("<en>"), inner("en"), F.lit("</en>\n<ja>"), inner("ja"), F.lit(f"</ja></{name}>")]
+        start, end = F.lit(f"<{name}>\n<en>"), F.lit(f"</ja></{name}>")
+        return [start, inner("en"), F.lit("</en>\n<ja>"), inner("ja"), end]
 
     def entry(r: Column) -> Column:
         def authors(lang: str) -> Column:

@@ -45,7 +45,7 @@ items AS (
 _DRAWN = """
 SELECT {keep}, element_no::BIGINT AS element_no, element, kind, text, x_mm, y_mm, width_mm, height_mm, line_width_mm,
   font_size, color, bg_color, align,
-  CASE WHEN kind = 'text' THEN CASE WHEN align = 'center' THEN x_pt + w_pt * 0.5::DOUBLE ELSE x_pt END END AS text_x_pt,
+  CASE WHEN kind = 'text' THEN CASE align WHEN 'center' THEN x_pt + w_pt * 0.5::DOUBLE ELSE x_pt END END AS text_x_pt,
   CASE WHEN kind = 'text' THEN y_pt END AS text_y_pt,
   box,
   CASE box WHEN 'rect' THEN x_pt - font_size * 0.5::DOUBLE WHEN 'circle' THEN x_pt + font_size * 0.48::DOUBLE
@@ -272,7 +272,8 @@ FROM (SELECT doc_id, font_size, 210 + bleed_mm * 2 AS page_w_mm, 297 + bleed_mm
     "page_requests": f"""
 WITH {_REQUESTS}
 SELECT request_id, kind, page_w_mm, page_h_mm,
-  CASE kind WHEN 'division' THEN strip_y_mm END AS strip_y_mm, CASE kind WHEN 'division' THEN page_w_mm END AS strip_w_mm,
+  CASE kind WHEN 'division' THEN strip_y_mm END AS strip_y_mm,
+  CASE kind WHEN 'division' THEN page_w_mm END AS strip_w_mm,
   CASE kind WHEN 'division' THEN height_mm END AS strip_h_mm, CASE kind WHEN 'division' THEN text END AS text,
   CASE kind WHEN 'division' THEN coalesce(x_mm, page_w_mm / 2) END AS text_x_mm,
   CASE kind WHEN 'division'
@@ -316,7 +317,8 @@ SELECT doc_id, volume, '10.0/' || doc_id AS doi FROM art WHERE title_ja <> '' AN
     "feed_entries": f"""
 WITH {_ARTICLES},
 numbered AS (
-  SELECT *, doc_id // 50 AS feed_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS ordinal FROM art)
+  SELECT *, doc_id // 50 AS feed_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS ordinal
+  FROM art)
 SELECT feed_id, ordinal, title_en, nullif(title_ja, '') AS title_ja, link || '/ja' AS link_ja,
   array_to_string(list_transform(names, lambda n: replace(n, '#', '  #')), '; ') AS authors_en,
   array_to_string(list_transform(names, lambda n: '著者' || chr(10) || n), '; ') AS authors_ja,

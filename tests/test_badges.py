@@ -6,7 +6,7 @@ from eventdocs.operators.badges import badge_blank, badge_elements, badge_layout
 from eventdocs.schemas import BADGE_EVENT, ROSTER
 
 EVENT = (1, "第1回大会", "2025年10月10日", "実行委員会", "委員会", "会館", "所属", "氏名", None)
-CORNERS = [(14, 286), (14, 231), (14, 176), (14, 121), (14, 66), (105, 286), (105, 231), (105, 176), (105, 121), (105, 66)]
+CORNERS = [(x, y) for x in (14, 105) for y in (286, 231, 176, 121, 66)]
 
 
 @pytest.mark.parametrize("size", [1, 9, 10, 11, 20, 23])

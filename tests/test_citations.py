@@ -35,7 +35,8 @@ ENTRIES = [
 
 @pytest.fixture(scope="module")
 def entries(spark):
-    feeds = spark.createDataFrame([(1, feed(5, *ENTRIES)), (2, feed(1, *ENTRIES[:2])), (3, feed(9, ENTRIES[0]))], "f BIGINT, xml STRING")
+    rows = [(1, feed(5, *ENTRIES)), (2, feed(1, *ENTRIES[:2])), (3, feed(9, ENTRIES[0]))]
+    feeds = spark.createDataFrame(rows, "f BIGINT, xml STRING")
     return citations.feed_entries(citations.parse_feeds(feeds), ["f"])
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from eventdocs.operators import citations, receipts
+from eventdocs.operators.constants import with_constants
 from eventdocs.operators.badges import badge_elements, badge_layout
 from eventdocs.operators.contents import contents_rows, html_items
 from eventdocs.schemas import BADGE_EVENT
@@ -30,8 +31,12 @@ def test_rosters_in_csv(spark, tmp_path):
     assert [(r["event_id"], r["name"], r["affiliation"], r["fee_workshop"]) for r in rows] == [
         (1, "参加者1", "所属1", 5000), (1, "参加者2", None, None), (2, "甲, 乙", "所属3", 3)
     ]
-    labels = {r["event_id"]: r["fee_labels"] for r in roster_source.read_fee_labels(spark, str(tmp_path)).collect()}
+    headers = roster_source.read_fee_labels(spark, str(tmp_path))
+    labels = {r["event_id"]: r["fee_labels"] for r in headers.collect()}
     assert labels == {1: ["参加費", "懇親会参加費", "研修会参加費"], 2: ["fee", "dinner", "trip"]}
+    labelled = with_constants(roster_source.read_roster_csv(spark, str(tmp_path)), headers)
+    items = receipts.receipt_items(labelled).orderBy("event_id", "entry_no", "slot_no").collect()
+    assert [r["fee_label"] for r in items] == [*labels[1], "参加費", *labels[2]]
 
 
 def test_roster_order_holds_across_file_splits(spark, tmp_path):
@@ -66,7 +71,8 @@ def test_feeds(spark, tmp_path):
     entries = feed_source.read_feed_entries(spark, str(tmp_path))
     name = F.regexp_extract("feed_file", r"(\w)\.xml$", 1)
     got = entries.select(name.alias("f"), "ordinal", "doi", "startingPage").orderBy("f", "ordinal").collect()
-    assert [tuple(r)[:3] for r in got] == [("a", i, f"10.0/{i}") for i in range(5)] + [("b", 0, "10.0/10"), ("b", 1, "10.0/11")]
+    expected = [("a", i, f"10.0/{i}") for i in range(5)] + [("b", 0, "10.0/10"), ("b", 1, "10.0/11")]
+    assert [tuple(r)[:3] for r in got] == expected
     assert {r["startingPage"] for r in got} == {"001"}
     assert feed_source.read_entries(spark, str(tmp_path)).count() == 8
     cited = citations.with_citation_ja(feed_source.read_entries(spark, str(tmp_path)))
@@ -92,7 +98,8 @@ def test_contents_pages(spark, tmp_path):
     assert {r["count"] for r in rows.groupBy("url").count().collect()} == {5, 1}
     tables.write_contents_rows(rows, str(tmp_path / "out"), "url")
     columns = ["url", "pos", "section", "title", "author", "add_info"]
-    back = spark.read.csv(str(tmp_path / "out"), header=True, multiLine=True, escape='"').withColumn("pos", F.col("pos").cast("long"))
+    back = spark.read.csv(str(tmp_path / "out"), header=True, multiLine=True, escape='"')
+    back = back.withColumn("pos", F.col("pos").cast("long"))
     assert back.columns == columns
     empty_is_null = rows.select([F.when(F.col(c) != "", F.col(c)).alias(c) if c != "pos" else c for c in columns])
     same_null = back.select([F.when(F.col(c) != "", F.col(c)).alias(c) if c != "pos" else c for c in columns])

@@ -34,7 +34,8 @@ def test_own_prefix_and_suffix(spark):
 
 @pytest.mark.parametrize("block", [1, 3, 7, 100])
 def test_long_ranges_are_dealt_out_whole(spark, block):
-    requests = spark.createDataFrame([(1, 0, 49), (2, -3, 4), (3, 5, 5), (4, 6, 5), (5, 0, block - 1), (6, 0, block)], REQUEST)
+    ranges = [(1, 0, 49), (2, -3, 4), (3, 5, 5), (4, 6, 5), (5, 0, block - 1), (6, 0, block)]
+    requests = spark.createDataFrame(ranges, REQUEST)
     rows = numbering.expand_range(requests, "start", "end", "n", block=block).collect()
     wanted = [(r["id"], n) for r in requests.collect() for n in range(r["start"], r["end"] + 1)]
     assert sorted((r["id"], r["n"]) for r in rows) == sorted(wanted)

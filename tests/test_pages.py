@@ -71,7 +71,8 @@ def test_names_sort_by_code_point(spark):
 
 @pytest.mark.parametrize("numbers", [[1, 3], [0, 1], [2, 3], [1, None]])
 def test_page_numbers_have_to_be_whole(spark, numbers):
-    rows = spark.createDataFrame([(1, "a.pdf", 0, n) for n in numbers], "job_id BIGINT, file_name STRING, upload_seq BIGINT, page_no BIGINT")
+    schema = "job_id BIGINT, file_name STRING, upload_seq BIGINT, page_no BIGINT"
+    rows = spark.createDataFrame([(1, "a.pdf", 0, n) for n in numbers], schema)
     listed = spark.createDataFrame([(1, "a.pdf", 0, "ok")], FILE)
     with pytest.raises(Exception, match="have to be 1, 2"):
         pages.page_combine(rows, listed).collect()
