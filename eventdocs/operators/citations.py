@@ -99,6 +99,11 @@ def parse_feeds(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     return feeds.select(*others, F.from_xml(xml, FEED, XML_OPTIONS).alias("feed")).select(*others, "feed.*")
 
 
+def feed_rejects(feeds: DataFrame) -> DataFrame:
+    """Parsed feeds without a readable count of results or without entries."""
+    return feeds.where(F.col("totalResults").isNull() | F.col("entry").isNull() | (F.size("entry") == 0))
+
+
 def feed_entries(feeds: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per entry with its ``ordinal`` in the feed, up to the feed's own count of results."""
     return (

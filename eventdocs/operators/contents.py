@@ -148,7 +148,8 @@ class _ItemReader(HTMLParser):
         self.node.append(html5.get(f"{name};", f"&{name}"))
 
     def handle_charref(self, name):
-        self.node.append(_character(int(name[1:], 16) if name[0] in "xX" else int(name)))
+        digits, base = (name[1:], 16) if name[0] in "xX" else (name, 10)
+        self.node.append(_character(int(digits.lstrip("0")[:9] or "0", base)))
 
     def handle_comment(self, data):
         self.end_node()
@@ -177,14 +178,21 @@ class _ItemReader(HTMLParser):
                 parts.append(stripped)
 
     def read(self, html: str) -> list[_Item]:
-        self.feed(html)
-        self.close()
-        self.end_node()
+        try:
+            self.feed(html)
+            self.close()
+            self.end_node()
+        except AssertionError:
+            self.items.append(_Item("unreadable"))
         return self.items
 
 
 def html_items(pages: DataFrame, keep: Sequence[str], rule: ItemRule = ItemRule(), html: str = "html") -> DataFrame:
-    """Items of every page in document order, with the whole text and the first match of each field."""
+    """Items of every page in document order, with the whole text and the first match of each field.
+
+    A page with markup that the tokenizer gives up on has the items before it, and a last one of kind
+    ``unreadable``.
+    """
     keep = list(keep)
 
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -19,10 +19,18 @@ def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """One row per entry, for citations that need no position in the feed."""
+    """One row per entry, for citations that need no position in the feed.
+
+    Where a file stops being XML, a last row without any part stands for the rest of it; see ``broken_entries``.
+    """
     return _rows(spark, path, "entry", FEED_ENTRY)
 
 
+def broken_entries(entries: DataFrame) -> DataFrame:
+    """Rows that stand for the unreadable rest of a file."""
+    return entries.where("article_title IS NULL AND article_link IS NULL AND author IS NULL")
+
+
 def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
     """Entries with their ``ordinal`` in the feed, up to the feed's own count of results. One feed per file.
 

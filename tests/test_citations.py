@@ -87,6 +87,14 @@ def test_list_items(entries):
     ]
 
 
+def test_unreadable_feeds_are_reported(spark):
+    cut = feed(1, ENTRIES[0])[:-40]
+    rows = [(1, feed(1, ENTRIES[0])), (2, cut), (3, None), (4, feed(0)), (5, feed("many", ENTRIES[0]))]
+    parsed = citations.parse_feeds(spark.createDataFrame(rows, "f BIGINT, xml STRING"))
+    assert {r["f"] for r in citations.feed_rejects(parsed).collect()} == {2, 3, 4, 5}
+    assert {r["f"] for r in citations.feed_entries(parsed, ["f"]).collect()} == {1}
+
+
 def test_incomplete_entries_are_rejected(spark):
     broken = entry(7).replace("<volume>41</volume>", "")
     feeds = spark.createDataFrame([(1, feed(2, broken, entry(8)))], "f BIGINT, xml STRING")

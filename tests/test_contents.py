@@ -79,6 +79,25 @@ def test_entities(spark):
     assert items(spark, html).first()["text"] == "<&unknownAB“\x81あ\ufffd\ufffd&&"
 
 
+def test_references_of_any_length(spark):
+    html = f'<h1 class="section-level1">&#{"0" * 6000}65;&#{"9" * 6000};&#x{"f" * 99};&#00065;</h1>'
+    assert items(spark, html).first()["text"] == "A\ufffd\ufffdA"
+
+
+def test_unreadable_markup_is_reported(spark):
+    def give_up(reader, html):
+        raise AssertionError("markup")
+
+    from eventdocs.operators import contents
+
+    reader = contents._ItemReader(ItemRule())
+    reader.handle_comment = lambda data: give_up(reader, data)
+    got = reader.read('<h1 class="section-level1">a</h1><!-- x --><h1 class="section-level1">b</h1>')
+    assert [item.kind for item in got] == ["heading", "unreadable"]
+    mixed = '<h1 class="section-level1">a<![if x]>b<![endif]>c<![foo]>d</h1>'
+    assert items(spark, mixed).first()["kind"] == "heading"
+
+
 def test_text_that_is_not_part_of_an_item(spark):
     html = '<h1 class="section-level1"><ruby>漢<rp>(</rp><rt>かん</rt></ruby><style>p{}</style><?x?>字</h1>'
     assert items(spark, html).first()["text"] == "漢字"

@@ -79,6 +79,16 @@ def test_feeds(spark, tmp_path):
     assert cited.where(F.col("citation").startswith("一人, 表題. ")).count() == 2
 
 
+def test_broken_files_are_reported(spark, tmp_path):
+    write(tmp_path / "a.xml", feed(3, entry(0), entry(1).replace("</article_link>", ""), entry(2)))
+    write(tmp_path / "b.xml", feed(1, entry(3)))
+    entries = feed_source.read_entries(spark, str(tmp_path))
+    assert {r["doi"] for r in entries.collect()} == {"10.0/0", "10.0/3", None}
+    assert [r["feed_file"][-5:] for r in feed_source.broken_entries(entries).collect()] == ["a.xml"]
+    numbered = feed_source.read_feed_entries(spark, str(tmp_path))
+    assert [(r["feed_file"][-5:], r["ordinal"]) for r in feed_source.broken_entries(numbered).collect()] == [("a.xml", 1)]
+
+
 def test_html_list_is_written_in_order(spark, tmp_path):
     feeds = spark.createDataFrame([(n, feed(5, *ENTRIES)) for n in (2, 1)], "f BIGINT, xml STRING")
     entries = citations.feed_entries(citations.parse_feeds(feeds), ["f"])
