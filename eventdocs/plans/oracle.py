@@ -356,4 +356,16 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY doc_id, part) -
   CASE kind WHEN 'item' THEN 'p.' || chr(160) || doc_id || '–9' END AS add_info
 FROM listed
 """,
+    "roster_csv": f"""
+WITH {_ROSTER}
+SELECT event_id, name, nullif(affiliation, '') AS affiliation, member_type, fee_attend, fee_dinner, fee_workshop,
+  coalesce(fee_attend, 0) + coalesce(fee_dinner, 0) + coalesce(fee_workshop, 0) AS total
+FROM roster
+""",
+    "receipt_files": f"WITH {_ROSTER}, {_ITEMS} SELECT * FROM items",
 }
+ORACLE["badge_files"] = ORACLE["badge_layout"]
+ORACLE["citation_list_files"] = f"""
+SELECT unnest(string_split(value, chr(10))) AS value FROM ({ORACLE["citation_html_en"]})
+"""
+ORACLE["contents_files"] = f"SELECT * EXCLUDE (kind) FROM ({ORACLE['contents_items']})"

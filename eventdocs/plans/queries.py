@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventdocs.operators import badges, citations, contents, numbering, pages, receipts
+from eventdocs.operators.ordinal import use_checkpoints
 from eventdocs.plans import fixtures
+from eventdocs.schemas import FEE_COLUMNS, ROSTER_COLUMNS
+from eventdocs.sinks import tables
+from eventdocs.sources.roster import read_roster_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -156,6 +161,48 @@ def contents_items(spark: SparkSession, folder: str) -> DataFrame:
     return contents.contents_rows(contents.html_items(listed, ["page_id"]), ["page_id"])
 
 
+def _new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared checkpoint folder, for tables that are written and read back."""
+    return f"{use_checkpoints(spark)}/eventdocs-{uuid4().hex}"
+
+
+def roster_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Rosters written as CSV files by event and read by column position; an empty affiliation is a blank cell."""
+    path, attendees = _new_folder(spark), fixtures.roster(spark, folder)
+    fees = [F.coalesce(F.col(fee), F.lit(0)) for fee in FEE_COLUMNS]
+    totalled = attendees.withColumn("total", fees[0] + fees[1] + fees[2])
+    totalled.select("event_id", *ROSTER_COLUMNS).write.partitionBy("event_id").csv(path, header=True)
+    return read_roster_csv(spark, path).drop("entry_no")
+
+
+def badge_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The badge layout written by event and read back."""
+    path, layout = _new_folder(spark), badge_layout(spark, folder)
+    tables.write_by_event(layout, path, tables.BADGE_ORDER)
+    return spark.read.schema(layout.schema).parquet(path)
+
+
+def receipt_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Receipts written by event and read back."""
+    path, items = _new_folder(spark), receipts.receipt_items(fixtures.roster(spark, folder))
+    tables.write_by_event(items, path, tables.RECEIPT_ORDER)
+    return spark.read.schema(items.schema).parquet(path)
+
+
+def citation_list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the English list as written."""
+    path = _new_folder(spark)
+    tables.write_html_list(citation_html_en(spark, folder), path, ["lang", "item_index"])
+    return spark.read.text(path)
+
+
+def contents_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the contents pages written as CSV and read back."""
+    path, rows = _new_folder(spark), contents_items(spark, folder).drop("kind")
+    tables.write_contents_rows(rows, path, "page_id")
+    return spark.read.schema(rows.schema).options(multiLine="true", **tables.CONTENTS_CSV).csv(path)
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -186,5 +233,10 @@ QUERIES: dict[str, Query] = {
         feed_entries,
         html_items,
         contents_items,
+        roster_csv,
+        badge_files,
+        receipt_files,
+        citation_list_files,
+        contents_files,
     )
 }

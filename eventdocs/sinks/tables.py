@@ -27,7 +27,17 @@ def write_html_list(items: DataFrame, path: str, order: Sequence[str]) -> None:
     ordered.select("value").write.mode("overwrite").text(path)
 
 
+# A missing part is told from an empty one, and white space is kept; quotes in a text are doubled.
+CONTENTS_CSV = {
+    "header": "true",
+    "escape": '"',
+    "nullValue": r"\N",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 def write_contents_rows(rows: DataFrame, path: str, key: str) -> None:
     """Scraped rows as CSV, four texts per item after the page key and position."""
     columns = [key, "pos", "section", "title", "author", "add_info"]
-    rows.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows.select(*columns).write.mode("overwrite").options(**CONTENTS_CSV).csv(path)
