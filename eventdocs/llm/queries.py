@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventdocs.llm import lines, simhash, urls
+from eventdocs.llm import lines, packing, simhash, sketches, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,11 +22,30 @@ URL_RULES = (
 )
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(_table(spark, folder, "documents"), most=2048)
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     return urls.judge_urls(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches of all documents and their edited texts, and their likeness to those and to the next document's."""
+    found = sketches.with_edits(_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        sketches.as_text(F.col("fingerprint")).alias("fingerprint"),
+        sketches.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        sketches.resemblance(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        sketches.resemblance(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines before and after dropping those that at least ten documents share."""
     kept = lines.dedup_lines(_table(spark, folder, "documents"), min_docs=10, min_chars=1)
@@ -40,7 +59,9 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_url_filter": op3_url_filter,
+    "op7_fingerprints": op7_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
