@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventdocs.llm import lines, packing, simhash, sketches, urls
+from eventdocs.llm import labelled, lines, packing, quality, simhash, sketches, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,19 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every whole text; labels of the held-out fold are not learned from."""
+    docs = _table(spark, folder, "documents")
+    net = toxicity.fit_on_tables(docs, _table(spark, folder, "labels"))
+    found = toxicity.scores(docs, net)
+    return found.select(
+        "doc_id",
+        labelled.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Sketches of all documents and their edited texts, and their likeness to those and to the next document's."""
     found = sketches.with_edits(_table(spark, folder, "documents"))
@@ -46,6 +59,12 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade and tail probability of every whole text."""
+    docs = _table(spark, folder, "documents")
+    return quality.grades(docs, quality.fit_on_tables(docs, _table(spark, folder, "labels")))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines before and after dropping those that at least ten documents share."""
     kept = lines.dedup_lines(_table(spark, folder, "documents"), min_docs=10, min_chars=1)
@@ -61,7 +80,9 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_url_filter": op3_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
+    "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
