@@ -151,7 +151,9 @@ def dedup_lines(
     for batch in range(batches):
         own = hashes.where((F.col("batch") == batch) & F.col("first"))
         runs.add(own.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")))
-    hit = hashes.join(runs.frequent(), ["h1", "h2"]).groupBy(key, "row_key").agg(F.collect_set("pos").alias("dropped"))
+    # As a table of its own, so that AQE may split a frequent line's places in the join.
+    frequent = written(runs.frequent(), "frequent-lines")
+    hit = hashes.join(frequent, ["h1", "h2"]).groupBy(key, "row_key").agg(F.collect_set("pos").alias("dropped"))
     hit = written(hit, "line-drops")
     runs.clear()
     drop_written(hashes)
