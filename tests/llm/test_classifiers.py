@@ -93,7 +93,7 @@ def test_grades_are_ordered_and_learned():
     rng = random.Random(3)
     def text(grade):
         kind = [["junk!!", "123", "&&&"], ["plain", "words", "here"], ["careful", "reasoned", "prose"]][grade]
-        return " ".join(rng.choice(kind + WORDS) for _ in range(40))
+        return " ".join(rng.choice(kind * 8 + WORDS) for _ in range(40))
     model = quality.fit([(g, text(g)) for g in (0, 1, 2) for _ in range(150)])
     assert (np.diff(model.thresholds) >= 0).all()
     fresh = [(g, text(g)) for g in (0, 1, 2) for _ in range(50)]
