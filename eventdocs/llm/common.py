@@ -58,10 +58,10 @@ def drop_written(table: DataFrame) -> None:
     drop_path(table.sparkSession, table.written_to)
 
 
-def with_row_key(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, row_key, text): row_key tells rows of one key with different texts apart; equal rows share it."""
+def with_row_key(df: DataFrame, key: str, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, row_key, text, *carry): row_key tells rows of one key with different texts apart; equal rows share it."""
     shown = text_of(text)
-    return df.select(F.col(key), F.xxhash64(F.col(key), shown).alias("row_key"), shown.alias("text"))
+    return df.select(F.col(key), F.xxhash64(F.col(key), shown).alias("row_key"), shown.alias("text"), *carry)
 
 
 def same_row(a: DataFrame, b: DataFrame, key: str) -> Column:

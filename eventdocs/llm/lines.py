@@ -133,8 +133,9 @@ def dedup_lines(
     min_chars: int = 1,
     batches: int = BATCHES,
     fanout: int = FANOUT,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, row_key, kept, n_lines, n_dropped) of every row, in whole texts.
+    """(key, row_key, *carry, kept, n_lines, n_dropped) of every row, in whole texts.
 
     A line's key is the line stripped of ASCII white space and with A-Z lowered. Keys of at least ``min_chars`` code
     points that at least ``min_docs`` rows hold lose all their lines; blank lines always stay. Null and empty texts are
@@ -157,14 +158,15 @@ def dedup_lines(
     hit = written(hit, "line-drops")
     runs.clear()
     drop_written(hashes)
-    whole = with_row_key(docs, key)
+    whole = with_row_key(docs, key, carry=carry)
     joined = whole.join(hit, same_row(whole, hit, key), "left").select(
-        whole[key], whole["row_key"], whole["text"], hit["dropped"]
+        whole[key], whole["row_key"], whole["text"], *carry, hit["dropped"]
     )
     schema = T.StructType(
         [
             docs.schema[key],
             T.StructField("row_key", T.LongType()),
+            *(docs.schema[c] for c in carry),
             T.StructField("kept", T.StringType()),
             T.StructField("n_lines", T.LongType()),
             T.StructField("n_dropped", T.LongType()),
@@ -184,7 +186,7 @@ def dedup_lines(
                 gone.append(total[-1] - len(lines))
                 kept.append("\n".join(lines))
             columns = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())]
-            own = [batch.column(key), batch.column("row_key")]
+            own = [batch.column(n) for n in (key, "row_key", *carry)]
             yield pa.RecordBatch.from_arrays([*own, *columns], names=schema.names)
 
     return joined.mapInArrow(rebuild, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventdocs.llm import labelled, lines, packing, quality, simhash, sketches, toxicity, urls
+from eventdocs.llm import decontaminate, labelled, lines, packing, quality, simhash, sketches, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), most=2048)
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items that documents hold, up to a tenth of their length in edits."""
+    found = decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "edits", "start", "end")
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     return urls.judge_urls(_table(spark, folder, "pages"), URL_RULES)
@@ -79,6 +85,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,

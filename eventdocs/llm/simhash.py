@@ -14,11 +14,11 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventdocs.llm.common import components, parts, pieces, text_of, written
+from eventdocs.llm.common import components, parts, pieces, text_of, with_row_key, written
 
 BITS, RADIUS, SEED = 64, 4, 42
 #: Variants that one step of a cell's task holds at a time.
@@ -45,16 +45,19 @@ def simhash(text: bytes, size: int, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", size: int = 4) -> DataFrame:
-    """(key, fp): the SimHash of every whole text as a BIGINT with the same 64 bits. A null text is an empty one."""
-    schema = T.StructType([docs.schema[key], T.StructField("fp", T.LongType())])
+    """(key, row_key, fp): the SimHash of every whole text as a BIGINT with the same 64 bits. A null text is an empty one."""
+    schema = T.StructType(
+        [docs.schema[key], T.StructField("row_key", T.LongType()), T.StructField("fp", T.LongType())]
+    )
 
     def hash_all(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(rows, "text"):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             found = np.array([simhash(t, size) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found)], names=schema.names)
+            own = [batch.column(key), batch.column("row_key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(found)], names=schema.names)
 
-    return docs.select(F.col(key), text_of().alias("text")).mapInArrow(hash_all, schema)
+    return with_row_key(docs, key).mapInArrow(hash_all, schema)
 
 
 def _masks(bits: int, flips: int) -> np.ndarray:
@@ -147,7 +150,9 @@ def links(fps: DataFrame, radius: int = RADIUS, prefix: int | None = None, most:
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", size: int = 4, radius: int = RADIUS, prefix: int | None = None
 ) -> DataFrame:
-    """(key, fp, component_id) of every row: component_id is the smallest key that links of ``radius`` bits reach.
+    """(key, row_key, fp, component, component_id) of every row.
+
+    ``component`` is the smallest fingerprint and component_id the smallest key that links of ``radius`` bits reach.
 
     Equal fingerprints are one node, so a group of copies costs one row in the search. Texts without words have
     fingerprint 0 and link like any other; a null text is an empty one. Repeated rows are kept and share a component. A
@@ -159,5 +164,18 @@ def near_duplicates(
     roots = components(links(nodes.select("fp"), radius, prefix)).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.join(least, "root").select("fp", "component_id")
-    return marked.join(labels, "fp").select(key, "fp", "component_id")
+    labels = named.join(least, "root").select("fp", F.col("root").alias("component"), "component_id")
+    return marked.join(labels, "fp").select(key, "row_key", "fp", "component", "component_id")
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", size: int = 5, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs``, all columns unchanged, of each component (see ``near_duplicates``): that with the smallest
+    key. Null keys come last; of repeated rows one stays."""
+    found = near_duplicates(docs, key, size, radius)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("no_key"), key, "row_key")).alias("m"))
+    kept = kept.select(F.col("m.row_key").alias("row_key"), F.col(f"m.{key}").alias("kept_key"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), text_of().alias("text"))
+    rows = rows.select("row", "key", F.xxhash64("key", "text").alias("row_key"))
+    staying = rows.join(kept, "row_key").where(F.col("key").eqNullSafe(F.col("kept_key")))
+    once = Window.partitionBy("row_key").orderBy("key")
+    return staying.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
