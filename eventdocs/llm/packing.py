@@ -24,34 +24,72 @@ from eventdocs.llm.common import pieces, with_row_key, written
 
 MAX_TOKENS, END_ID = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker keeps, and the longest such word in bytes.
-CACHED_WORDS, CACHED_BYTES = 400_000, 100
+_MARKS = ".,;:!?)]}\"%&$#*|-"
+#: Words, and runs of letters, whose ids a worker keeps, and the longest such word in bytes.
+CACHED, CACHED_BYTES = 600_000, 100
 _encoders: dict[str, WordIds] = {}
 
 
-class WordIds(dict):
-    """Ids of words between ASCII white space as little-endian 32-bit integers.
+class WordIds:
+    """Ids of texts as little-endian 32-bit integers, word by word.
 
-    The tokenizer drops white space and no merge crosses it, so a text's ids are those of its words in order.
+    The tokenizer drops white space and no merge crosses it, so a text's ids are those of its words in order. It also
+    ignores case and cuts runs of letters from what is around them, so a word of letters with marks at its end has the
+    ids of its lower-case letters and then of the marks. Ids of words and of runs are kept; new runs are encoded together.
     """
 
     def __init__(self, name: str):
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name) if "/" not in name else name)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_runs(self, runs: list[str]) -> None:
+        found = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
+        ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, float)
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        parts = np.split(ids, cuts)
+        if len(parts) == len(runs) and not np.isnan(owner).any():
+            self.runs.update(zip(runs, (p.tobytes() for p in parts)))
+        else:
+            self.runs.update((r, self.encode(r)) for r in runs)
+
+    @staticmethod
+    def _split(word: bytes) -> tuple[str, str]:
+        """The lower-case letters and the marks after them; no letters where the word is not of that kind."""
+        text = word.decode()
+        body = text.rstrip(_MARKS)
+        plain = body.isalpha() and "\u03a3" not in body and "\u0130" not in body
+        return (body.lower(), text[len(body) :]) if plain else ("", text)
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        new = set().union(*texts).difference(self.words) if texts else set()
+        if len(self.words) > CACHED:
+            self.words.clear()
+            new = set().union(*texts)
+        if len(self.runs) > CACHED:
+            self.runs.clear()
+        parts = {w: self._split(w) for w in new if len(w) <= CACHED_BYTES}
+        runs = {r for pair in parts.values() for r in pair if r}.difference(self.runs)
+        letters = [r for r in runs if r.isalpha()]
+        if letters:
+            self._learn_runs(letters)
+        for run in runs:
+            if run not in self.runs:
+                self.runs[run] = self.encode(run)
+        self.words.update((w, self.runs.get(a, b"") + self.runs.get(b, b"")) for w, (a, b) in parts.items())
+
+    def ids(self, words: list[bytes]) -> bytes:
+        """After ``learn``. Very long words are encoded each time."""
+        try:
+            return b"".join(map(self.words.__getitem__, words))
+        except KeyError:
+            return b"".join(self.words[w] if w in self.words else self.encode(w.decode()) for w in words)
 
 
 def word_ids(name: str) -> WordIds:
@@ -128,10 +166,12 @@ def cut_pieces(docs: DataFrame, key: str, tokenizer: str = TOKENIZER, most: int
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, ranks, part = word_ids(tokenizer), Counter(), TaskContext.get().partitionId()
-        for batch in pieces(rows, "text"):
+        for batch in pieces(rows, "text", 4 << 20):
             at, found = [], []
-            for row, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
-                ids = encoder.ids(text) + end
+            texts = [t.split() for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            encoder.learn(texts)
+            for row, words in enumerate(texts):
+                ids = encoder.ids(words) + end
                 total = len(ids) // 4
                 for start in range(0, total, most):
                     piece = ids[4 * start : 4 * (start + most)]

@@ -59,6 +59,17 @@ def test_odd_texts(make_docs, tokenizer):
     check(packing.pack(docs, most=64).collect(), texts, tokenizer, 64)
 
 
+def test_word_by_word_ids_equal_those_of_the_whole_text(spark, tokenizer):
+    encoder = packing.WordIds("word_bpe_49k.json")
+    texts = [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text").collect()]
+    texts += ["ΑΣ. İst! Σ ß? Å)) x|| a-b ² ½. don't! 'll it's: “q” a.b.c 日本語。 ﬁ, ǅ;", "a" * 300 + "."]
+    words = [t.encode().split() for t in texts]
+    encoder.learn(words)
+    for text, own in zip(texts, words):
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.ids(own) == want
+
+
 def test_empty_table_repeated_rows_null_keys_and_other_columns(spark, make_docs):
     assert packing.pack(make_docs([])).collect() == []
     docs = make_docs(["a b", "a b", "c"], [1, 1, None]).selectExpr("*", "1 AS start", "'x' AS rank", "2 AS part")
