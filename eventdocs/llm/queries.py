@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventdocs.llm import decontaminate, labelled, lines, packing, quality, simhash, sketches, suffix_arrays, toxicity, urls
+from eventdocs.llm import decontaminate, fm_index, labelled, lines, packing, quality, simhash, sketches, suffix_arrays, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(_table(spark, folder, "pages"), URL_RULES)
 
 
+def op4_fm_index_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of all documents without windows of 35 words that occur twice."""
+    kept = fm_index.dedup_windows(_table(spark, folder, "documents"), length=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of all documents without strings of 100 bytes that start earlier too."""
     kept = suffix_arrays.dedup_substrings(_table(spark, folder, "documents"), length=100)
@@ -99,6 +105,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
     "op3_url_filter": op3_url_filter,
+    "op4_fm_index_dedup": op4_fm_index_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_fingerprints": op7_fingerprints,
