@@ -41,6 +41,10 @@ BLANK_AMOUNT = "￥" + " " * 14
 FEE_LABELS = ("参加費", "懇親会参加費", "研修会参加費")
 BLANK_FEE_LABELS = ("参加費", "懇親会参加費", "現地研修会参加費")
 
+# The font of all texts, and the colours of a division page's strip and of its text.
+FONT_NAME = "GenShinGothic"
+STRIP_COLOR, STRIP_TEXT_COLOR = "black", "white"
+
 # The stamp is printed this wide and keeps its proportions.
 STAMP_WIDTH_MM = 22.0
 

@@ -20,10 +20,10 @@ _REQUIRED = ("volume", "number", "startingPage", "endingPage", "pubyear")
 
 
 def _complete(lang: str) -> Column:
-    """Whether every part of a citation is there."""
-    complete = F.col(f"article_link.{lang}").isNotNull()
+    """Whether every part of a citation is there; an empty element is a missing part."""
+    complete = present(F.col(f"article_link.{lang}"))
     for name in _REQUIRED:
-        complete = complete & F.col(name).isNotNull()
+        complete = complete & present(F.col(name))
     return complete
 
 

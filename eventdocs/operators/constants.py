@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventdocs.operators.ordinal import slice_of
+#: Parts that the rows of one key are dealt out to where the constants are too many to be broadcast.
+SPREAD = 32
 
-BROADCAST_ROWS = 20_000
-BROADCAST_BYTES = 64 << 20
 
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether the table is within both bounds. Takes the sizes of no more than ``max_rows`` + 1 rows."""
-    sizes = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("bytes")).take(max_rows + 1)
-    return len(sizes) <= max_rows and sum(row["bytes"] or 0 for row in sizes) <= max_bytes
+def constants_rejects(constants: DataFrame, key: str = "event_id") -> DataFrame:
+    """Keys that occur more than once, and how often; ``with_constants`` gives their rows nulls."""
+    return constants.groupBy(key).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
 
 
 def with_constants(
-    rows: DataFrame, constants: DataFrame, key: str = "event_id", spread: str = "entry_no", small: bool | None = None
+    rows: DataFrame, constants: DataFrame, key: str = "event_id", spread: str = "entry_no", parts: int = SPREAD
 ) -> DataFrame:
-    """Add the constants of ``key`` to every row; rows of an unknown key keep nulls.
+    """Add the constants of ``key`` to every row; rows of an unknown key, and of one that occurs twice, keep nulls.
 
-    A small constants table is broadcast. A larger one is joined on (key, slice of ``spread``), with one copy of
-    the constants per slice in use, so the rows of a hot key go to as many tasks as it has slices.
+    One plan for every size: constants are reduced to one row per key, and a copy of it for each of ``parts`` parts of a
+    key's rows is joined on (key, part). Spark broadcasts the constants where its own threshold allows; else the rows of
+    a hot key go to ``parts`` tasks. Nothing runs while the plan is built.
     """
-    if fits_broadcast(constants) if small is None else small:
-        return rows.join(F.broadcast(constants), key, "left")
-    sliced = rows.withColumn("_slice", slice_of(spread))
-    per_slice = sliced.select(key, "_slice").distinct().join(constants, key)
-    joined = sliced.join(per_slice, [key, "_slice"], "left")
-    return joined.drop("_slice")
+    others = [c for c in constants.columns if c != key]
+    once = constants.groupBy(key).agg(F.count(F.lit(1)).alias("_times"), F.first(F.struct(*others)).alias("_c"))
+    copies = once.where("_times = 1").select(
+        key, *[F.col("_c").getField(c).alias(c) for c in others], F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")
+    )
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    return dealt.join(copies, [key, "_part"], "left").drop("_part")

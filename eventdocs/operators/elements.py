@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 
 from eventdocs.functions.geometry import BOX_PT, TEXT_BOX, TEXT_X_PT
-from eventdocs.layout import Element
+from eventdocs.layout import FONT_NAME, Element
 
 _FIELDS = {
     "element": ("name", "STRING"),
@@ -78,6 +78,7 @@ def expand_elements(
     return in_points.selectExpr(
         *keep,
         *"element_no element kind text x_mm y_mm width_mm height_mm line_width_mm".split(),
+        f"CASE kind WHEN 'text' THEN '{FONT_NAME}' END AS font_name",
         *"font_size color bg_color align".split(),
         f"CASE kind WHEN 'text' THEN {TEXT_X_PT} END AS text_x_pt",
         "CASE kind WHEN 'text' THEN y_pt END AS text_y_pt",

@@ -15,19 +15,18 @@ RANGE_BLOCK = 1 << 16
 
 
 def expand_range(df: DataFrame, first: str, last: str, out: str, block: int = RANGE_BLOCK) -> DataFrame:
-    """One row per number of ``first``..``last`` inclusive; nothing where the range is empty.
+    """One row per number of ``first``..``last`` inclusive; nothing where the range is empty. A missing bound is 1.
 
-    A range of up to ``block`` numbers is expanded where it is. A longer one is cut into blocks that are dealt out
-    to all tasks first, so that one huge range is not written by a single task.
+    Every range is cut into blocks of ``block`` numbers, and the blocks are dealt out to all tasks before they are
+    written out, so that one huge range is not written by a single task.
     """
     keep = [c for c in df.columns if c not in (first, last)]
-    span = F.col(last) - F.col(first)
-    short = df.where((span >= 0) & (span < block))
-    cuts = df.where(span >= block).withColumn("_from", F.explode(F.sequence(first, last, F.lit(block).cast("bigint"))))
+    low, high = (F.coalesce(F.col(bound).cast("bigint"), F.lit(1).cast("bigint")) for bound in (first, last))
+    starts = F.when(low <= high, F.sequence(low, high, F.lit(block).cast("bigint")))
+    cuts = df.select(*keep, high.alias("_high"), F.explode(starts).alias("_from"))
     dealt = cuts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cuts.columns)
-    pieces = dealt.withColumn("_to", F.least(F.col("_from") + (block - 1), F.col(last)))
-    return short.select(*keep, F.explode(F.sequence(first, last)).alias(out)).unionByName(
-        pieces.select(*keep, F.explode(F.sequence("_from", "_to")).alias(out))
+    return dealt.select(
+        *keep, F.explode(F.sequence("_from", F.least(F.col("_from") + (block - 1), F.col("_high")))).alias(out)
     )
 
 
@@ -37,6 +36,7 @@ def _settings(requests: DataFrame, defaults: Mapping[str, Column]) -> DataFrame:
         "page_w_mm": F.lit(layout.A4_WIDTH_MM),
         "page_h_mm": F.lit(layout.A4_HEIGHT_MM),
         "bleed_mm": F.lit(3.0),
+        "font_name": F.lit(layout.FONT_NAME),
     }
     filled = {}
     for name, default in {**page, **defaults}.items():
@@ -64,6 +64,7 @@ def _label_pages(placed: DataFrame, key: str, label: Column, align: str) -> Data
         "page_w_mm",
         "page_h_mm",
         F.col("font_size").cast("double"),
+        "font_name",
         F.lit(align).alias("align"),
     )
 
@@ -71,6 +72,8 @@ def _label_pages(placed: DataFrame, key: str, label: Column, align: str) -> Data
 def session_labels(requests: DataFrame, key: str) -> DataFrame:
     """Pages with a session number, left aligned, placed from the top-left; bleed shifts both x and y."""
     defaults = {
+        "start": F.lit(1).cast("bigint"),
+        "end": F.lit(1).cast("bigint"),
         "pre": F.lit("A"),
         "post": F.lit(""),
         "x_mm": F.lit(20.0),
@@ -93,6 +96,8 @@ def page_labels(requests: DataFrame, key: str) -> DataFrame:
     Bleed shifts y; an x that is given stays as it is.
     """
     defaults = {
+        "start": F.lit(1).cast("bigint"),
+        "end": F.lit(1).cast("bigint"),
         "pre": F.lit("- "),
         "post": F.lit(" -"),
         "x_mm": F.lit(None).cast("double"),
@@ -142,5 +147,8 @@ def page_requests(requests: DataFrame, key: str) -> DataFrame:
         F.when(division, F.coalesce(c("x_mm"), c("page_w_mm") / F.lit(2.0))).cast("double").alias("text_x_mm"),
         F.when(division, mm_to_pt(middle_mm) - c("font_size") * F.lit(0.4)).alias("text_y_pt"),
         F.when(division, c("font_size")).cast("double").alias("font_size"),
+        F.when(division, c("font_name")).alias("font_name"),
+        F.when(division, F.lit(layout.STRIP_COLOR)).alias("strip_color"),
+        F.when(division, F.lit(layout.STRIP_TEXT_COLOR)).alias("text_color"),
         F.when(blank, c("fill_color")).alias("fill_color"),
     )

@@ -6,7 +6,6 @@ order key first, slices are numbered in parallel, and each slice starts where th
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -110,15 +109,13 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], val
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the shared one it names, or a temporary one in local mode."""
+    """Checkpoint folder of the session: the shared one it names, or one in its warehouse, which is shared too."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="eventdocs-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventdocs.operators.ordinal import running_total, slice_of
-
-_FILE = ["file_name", "upload_seq"]
-
+from eventdocs.operators.ordinal import running_total
 
 def page_overlay(base: DataFrame, overlay: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Page k of the overlay on page k of the base.
@@ -47,41 +44,89 @@ def split_unreadable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 BY_NAME = ("file_name", "upload_seq")
 BY_LIST = ("upload_seq", "file_name")
 
+#: Pages of a slice; one bit of a bitmap stands for each.
+_SLICE_PAGES = 32768
+# A missing name or place in the list is told apart from all others, and joins and sorts like a first one.
+_NO_NAME, _NO_PLACE = "\0", -(1 << 63)
+
+
+def _with_file_key(df: DataFrame) -> DataFrame:
+    return df.withColumns(
+        {
+            "_name": F.coalesce("file_name", F.lit(_NO_NAME)),
+            "_seq": F.coalesce("upload_seq", F.lit(_NO_PLACE)),
+        }
+    )
+
+
+def _slice_of_page() -> Column:
+    return F.call_function("div", F.coalesce("page_no", F.lit(0)) - 1, F.lit(_SLICE_PAGES))
+
+
+def _numbered_files(pages: DataFrame, readable: DataFrame, job: list[str]) -> DataFrame:
+    """Readable files with their ``_pages`` and whether those are ``_whole``: numbered 1, 2, ..., each number once.
+
+    Pages of other files are left out first. A slice of numbers has a bitmap, so equal numbers are found exactly and
+    rows are combined before the shuffle.
+    """
+    key = [*job, "_name", "_seq"]
+    known = _with_file_key(pages).join(readable.select(*key).distinct(), key, "left_semi")
+    known = known.withColumn("_slice", _slice_of_page())
+    bit = F.pmod(F.col("page_no") - 1, F.lit(_SLICE_PAGES))
+    slices = known.groupBy(*key, "_slice").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.bitmap_count(F.bitmap_construct_agg(bit)).alias("_distinct"),
+        F.min("page_no").alias("_low"),
+        F.max("page_no").alias("_high"),
+    )
+    files = slices.groupBy(*key).agg(
+        F.sum("_rows").alias("_pages"), F.sum("_distinct").alias("_numbers"), F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+    )
+    whole = (F.col("_low") == 1) & (F.col("_high") == F.col("_pages")) & (F.col("_numbers") == F.col("_pages"))
+    return files.select(*key, "_pages", F.coalesce(whole, F.lit(False)).alias("_whole"))
+
 
 def page_combine(
     pages: DataFrame, files: DataFrame, job: Sequence[str] = ("job_id",), order: Sequence[str] = BY_NAME
 ) -> DataFrame:
-    """Pages of all readable files of a job, numbered through in file-name order or in the order of the list.
+    """Pages of all usable files of a job, numbered through in file-name order or in the order of the list.
 
     ``files`` has one row per (job, file_name, upload_seq) with ``status``; files of the same name keep their upload
-    order. ``pages`` has ``page_no`` = 1, 2, ... within each file. Pages are counted per file, the counts are
-    summed up over the files, and each page adds its own number to what comes before its file. The page rows meet
-    their file on (file, slice of the page number), so that one huge file does not end up in one task.
+    order, one without a place in it comes first. A file is used if it is readable and its pages are numbered 1, 2, ...,
+    each once; ``page_combine_rejects`` reports the others. Pages are counted per file, the counts are summed up over the
+    files, and each page adds its own number to what comes before its file. The page rows meet their file on (file,
+    slice of the page number), so that one huge file does not end up in one task.
     """
     job = list(job)
-    file_key = [*job, *_FILE]
-    readable, _ = split_unreadable(files)
-    sliced = pages.withColumn("_slice", slice_of("page_no"))
-    numbers_fit = (F.min("page_no") == 1) & (F.max("page_no") == F.count("page_no"))
-    counted = sliced.groupBy(*file_key).agg(
-        F.when(numbers_fit & (F.count("page_no") == F.count(F.lit(1))), F.count(F.lit(1)))
-        .otherwise(F.raise_error(F.lit("page numbers of a file have to be 1, 2, ...")).cast("bigint"))
-        .alias("_pages"),
-        F.max("_slice").alias("_last_slice"),
-    )
-    counted = counted.join(readable.select(*file_key), file_key)
-    starts = running_total(counted, job, order, "_pages", "_before")
-    slices = F.explode(F.sequence(F.lit(0).cast("bigint"), "_last_slice"))
-    per_slice = starts.select(*file_key, "_before", slices.alias("_slice"))
+    key = [*job, "_name", "_seq"]
+    readable, _ = split_unreadable(_with_file_key(files))
+    counted = _numbered_files(pages, readable, job).where("_whole").drop("_whole")
+    places = [{"file_name": "_name", "upload_seq": "_seq"}[c] for c in order]
+    starts = running_total(counted, job, places, "_pages", "_before")
+    last = F.call_function("div", F.col("_pages") - 1, F.lit(_SLICE_PAGES))
+    per_slice = starts.select(*key, "_before", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_slice"))
     return (
-        sliced.join(per_slice, [*file_key, "_slice"])
+        _with_file_key(pages)
+        .withColumn("_slice", _slice_of_page())
+        .join(per_slice, [*key, "_slice"])
         .withColumn("out_page", F.col("_before") + F.col("page_no"))
         .select(*pages.columns, "out_page")
     )
 
 
-def page_combine_rejects(files: DataFrame) -> DataFrame:
-    """Report of the files that were skipped."""
-    _, unreadable = split_unreadable(files)
-    reason = F.concat(F.lit("skipped "), F.col("file_name"), F.lit(": "), F.coalesce("status", F.lit("unknown")))
-    return unreadable.withColumn("message", reason)
+def page_combine_rejects(
+    files: DataFrame, pages: DataFrame | None = None, job: Sequence[str] = ("job_id",)
+) -> DataFrame:
+    """Report of the files that were skipped: unreadable ones and, given the pages, those that are numbered wrongly."""
+    readable, unreadable = split_unreadable(_with_file_key(files))
+    reason = F.coalesce("status", F.lit("unknown"))
+    skipped = unreadable.withColumn("_reason", reason)
+    if pages is not None:
+        key = [*job, "_name", "_seq"]
+        wrong = _numbered_files(pages, readable, list(job)).where("NOT _whole").select(*key)
+        numbers = readable.join(wrong, key, "left_semi").withColumn("_reason", F.lit("page numbers are not 1, 2, ..."))
+        skipped = skipped.unionByName(numbers)
+    name = F.coalesce("file_name", F.lit("a file without a name"))
+    message = F.concat(F.lit("skipped "), name, F.lit(": "), F.col("_reason"))
+    return skipped.select(*files.columns, message.alias("message"))

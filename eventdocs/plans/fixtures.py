@@ -23,6 +23,19 @@ SELECT CAST(c_nationkey AS BIGINT) AS event_id, c_custkey AS entry_no, c_name AS
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 """
 
+# The same attendees as cells of roster files: fees with a point or separators, one that is no number, line breaks.
+ROSTER_CELLS_SQL = """
+SELECT event_id, entry_no, name,
+  CASE WHEN entry_no % 37 = 0 THEN affiliation || chr(10) || '"2", x' ELSE affiliation END AS affiliation, member_type,
+  CASE WHEN entry_no % 31 = 0 THEN '免除' WHEN entry_no % 10 = 1 THEN CAST(fee_attend AS STRING) || '.0'
+       WHEN entry_no % 10 = 2 AND fee_attend > 0
+         THEN substr(CAST(fee_attend AS STRING), 1, 1) || ',' || substr(CAST(fee_attend AS STRING), 2)
+       ELSE CAST(fee_attend AS STRING) END AS fee_attend,
+  CAST(fee_dinner AS STRING) AS fee_dinner, CAST(fee_workshop AS STRING) AS fee_workshop,
+  CAST(fee_attend + coalesce(fee_dinner, 0) + fee_workshop AS STRING) AS total
+FROM {roster}
+"""
+
 BADGE_EVENTS_SQL = """
 SELECT CAST(n_nationkey AS BIGINT) AS event_id, n_name || '大会' AS congress, '2025年10月10日' AS event_date,
   n_name || '実行委員会' AS committee, '大会委員会' AS committee_sub, n_name || '会館' AS place,
@@ -55,20 +68,22 @@ SELECT s_suppkey AS event_id, s_name || '研究会' AS congress, s_suppkey % 4 A
 FROM {supplier}
 """
 
-# One session per event and segment; numbering starts at 85 to 99, so it passes 100; some sessions are empty.
+# One session per event and segment; numbering starts at 85 to 99, so it passes 100; some sessions are empty, and some
+# lack a bound.
 SESSIONS_SQL = """
 SELECT n_name || '/' || c_mktsegment AS session_id, c_mktsegment AS pre,
   CASE WHEN n_nationkey % 3 = 0 THEN 'x' ELSE '' END AS post,
-  CAST(85 + n_nationkey % 15 AS BIGINT) AS start,
-  CAST(84 + n_nationkey % 15 + CASE WHEN n_nationkey % 7 = 6 THEN -count(*) ELSE count(*) END AS BIGINT) AS "end",
+  CAST(CASE WHEN n_nationkey % 11 <> 5 THEN 85 + n_nationkey % 15 END AS BIGINT) AS start,
+  CAST(CASE WHEN n_nationkey % 13 <> 4 THEN 84 + n_nationkey % 15 + CASE WHEN n_nationkey % 7 = 6 THEN -count(*) ELSE count(*) END END AS BIGINT) AS "end",
   CAST(CASE WHEN n_nationkey % 2 = 0 THEN 3 ELSE 0 END AS DOUBLE) AS bleed_mm
 FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
 GROUP BY n_name, n_nationkey, c_mktsegment
 """
 
-# Manuscripts of a page per 1,000 characters.
+# Manuscripts of a page per 1,000 characters; some state no first or no last page.
 MANUSCRIPTS_SQL = """
-SELECT doc_id, CAST(1 AS BIGINT) AS start, 1 + n_chars // 1000 AS "end",
+SELECT doc_id, CAST(CASE WHEN doc_id % 5 <> 0 THEN 1 END AS BIGINT) AS start,
+  CASE WHEN doc_id % 7 <> 0 THEN 1 + n_chars // 1000 END AS "end",
   CAST(CASE WHEN doc_id % 3 = 0 THEN 15 END AS DOUBLE) AS x_mm,
   CAST(doc_id % 4 AS DOUBLE) AS bleed_mm, CAST(12 AS DOUBLE) AS font_size
 FROM {documents}
@@ -87,9 +102,10 @@ FROM {part}
 """
 
 # Files of pages, one combined document per language; listed by number, which is not the order of their names.
-# One file cannot be read.
+# One file cannot be read, one has no place in the list; the pages of two are numbered with a gap or twice.
 FILES_SQL = """
-SELECT DISTINCT lang AS job_id, source || '.pdf' AS file_name, CAST(substr(source, 4) AS BIGINT) AS upload_seq,
+SELECT DISTINCT lang AS job_id, source || '.pdf' AS file_name,
+  CASE WHEN source <> 'src5' THEN CAST(substr(source, 4) AS BIGINT) END AS upload_seq,
   CASE WHEN source = 'src13' THEN 'broken' ELSE 'ok' END AS status
 FROM {documents}
 """
@@ -122,6 +138,10 @@ def roster(spark: SparkSession, folder: str) -> DataFrame:
     return _derived(spark, folder, ROSTER_SQL, "customer", "nation")
 
 
+def roster_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.sql(ROSTER_CELLS_SQL, roster=roster(spark, folder))
+
+
 def badge_events(spark: SparkSession, folder: str) -> DataFrame:
     return _derived(spark, folder, BADGE_EVENTS_SQL, "nation")
 
@@ -161,11 +181,15 @@ def file_pages(spark: SparkSession, folder: str) -> DataFrame:
     documents = given(spark, folder, "documents")["documents"].select(
         F.col("lang").alias("job_id"),
         F.concat("source", F.lit(".pdf")).alias("file_name"),
-        F.substring("source", 4, 20).cast("bigint").alias("upload_seq"),
+        F.when(F.col("source") != "src5", F.substring("source", 4, 20).cast("bigint")).alias("upload_seq"),
         "doc_id",
     )
-    numbered = dense_ordinal(documents, ["job_id", "file_name", "upload_seq"], "doc_id", "_ordinal")
-    return numbered.withColumn("page_no", F.col("_ordinal") + 1).drop("_ordinal")
+    numbered = dense_ordinal(documents, ["job_id", "file_name"], "doc_id", "_ordinal")
+    n = F.col("_ordinal") + 1
+    gap, twice = F.when(n > 1, n + 1).otherwise(n), F.greatest(n - 1, F.lit(1).cast("bigint"))
+    name = F.col("file_name")
+    page = F.when(name == "src7.pdf", gap).when(name == "src11.pdf", twice).otherwise(n)
+    return numbered.withColumn("page_no", page).drop("_ordinal")
 
 
 def base_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,8 +231,10 @@ def articles(spark: SparkSession, folder: str, numbered: bool = False) -> DataFr
         .join(t["orders"], F.col("doc_id") == F.col("o_orderkey"))
         .select("doc_id", "lang", "text", "o_orderkey", "o_custkey", "o_orderdate")
     )
-    if numbered:
-        published = dense_ordinal(published, ["lang"], "doc_id", "ordinal")
+    if numbered:  # on narrow columns; the texts only meet their number
+        listed = t["documents"].select("doc_id", "lang")
+        listed = listed.join(t["orders"].select("o_orderkey"), F.col("doc_id") == F.col("o_orderkey"), "left_semi")
+        published = published.join(dense_ordinal(listed, ["lang"], "doc_id", "ordinal").drop("lang"), "doc_id")
     c = F.col
     doc = c("doc_id")
     spaced = F.concat(F.lit("  "), c("text"), F.lit("   .\n"))
@@ -294,6 +320,15 @@ def feeds(spark: SparkSession, folder: str) -> DataFrame:
     return paged.select(F.col("page").alias("feed_id"), xml.alias("xml"))
 
 
+def feed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The feeds as file texts; some have no count of results, some break off."""
+    uncounted = F.regexp_replace("xml", "<totalResults>[0-9]+</totalResults>\n", "")
+    broken = F.expr("substring(xml, 1, length(xml) - 30)")
+    feed = F.col("feed_id")
+    text = F.when(feed % 5 == 4, uncounted).when(feed % 7 == 3, broken).otherwise(F.col("xml"))
+    return feeds(spark, folder).select("feed_id", text.alias("value"))
+
+
 def contents_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents listed on contents pages of up to 50 articles, with a heading before every tenth."""
 

@@ -44,7 +44,7 @@ items AS (
 # Points and boxes of an element list with x_mm, y_mm, width_mm, font_size, shape, bg_color, align, kind.
 _DRAWN = """
 SELECT {keep}, element_no::BIGINT AS element_no, element, kind, text, x_mm, y_mm, width_mm, height_mm, line_width_mm,
-  font_size, color, bg_color, align,
+  CASE WHEN kind = 'text' THEN 'GenShinGothic' END AS font_name, font_size, color, bg_color, align,
   CASE WHEN kind = 'text' THEN CASE align WHEN 'center' THEN x_pt + w_pt * 0.5::DOUBLE ELSE x_pt END END AS text_x_pt,
   CASE WHEN kind = 'text' THEN y_pt END AS text_y_pt,
   box,
@@ -209,10 +209,31 @@ FROM cited JOIN (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY do
 """
 
 _COMBINED = """
-SELECT lang AS job_id, source || '.pdf' AS file_name, substr(source, 4)::BIGINT AS upload_seq, doc_id,
-  row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS page_no,
-  row_number() OVER (PARTITION BY lang ORDER BY {order}) AS out_page
-FROM documents WHERE source <> 'src13'
+WITH raw AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n,
+    count(*) OVER (PARTITION BY lang, source) AS pages FROM documents),
+paged AS (
+  SELECT lang AS job_id, source || '.pdf' AS file_name,
+    CASE WHEN source <> 'src5' THEN substr(source, 4)::BIGINT END AS upload_seq, doc_id,
+    CASE source WHEN 'src7' THEN CASE WHEN n > 1 THEN n + 1 ELSE n END WHEN 'src11' THEN greatest(n - 1, 1) ELSE n END
+      AS page_no
+  FROM raw WHERE source <> 'src13' AND (source NOT IN ('src7', 'src11') OR pages = 1))
+SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {order}) AS out_page FROM paged
+"""
+
+_ROSTER_CELLS = f"""{_ROSTER}, cells AS ({fixtures.ROSTER_CELLS_SQL.format(roster="roster")}), numbered AS (
+  SELECT * REPLACE (try_cast(replace(replace(fee_attend, ',', ''), '.0', '') AS BIGINT) AS fee_attend,
+      fee_dinner::BIGINT AS fee_dinner, fee_workshop::BIGINT AS fee_workshop, total::BIGINT AS total,
+      nullif(affiliation, '') AS affiliation),
+    row_number() OVER (PARTITION BY event_id ORDER BY entry_no) - 1 AS position
+  FROM cells)"""
+
+_FEED_NUMBERED = """
+numbered AS (
+  SELECT *, doc_id // 50 AS feed_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS ordinal,
+    count(*) OVER (PARTITION BY doc_id // 50) AS held,
+    CASE (doc_id // 50) % 3 WHEN 0 THEN 45 WHEN 1 THEN 50 ELSE 60 END AS counted
+  FROM art)
 """
 
 ORACLE: dict[str, str] = {
@@ -255,18 +276,19 @@ SELECT items.*, 'ただし，' || congress || fee_label || 'として' AS provis
 WITH {_SESSIONS}
 SELECT session_id, number, number - start + 1 AS page_no, pre || printf('%02d', number) || post AS label,
   x_mm, y_mm, x_mm * 72::DOUBLE / 25.4::DOUBLE AS x_pt, y_mm * 72::DOUBLE / 25.4::DOUBLE AS y_pt,
-  page_w_mm, page_h_mm, 30::DOUBLE AS font_size, 'left' AS align
+  page_w_mm, page_h_mm, 30::DOUBLE AS font_size, 'GenShinGothic' AS font_name, 'left' AS align
 FROM (SELECT *, 20 + bleed_mm AS x_mm, page_h_mm - (20 + bleed_mm) AS y_mm
-  FROM (SELECT session_id, pre, post, start, bleed_mm, 210 + bleed_mm * 2 AS page_w_mm, 297 + bleed_mm * 2 AS page_h_mm,
-    unnest(range(start, "end" + 1)) AS number FROM sessions))
+  FROM (SELECT session_id, pre, post, coalesce(start, 1) AS start, bleed_mm, 210 + bleed_mm * 2 AS page_w_mm,
+    297 + bleed_mm * 2 AS page_h_mm, unnest(range(coalesce(start, 1), coalesce("end", 1) + 1)) AS number FROM sessions))
 """,
     "page_labels": f"""
 WITH {_MANUSCRIPTS}
 SELECT doc_id, number, number AS page_no, '- ' || number || ' -' AS label, x_mm, y_mm,
   x_mm * 72::DOUBLE / 25.4::DOUBLE AS x_pt, y_mm * 72::DOUBLE / 25.4::DOUBLE AS y_pt, page_w_mm, page_h_mm,
-  font_size, 'center' AS align
+  font_size, 'GenShinGothic' AS font_name, 'center' AS align
 FROM (SELECT doc_id, font_size, 210 + bleed_mm * 2 AS page_w_mm, 297 + bleed_mm * 2 AS page_h_mm,
-  coalesce(x_mm, (210 + bleed_mm * 2) / 2) AS x_mm, 10 + bleed_mm AS y_mm, unnest(range(start, "end" + 1)) AS number
+  coalesce(x_mm, (210 + bleed_mm * 2) / 2) AS x_mm, 10 + bleed_mm AS y_mm,
+  unnest(range(coalesce(start, 1), coalesce("end", 1) + 1)) AS number
   FROM manuscripts)
 """,
     "page_requests": f"""
@@ -278,7 +300,10 @@ SELECT request_id, kind, page_w_mm, page_h_mm,
   CASE kind WHEN 'division' THEN coalesce(x_mm, page_w_mm / 2) END AS text_x_mm,
   CASE kind WHEN 'division'
     THEN (strip_y_mm + height_mm / 2) * 72::DOUBLE / 25.4::DOUBLE - font_size * 0.4::DOUBLE END AS text_y_pt,
-  CASE kind WHEN 'division' THEN font_size END AS font_size, CASE kind WHEN 'blank' THEN fill_color END AS fill_color
+  CASE kind WHEN 'division' THEN font_size END AS font_size,
+  CASE kind WHEN 'division' THEN 'GenShinGothic' END AS font_name,
+  CASE kind WHEN 'division' THEN 'black' END AS strip_color, CASE kind WHEN 'division' THEN 'white' END AS text_color,
+  CASE kind WHEN 'blank' THEN fill_color END AS fill_color
 FROM (SELECT request_id, kind, text, x_mm, height_mm, font_size, fill_color, page_w_mm + bleed_mm * 2 AS page_w_mm,
   page_h_mm + bleed_mm * 2 AS page_h_mm, page_h_mm + bleed_mm * 2 - (y_mm + bleed_mm + height_mm) AS strip_y_mm
   FROM requests)
@@ -300,11 +325,14 @@ SELECT manuscript, doc_id, page_w_mm, page_h_mm, page_no, CASE WHEN page_no <= l
   CASE WHEN page_no <= last THEN (page_h_mm - 303 * s) / 2 END AS offset_y_mm
 FROM fitted
 """,
-    "page_combine": _COMBINED.format(order="source || '.pdf', doc_id"),
-    "page_combine_listed": _COMBINED.format(order="substr(source, 4)::BIGINT, doc_id"),
+    "page_combine": _COMBINED.format(order="file_name, doc_id"),
+    "page_combine_listed": _COMBINED.format(order="upload_seq NULLS FIRST, doc_id"),
     "page_combine_rejects": f"""
-WITH {_FILES}
-SELECT *, 'skipped ' || file_name || ': ' || status AS message FROM files WHERE status <> 'ok'
+WITH {_FILES}, held AS (SELECT lang AS job_id, source || '.pdf' AS file_name, count(*) AS n FROM documents GROUP BY ALL)
+SELECT files.*, 'skipped ' || file_name || ': ' || CASE WHEN status <> 'ok' THEN status
+    ELSE 'page numbers are not 1, 2, ...' END AS message
+FROM files JOIN held USING (job_id, file_name)
+WHERE status <> 'ok' OR (file_name IN ('src7.pdf', 'src11.pdf') AND n > 1)
 """,
     "citation_ja": f"WITH {_ARTICLES}, {_CITED_JA} SELECT doc_id, citation FROM cited",
     "citation_en": f"WITH {_ARTICLES}, {_CITED_EN} SELECT doc_id, citation FROM cited",
@@ -355,17 +383,70 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY doc_id, part) -
   CASE WHEN kind = 'item' AND doc_id % 7 <> 0 THEN 'Ed: & ' || source END AS author,
   CASE kind WHEN 'item' THEN 'p.' || chr(160) || doc_id || '–9' END AS add_info
 FROM listed
+""",
+    "citation_rejects_en": f"""
+WITH {_ARTICLES}
+SELECT doc_id, volume, '10.0/' || doc_id AS doi FROM art WHERE title_en <> '' AND volume IS NULL
+""",
+    "feed_citations_ja": f"""
+WITH {_ARTICLES}, {_CITED_JA}, {_FEED_NUMBERED}
+SELECT feed_id, ordinal, citation FROM numbered JOIN cited USING (doc_id) WHERE ordinal < counted
+""",
+    "feed_citations_en": f"""
+WITH {_ARTICLES}, {_CITED_EN}, {_FEED_NUMBERED}
+SELECT feed_id, ordinal, citation FROM numbered JOIN cited USING (doc_id) WHERE ordinal < counted
+""",
+    "feed_citation_rejects": f"""
+WITH {_ARTICLES}, {_FEED_NUMBERED}
+SELECT feed_id, ordinal, 'ja' AS lang, '10.0/' || doc_id AS doi FROM numbered
+WHERE ordinal < counted AND title_ja <> '' AND volume IS NULL
+UNION ALL
+SELECT feed_id, ordinal, 'en', '10.0/' || doc_id FROM numbered
+WHERE ordinal < counted AND title_en <> '' AND volume IS NULL
+""",
+    "feed_file_entries": f"""
+WITH {_ARTICLES}, {_FEED_NUMBERED}
+SELECT feed_id, ordinal, number, '10.0/' || doc_id AS doi FROM numbered
+WHERE ordinal < counted AND feed_id % 5 <> 4 AND feed_id % 7 <> 3
+""",
+    "feed_file_rejects": f"""
+WITH {_ARTICLES}, {_FEED_NUMBERED}
+SELECT feed_id, CASE WHEN feed_id % 5 = 4 THEN 'no count of results' ELSE 'not readable as XML' END AS reason,
+  count(*) AS entries
+FROM numbered WHERE feed_id % 5 = 4 OR feed_id % 7 = 3 GROUP BY feed_id
 """,
     "roster_csv": f"""
-WITH {_ROSTER}
-SELECT event_id, name, nullif(affiliation, '') AS affiliation, member_type, fee_attend, fee_dinner, fee_workshop,
-  coalesce(fee_attend, 0) + coalesce(fee_dinner, 0) + coalesce(fee_workshop, 0) AS total
-FROM roster
+WITH {_ROSTER_CELLS}
+SELECT event_id, position, name, affiliation, member_type, fee_attend, fee_dinner, fee_workshop, total FROM numbered
+""",
+    "roster_rejects": f"""
+WITH {_ROSTER_CELLS}
+SELECT event_id, name, 'fee_attend' AS "column", '免除' AS text FROM numbered WHERE entry_no % 31 = 0
+""",
+    "roster_fee_labels": f"""
+WITH {_ROSTER_CELLS}
+SELECT event_id, slot_no, name || ' 様' AS recipient, '￥' || format('{{:,}}', amount) || '－' AS amount_text, fee_label
+FROM (
+  SELECT event_id, name, 0::BIGINT AS slot_no, CASE event_id % 2 WHEN 0 THEN '参加費' ELSE 'fee' END AS fee_label,
+    fee_attend AS amount FROM numbered
+  UNION ALL SELECT event_id, name, 1, CASE event_id % 2 WHEN 0 THEN '懇親会参加費' ELSE 'dinner' END, fee_dinner FROM numbered
+  UNION ALL SELECT event_id, name, 2, CASE event_id % 2 WHEN 0 THEN '研修会参加費' ELSE 'trip' END, fee_workshop FROM numbered)
+WHERE amount <> 0
 """,
     "receipt_files": f"WITH {_ROSTER}, {_ITEMS} SELECT * FROM items",
 }
 ORACLE["badge_files"] = ORACLE["badge_layout"]
-ORACLE["citation_list_files"] = f"""
-SELECT unnest(string_split(value, chr(10))) AS value FROM ({ORACLE["citation_html_en"]})
+
+
+def _list_lines(items: str) -> str:
+    return f"""
+SELECT lang, part, row_number() OVER (PARTITION BY lang, part ORDER BY item_index, k) - 1 AS line_no, value
+FROM (
+  SELECT lang, item_index, item_index // 4096 AS part, unnest(string_split(value, chr(10))) AS value,
+    generate_subscripts(string_split(value, chr(10)), 1) AS k FROM ({items}))
 """
+
+
+ORACLE["citation_list_files"] = _list_lines(ORACLE["citation_html_en"])
+ORACLE["citation_list_files_ja"] = _list_lines(ORACLE["citation_html_ja"])
 ORACLE["contents_files"] = f"SELECT * EXCLUDE (kind) FROM ({ORACLE['contents_items']})"

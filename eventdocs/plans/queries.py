@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventdocs.operators import badges, citations, contents, numbering, pages, receipts
-from eventdocs.operators.ordinal import use_checkpoints
+from eventdocs.operators.constants import with_constants
+from eventdocs.operators.ordinal import dense_ordinal, use_checkpoints
 from eventdocs.plans import fixtures
-from eventdocs.schemas import FEE_COLUMNS, ROSTER_COLUMNS
+from eventdocs.schemas import ROSTER_COLUMNS
 from eventdocs.sinks import tables
-from eventdocs.sources.roster import read_roster_csv
+from eventdocs.sources import feed as feed_source
+from eventdocs.sources import roster as roster_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,7 +103,7 @@ def page_combine_listed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_combine_rejects(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.page_combine_rejects(fixtures.page_files(spark, folder))
+    return pages.page_combine_rejects(fixtures.page_files(spark, folder), fixtures.file_pages(spark, folder))
 
 
 def citation_ja(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,6 +118,29 @@ def citation_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return citations.citation_rejects(fixtures.articles(spark, folder), "ja").select("doc_id", "volume", "doi")
 
 
+def citation_rejects_en(spark: SparkSession, folder: str) -> DataFrame:
+    return citations.citation_rejects(fixtures.articles(spark, folder), "en").select("doc_id", "volume", "doi")
+
+
+def _read_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    return citations.feed_entries(citations.parse_feeds(fixtures.feeds(spark, folder)), ["feed_id"])
+
+
+def feed_citations_ja(spark: SparkSession, folder: str) -> DataFrame:
+    """From XML to citations; an empty element is a missing part."""
+    return citations.with_citation_ja(_read_feeds(spark, folder)).select("feed_id", "ordinal", "citation")
+
+
+def feed_citations_en(spark: SparkSession, folder: str) -> DataFrame:
+    return citations.with_citation_en(_read_feeds(spark, folder)).select("feed_id", "ordinal", "citation")
+
+
+def feed_citation_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    entries = _read_feeds(spark, folder)
+    rejects = [citations.citation_rejects(entries, lang).withColumn("lang", F.lit(lang)) for lang in ("ja", "en")]
+    return rejects[0].unionByName(rejects[1]).select("feed_id", "ordinal", "lang", "doi")
+
+
 def _html_list(spark: SparkSession, folder: str, lang: str) -> DataFrame:
     return citations.citation_html(fixtures.articles(spark, folder, numbered=True), ["lang", "doc_id"], lang)
 
@@ -166,13 +191,55 @@ def _new_folder(spark: SparkSession) -> str:
     return f"{use_checkpoints(spark)}/eventdocs-{uuid4().hex}"
 
 
+def _roster_files(spark: SparkSession, folder: str) -> str:
+    """Rosters as CSV files by event, several to an event, with other headers in odd events than in even ones."""
+    path, cells = _new_folder(spark), fixtures.roster_cells(spark, folder)
+    headers = {0: ("参加費", "懇親会参加費", "研修会参加費"), 1: ("fee", "dinner", "trip")}
+    for odd, names in headers.items():
+        own = cells.where(F.col("event_id") % 2 == odd).repartition("event_id").sortWithinPartitions("event_id", "entry_no")
+        own = own.select("event_id", *ROSTER_COLUMNS).withColumnsRenamed(dict(zip(ROSTER_COLUMNS[3:6], names)))
+        writer = own.write.partitionBy("event_id").mode("append").option("maxRecordsPerFile", 40)
+        spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.csv(path, header=True, escape='"', quoteAll=True, **spaces)
+    return path
+
+
 def roster_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Rosters written as CSV files by event and read by column position; an empty affiliation is a blank cell."""
-    path, attendees = _new_folder(spark), fixtures.roster(spark, folder)
-    fees = [F.coalesce(F.col(fee), F.lit(0)) for fee in FEE_COLUMNS]
-    totalled = attendees.withColumn("total", fees[0] + fees[1] + fees[2])
-    totalled.select("event_id", *ROSTER_COLUMNS).write.partitionBy("event_id").csv(path, header=True)
-    return read_roster_csv(spark, path).drop("entry_no")
+    """Roster files read by column position, with each row's position in its event."""
+    rows = roster_source.read_roster_csv(spark, _roster_files(spark, folder))
+    return dense_ordinal(rows, ["event_id"], "entry_no", "position").drop("entry_no")
+
+
+def roster_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells of roster files that should hold an amount and do not."""
+    return roster_source.read_roster_rejects(spark, _roster_files(spark, folder)).drop("entry_no")
+
+
+def roster_fee_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Receipts named by the headers of the event's own roster files."""
+    path = _roster_files(spark, folder)
+    labelled = with_constants(
+        roster_source.read_roster_csv(spark, path), roster_source.read_fee_labels(spark, path)
+    )
+    return receipts.receipt_items(labelled).select("event_id", "slot_no", "recipient", "amount_text", "fee_label")
+
+
+def _feed_folder(spark: SparkSession, folder: str) -> str:
+    path = _new_folder(spark)
+    fixtures.feed_files(spark, folder).write.partitionBy("feed_id").text(path)
+    return path
+
+
+def feed_file_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of feeds in files, in their feed's order and up to its count."""
+    entries = feed_source.read_feed_entries(spark, _feed_folder(spark, folder), ["feed_id"])
+    return entries.select(F.col("feed_id").cast("bigint").alias("feed_id"), "ordinal", "number", "doi")
+
+
+def feed_file_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Feed files that are not read in full."""
+    rejects = feed_source.read_feed_rejects(spark, _feed_folder(spark, folder), ["feed_id"])
+    return rejects.select(F.col("feed_id").cast("bigint").alias("feed_id"), "reason", "entries")
 
 
 def badge_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,11 +256,24 @@ def receipt_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(items.schema).parquet(path)
 
 
-def citation_list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of the English list as written."""
+def _list_lines(spark: SparkSession, items: DataFrame) -> DataFrame:
+    """Lines of a list as written, with their place: part and line."""
     path = _new_folder(spark)
-    tables.write_html_list(citation_html_en(spark, folder), path, ["lang", "item_index"])
-    return spark.read.text(path)
+    tables.write_html_list(items, path, "lang")
+    files = spark.read.text(path, wholetext=True)
+    lines = F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("line_no", "value")
+    rows = files.select("lang", F.col("part").cast("bigint").alias("part"), lines)
+    return rows.withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+def citation_list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The English list as written."""
+    return _list_lines(spark, citation_html_en(spark, folder))
+
+
+def citation_list_files_ja(spark: SparkSession, folder: str) -> DataFrame:
+    """The Japanese list as written."""
+    return _list_lines(spark, citation_html_ja(spark, folder))
 
 
 def contents_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,15 +308,24 @@ QUERIES: dict[str, Query] = {
         citation_ja,
         citation_en,
         citation_rejects,
+        citation_rejects_en,
+        feed_citations_ja,
+        feed_citations_en,
+        feed_citation_rejects,
         citation_html_ja,
         citation_html_en,
         feed_entries,
         html_items,
         contents_items,
         roster_csv,
+        roster_rejects,
+        roster_fee_labels,
+        feed_file_entries,
+        feed_file_rejects,
         badge_files,
         receipt_files,
         citation_list_files,
+        citation_list_files_ja,
         contents_files,
     )
 }

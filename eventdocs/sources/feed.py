@@ -2,28 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventdocs.operators.constants import with_constants
-from eventdocs.operators.ordinal import use_checkpoints
-from eventdocs.schemas import FEED_ENTRY
+from eventdocs.schemas import FEED, FEED_ENTRY
 
 # Texts keep their white space, and element names are matched without their namespace.
 XML_OPTIONS = {"ignoreNamespace": "true", "ignoreSurroundingSpaces": "false"}
 
 
-def _rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
-    rows = spark.read.format("xml").options(rowTag=tag, **XML_OPTIONS).schema(schema).load(path)
-    return rows.select(F.col("_metadata.file_path").alias("feed_file"), "*")
-
-
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
     """One row per entry, for citations that need no position in the feed.
 
     Where a file stops being XML, a last row without any part stands for the rest of it; see ``broken_entries``.
     """
-    return _rows(spark, path, "entry", FEED_ENTRY)
+    rows = spark.read.format("xml").options(rowTag="entry", **XML_OPTIONS).schema(FEED_ENTRY).load(path)
+    return rows.select(F.col("_metadata.file_path").alias("feed_file"), "*")
 
 
 def broken_entries(entries: DataFrame) -> DataFrame:
@@ -31,20 +27,47 @@ def broken_entries(entries: DataFrame) -> DataFrame:
     return entries.where("article_title IS NULL AND article_link IS NULL AND author IS NULL")
 
 
-def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
+def _feeds(spark: SparkSession, path: str, keep: Sequence[str]) -> DataFrame:
+    """One row per file: count and entries out of one pass over its text."""
+    files = spark.read.text(path, wholetext=True)
+    kept = [F.col("_metadata.file_path").alias("feed_file"), *keep]
+    feed = F.from_xml("value", FEED, XML_OPTIONS).alias("feed")
+    return files.select(*kept, feed, F.regexp_count("value", F.lit(r"<entry[\s>/]")).alias("tags")).select(
+        "feed_file", *keep, "feed.*", "tags"
+    )
+
+
+def read_feed_entries(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataFrame:
     """Entries with their ``ordinal`` in the feed, up to the feed's own count of results. One feed per file.
 
-    A feed is read entry by entry and never held whole. The entries of a file are read in order by one task, so
-    their row ids follow each other; they are checkpointed, which parses the files once and makes the ids stable.
-    What is known per feed, its first id and its count, then goes to every entry.
+    A file is a page of a feed, at most as large as one value; it is read once. ``keep`` names partition columns of the
+    folder. What is left out is in ``read_feed_rejects``.
     """
-    use_checkpoints(spark)
-    entries = read_entries(spark, path).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
-    counts = _rows(spark, path, "totalResults", "_VALUE BIGINT").withColumnRenamed("_VALUE", "total_results")
-    feeds = entries.groupBy("feed_file").agg(F.min("_row").alias("_first")).join(counts, "feed_file")
-    placed = with_constants(entries, feeds, key="feed_file", spread="_row")
     return (
-        placed.withColumn("ordinal", F.col("_row") - F.col("_first"))
-        .where(F.col("ordinal") < F.col("total_results"))
-        .drop("_row", "_first", "total_results")
+        _feeds(spark, path, keep)
+        .select("feed_file", *keep, "totalResults", F.posexplode("entry").alias("pos", "e"))
+        .where(F.col("pos") < F.col("totalResults"))
+        .select("feed_file", *keep, F.col("pos").cast("bigint").alias("ordinal"), "e.*")
+    )
+
+
+def read_feed_rejects(spark: SparkSession, path: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Files that are not read in full: ``reason``, and the number of ``entries`` that are left out by it.
+
+    These are files without a count of results, files without entries, and files whose text stops being XML. Entries
+    beyond the count are left out on purpose and not reported.
+    """
+    found = F.coalesce(F.size("entry"), F.lit(0))
+    found = F.when(F.col("entry").isNull(), 0).otherwise(found)
+    reason = (
+        F.when((F.col("tags") > 0) & (found == 0), "not readable as XML")
+        .when(F.col("totalResults").isNull(), "no count of results")
+        .when(found == 0, "no entries")
+        .when(found < F.col("tags"), "stops being XML")
+    )
+    lost = F.when(F.col("totalResults").isNull(), F.col("tags")).otherwise(F.col("tags") - found)
+    return (
+        _feeds(spark, path, keep)
+        .select("feed_file", *keep, reason.alias("reason"), lost.cast("bigint").alias("entries"))
+        .where("reason IS NOT NULL")
     )

@@ -2,30 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventdocs.schemas import FEE_COLUMNS, ROSTER_COLUMNS, ROSTER_FILE
 
+_AMOUNTS = (*FEE_COLUMNS, "total")
+#: Rows of a file are numbered below this; the next file of the event goes on from its multiple.
+_FILE_ROWS = 1 << 40
+# Quoted cells may hold line breaks, separators and doubled quotes.
+_CSV = {"header": "false", "multiLine": "true", "quote": '"', "escape": '"'}
+_WHOLE = r"[+-]?(\d+|\d{1,3}(,\d{3})+)(\.0*)?"
 
-def read_roster_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Roster rows of all events; columns are taken by position, whatever the header calls them.
 
-    ``entry_no`` follows the rows of a file without being dense: a row's number within its file split, which is
-    below the split's length in bytes, plus the byte at which the split starts. A split is bounded by
-    ``spark.sql.files.maxPartitionBytes``, and so is the window over it. One file per event.
-    """
-    rows = spark.read.schema(ROSTER_FILE + ", event_id BIGINT").csv(path, header=True, enforceSchema=True)
-    split = rows.select(
+def amount(text: Column) -> Column:
+    """A whole number, also with thousands separators or zeros after the point; null where the text is none."""
+    shown = F.trim(text)
+    digits = F.regexp_replace(F.regexp_replace(shown, r"\.0*$", ""), ",", "")
+    return F.when(shown.rlike(f"^{_WHOLE}$"), digits.try_cast("bigint"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of all files as texts by position, headers too, with ``_file`` and a ``_row`` that rises in a file."""
+    texts = ", ".join(f"{name} STRING" for name in ROSTER_COLUMNS) + ", event_id BIGINT"
+    rows = spark.read.schema(texts).options(**_CSV).csv(path)
+    return rows.select(
         "event_id",
         *ROSTER_COLUMNS,
         F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    first_row = F.min("_row").over(Window.partitionBy("_file", "_block"))
-    entry_no = F.col("_block") + F.col("_row") - first_row
-    return split.select("event_id", entry_no.alias("entry_no"), *ROSTER_COLUMNS)
+
+
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """All rows with their ``_line`` in the file, 0 for the header, and the file's ``_place`` among the event's, by name.
+
+    A file is read by one task in order, since a quoted line break may be anywhere. What is known per file is one narrow
+    row, so the rows themselves are not shuffled unless there are very many files.
+    """
+    lines = _lines(spark, path)
+    files = lines.groupBy("event_id", "_file").agg(F.min("_row").alias("_first"))
+    by_name = Window.partitionBy("event_id").orderBy("_file")
+    files = files.withColumn("_place", F.row_number().over(by_name) - 1)
+    return lines.join(files, ["event_id", "_file"]).withColumn("_line", F.col("_row") - F.col("_first"))
+
+
+def _entry_no() -> Column:
+    return (F.col("_place") * F.lit(_FILE_ROWS) + F.col("_line") - 1).alias("entry_no")
+
+
+def read_roster_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Roster rows of all events; columns are taken by position, and the first row of every file is its header.
+
+    ``entry_no`` follows the rows of a file and the files of an event by name, without being dense over several files.
+    Fees may be written as 4000, 4000.0 or "4,000"; an empty one is no fee. A fee that is no whole number leaves the
+    attendee in, without that fee, and is listed by ``read_roster_rejects``.
+    """
+    rows = _placed(spark, path).where("_line > 0")
+    cells = [amount(F.col(c)).alias(c) if c in _AMOUNTS else F.col(c) for c in ROSTER_COLUMNS]
+    return rows.select("event_id", _entry_no(), *cells)
+
+
+def read_roster_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Cells that should hold an amount and do not: (event_id, entry_no, name, column, text)."""
+    rows = _placed(spark, path).where("_line > 0")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in _AMOUNTS])
+    wrong = F.filter(cells, lambda c: (F.trim(c["text"]) != "") & amount(c["text"]).isNull())
+    found = rows.select("event_id", _entry_no(), "name", F.explode(wrong).alias("cell"))
+    return found.select("event_id", "entry_no", "name", "cell.*")
 
 
 def read_roster_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -34,14 +78,17 @@ def read_roster_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select("event_id", "entry_no", *ROSTER_COLUMNS)
 
 
+def _fee_headers(spark: SparkSession, path: str) -> DataFrame:
+    headers = _placed(spark, path).where("_line = 0").select("event_id", F.array(*FEE_COLUMNS).alias("fee_labels"))
+    return headers.groupBy("event_id").agg(F.collect_set("fee_labels").alias("all"))
+
+
 def read_fee_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Each event's own headers of the three fee columns, as ``fee_labels``.
+    """Each event's own headers of the three fee columns, as ``fee_labels``, where all files of the event agree."""
+    return _fee_headers(spark, path).where(F.size("all") == 1).select("event_id", F.col("all")[0].alias("fee_labels"))
 
-    Header rows are told from attendees by their fees: all three are filled in and none is a number.
-    """
-    texts = ", ".join(f"{name} STRING" for name in ROSTER_COLUMNS) + ", event_id BIGINT"
-    rows = spark.read.schema(texts).csv(path, header=False)
-    is_header = F.lit(True)
-    for fee in FEE_COLUMNS:
-        is_header = is_header & F.col(fee).isNotNull() & F.col(fee).try_cast("double").isNull()
-    return rows.where(is_header).select("event_id", F.array(*FEE_COLUMNS).alias("fee_labels"))
+
+def read_fee_label_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Events whose files have different fee headers, with all of them; receipts use the default headers."""
+    found = _fee_headers(spark, path).where(F.size("all") > 1)
+    return found.select("event_id", F.array_sort("all").alias("fee_labels"))

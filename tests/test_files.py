@@ -95,8 +95,57 @@ def test_broken_files_are_reported(spark, tmp_path):
     entries = feed_source.read_entries(spark, str(tmp_path))
     assert {r["doi"] for r in entries.collect()} == {"10.0/0", "10.0/3", None}
     assert [r["feed_file"][-5:] for r in feed_source.broken_entries(entries).collect()] == ["a.xml"]
-    numbered = feed_source.read_feed_entries(spark, str(tmp_path))
-    assert [(r["feed_file"][-5:], r["ordinal"]) for r in feed_source.broken_entries(numbered).collect()] == [("a.xml", 1)]
+    assert feed_source.read_feed_entries(spark, str(tmp_path)).count() == 1
+    rejects = {r["feed_file"][-5:]: (r["reason"], r["entries"]) for r in feed_source.read_feed_rejects(spark, str(tmp_path)).collect()}
+    assert rejects == {"a.xml": ("not readable as XML", 3)}
+
+
+def test_feeds_without_a_count_are_reported(spark, tmp_path):
+    whole = feed(2, entry(0), entry(1))
+    count = whole[whole.index("<totalResults>") : whole.index("</totalResults>") + len("</totalResults>")]
+    write(tmp_path / "a.xml", whole)
+    write(tmp_path / "b.xml", whole.replace(count, ""))
+    write(tmp_path / "c.xml", feed(0))
+    write(tmp_path / "d.xml", "")
+    entries = feed_source.read_feed_entries(spark, str(tmp_path))
+    assert {(r["feed_file"][-5:], r["ordinal"]) for r in entries.collect()} == {("a.xml", 0), ("a.xml", 1)}
+    rejects = {(r["feed_file"][-5:], r["reason"], r["entries"]) for r in feed_source.read_feed_rejects(spark, str(tmp_path)).collect()}
+    assert {r for r in rejects if r[0] in ("a.xml", "b.xml", "c.xml")} == {("b.xml", "no count of results", 2), ("c.xml", "no entries", 0)}
+
+
+def test_empty_elements_are_missing_parts(spark, tmp_path):
+    broken = entry(1).replace("<volume>", "<volume/><x>").replace("</volume>", "</x>")
+    assert broken != entry(1)
+    write(tmp_path / "a.xml", feed(3, entry(0), broken, entry(2)))
+    entries = feed_source.read_feed_entries(spark, str(tmp_path))
+    for cited, lang in ((citations.with_citation_ja, "ja"), (citations.with_citation_en, "en")):
+        assert {r["doi"] for r in cited(entries).collect()} == {"10.0/0", "10.0/2"}
+        assert [r["doi"] for r in citations.citation_rejects(entries, lang).collect()] == ["10.0/1"]
+
+
+def test_roster_cells_lose_and_double_nothing(spark, tmp_path):
+    lines = ['甲,"所属\n二行",一般,4000.0,"6,000",0,10000', "乙,,一般,免除,免除,免除,", '丙,"a ""b"", c",学生,-5, 7 ,,2', "丁,x,y,1e3,\"1,0\",12x,"]
+    write(tmp_path / "event_id=1/b.csv", HEADER + "\n".join(lines[2:]) + "\n")
+    write(tmp_path / "event_id=1/a.csv", HEADER + "\n".join(lines[:2]) + "\n")
+    write(tmp_path / "event_id=2/a.csv", HEADER)
+    rows = roster_source.read_roster_csv(spark, str(tmp_path)).orderBy("event_id", "entry_no").collect()
+    got = [(r["name"], r["affiliation"], r["fee_attend"], r["fee_dinner"], r["fee_workshop"]) for r in rows]
+    assert got == [("甲", "所属\n二行", 4000, 6000, 0), ("乙", None, None, None, None), ("丙", 'a "b", c', -5, 7, None), ("丁", "x", None, None, None)]
+    assert len({r["entry_no"] for r in rows}) == 4
+    rejects = {(r["name"], r["column"], r["text"]) for r in roster_source.read_roster_rejects(spark, str(tmp_path)).collect()}
+    assert rejects == {("乙", c, "免除") for c in ("fee_attend", "fee_dinner", "fee_workshop")} | {
+        ("丁", "fee_attend", "1e3"), ("丁", "fee_dinner", "1,0"), ("丁", "fee_workshop", "12x")}
+    labelled = with_constants(roster_source.read_roster_csv(spark, str(tmp_path)), roster_source.read_fee_labels(spark, str(tmp_path)))
+    assert receipts.receipt_items(labelled).count() == 4
+
+
+def test_files_of_an_event_with_other_headers_are_reported(spark, tmp_path):
+    row = "甲,x,一般,1,2,3,6\n"
+    write(tmp_path / "event_id=1/a.csv", HEADER + row)
+    write(tmp_path / "event_id=1/b.csv", HEADER.replace("懇親会", "夕食") + row)
+    assert roster_source.read_fee_labels(spark, str(tmp_path)).count() == 0
+    rejects = roster_source.read_fee_label_rejects(spark, str(tmp_path)).collect()
+    assert [(r["event_id"], len(r["fee_labels"])) for r in rejects] == [(1, 2)]
 
 
 def test_html_list_is_written_in_order(spark, tmp_path):
@@ -104,8 +153,8 @@ def test_html_list_is_written_in_order(spark, tmp_path):
     entries = citations.feed_entries(citations.parse_feeds(feeds), ["f"])
     listed = citations.citation_html(entries, ["f"], "en")
     path = tmp_path / "list"
-    tables.write_html_list(listed, str(path), ["f", "item_index"])
-    text = "".join(p.read_text(encoding="utf-8") for p in sorted(path.glob("part-*")))
+    tables.write_html_list(listed, str(path), "f", size=3)
+    text = "".join(p.read_text(encoding="utf-8") for p in sorted(path.glob("f=*/part=*/part-*")))
     wanted = [r["value"] for r in listed.orderBy("f", "item_index").collect()]
     assert text == "\n".join(wanted) + "\n"
 

@@ -32,6 +32,15 @@ def test_own_prefix_and_suffix(spark):
     assert numbering.page_labels(requests, "id").first()["label"] == "P3*"
 
 
+def test_missing_bounds_are_one(spark):
+    requests = spark.createDataFrame([(1, None, 3), (2, -1, None), (3, None, None), (4, 5, None)], REQUEST)
+    for labels in (numbering.session_labels, numbering.page_labels):
+        rows = labels(requests, "id").collect()
+        assert sorted((r["id"], r["number"]) for r in rows) == [(1, 1), (1, 2), (1, 3), (2, -1), (2, 0), (2, 1), (3, 1)]
+        assert {r["page_no"] for r in rows if r["id"] == 2} == {1, 2, 3}
+        assert labels(requests.select("id"), "id").count() == 4
+
+
 @pytest.mark.parametrize("block", [1, 3, 7, 100])
 def test_long_ranges_are_dealt_out_whole(spark, block):
     ranges = [(1, 0, 49), (2, -3, 4), (3, 5, 5), (4, 6, 5), (5, 0, block - 1), (6, 0, block)]

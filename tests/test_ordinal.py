@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from eventdocs.operators.constants import fits_broadcast, with_constants
+from eventdocs.operators.constants import constants_rejects, with_constants
 from eventdocs.operators.ordinal import dense_ordinal, running_total, slice_starts
 
 KEYS = st.one_of(st.integers(-20, 60), st.integers(-(2**63), 2**63 - 1))
@@ -55,17 +55,27 @@ def test_running_total_over_text_keys(spark):
     assert len(got) == 400
 
 
-def test_constants_reach_every_row_both_ways(spark):
-    rows = spark.range(0, 300).select((F.col("id") % 4).alias("event_id"), F.shiftleft("id", 19).alias("entry_no"))
-    events = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "event_id BIGINT, name STRING")
-    small = sorted(with_constants(rows, events, small=True).select("event_id", "entry_no", "name").collect())
-    large = sorted(with_constants(rows, events, small=False).select("event_id", "entry_no", "name").collect())
-    assert len(small) == 300 and small == large
-    assert {r["event_id"] for r in small if r["name"] is None} == {3}
-
-
-def test_broadcast_bounds(spark):
-    df = spark.range(10).withColumn("text", F.lit("x" * 100))
-    assert fits_broadcast(df)
-    assert not fits_broadcast(df, max_rows=9)
-    assert not fits_broadcast(df, max_bytes=500)
+def test_constants_reach_every_row_once(spark):
+    rows = spark.range(0, 300).select((F.col("id") % 5).alias("event_id"), F.shiftleft("id", 19).alias("entry_no"))
+    events = [(0, "a"), (1, "b"), (2, "c"), (4, "twice"), (4, "twice"), (None, "none")]
+    events = spark.createDataFrame(events, "event_id BIGINT, name STRING")
+    for parts in (1, 32):
+        got = with_constants(rows, events, parts=parts).select("event_id", "entry_no", "name").collect()
+        assert len(got) == 300
+        assert {(r["event_id"], r["name"]) for r in got} == {(0, "a"), (1, "b"), (2, "c"), (3, None), (4, None)}
+    assert [tuple(r) for r in constants_rejects(events).collect()] == [(4, 2)]
+
+
+def test_more_constants_than_are_broadcast(spark):
+    events = spark.range(0, 30_000).select(F.col("id").alias("event_id"), F.concat(F.lit("e"), "id").alias("name"))
+    rows = spark.range(0, 60_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 30_000).alias("event_id"), F.col("id").alias("entry_no")
+    )
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        joined = with_constants(rows, events)
+        wrong = F.coalesce(F.col("name") != F.concat(F.lit("e"), "event_id"), F.lit(True))
+        assert joined.count() == 60_000 and joined.where(wrong).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

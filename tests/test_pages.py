@@ -32,11 +32,11 @@ def test_overlay_keeps_every_base_page(spark):
 
 
 def test_files_are_combined_in_name_order(spark):
-    names = ["02_bar.pdf", "99_back.pdf", "00_cover.pdf", "01_foo.pdf"]
+    names = ["b-talks.pdf", "z-end.pdf", "a-front.pdf", "b-posters.pdf"]
     files = {(1, name, i): i + 1 for i, name in enumerate(names)} | {(2, "x.pdf", 0): 3}
     listed = spark.createDataFrame([(*f, "ok") for f in files], FILE)
     got = combined(pages.page_combine(page_rows(spark, files), listed))
-    by_name = [(1, "00_cover.pdf", 2), (1, "01_foo.pdf", 3), (1, "02_bar.pdf", 0), (1, "99_back.pdf", 1)]
+    by_name = [(1, "a-front.pdf", 2), (1, "b-posters.pdf", 3), (1, "b-talks.pdf", 0), (1, "z-end.pdf", 1)]
     first = [(*f, n) for f in by_name for n in range(1, files[f] + 1)]
     assert got[:10] == [(1, i, name, seq, n) for i, (_, name, seq, n) in enumerate(first, start=1)]
     assert got[10:] == [(2, i, "x.pdf", 0, i) for i in (1, 2, 3)]
@@ -69,10 +69,28 @@ def test_names_sort_by_code_point(spark):
     assert [row[2] for row in got] == sorted(names)
 
 
-@pytest.mark.parametrize("numbers", [[1, 3], [0, 1], [2, 3], [1, None]])
-def test_page_numbers_have_to_be_whole(spark, numbers):
+@pytest.mark.parametrize("numbers", [[1, 3], [0, 1], [2, 3], [1, None], [1, 1, 3], [1, 2, 2, 4, 6, 6], [-5, 1], [None]])
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_files_with_other_page_numbers_are_skipped_and_reported(spark, numbers, broadcast):
     schema = "job_id BIGINT, file_name STRING, upload_seq BIGINT, page_no BIGINT"
-    rows = spark.createDataFrame([(1, "a.pdf", 0, n) for n in numbers], schema)
-    listed = spark.createDataFrame([(1, "a.pdf", 0, "ok")], FILE)
-    with pytest.raises(Exception, match="have to be 1, 2"):
-        pages.page_combine(rows, listed).collect()
+    rows = [(1, "a.pdf", 0, n) for n in numbers] + [(1, "b.pdf", None, n) for n in (1, 2)] + [(1, "c.pdf", 2, 7)]
+    rows = spark.createDataFrame(rows, schema)
+    listed = spark.createDataFrame([(1, "a.pdf", 0, "ok"), (1, "b.pdf", None, "ok"), (1, "c.pdf", 2, "broken")], FILE)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        assert combined(pages.page_combine(rows, listed)) == [(1, 1, "b.pdf", None, 1), (1, 2, "b.pdf", None, 2)]
+        messages = {r["message"] for r in pages.page_combine_rejects(listed, rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert messages == {"skipped a.pdf: page numbers are not 1, 2, ...", "skipped c.pdf: broken"}
+
+
+def test_large_files_are_checked_by_slices(spark):
+    numbers = spark.range(1, 100_001).select(F.col("id").alias("page_no"))
+    good = numbers.select(F.lit(1).cast("bigint").alias("job_id"), F.lit("a").alias("file_name"),
+                          F.lit(0).cast("bigint").alias("upload_seq"), "page_no")
+    bad = good.withColumns({"file_name": F.lit("b"), "page_no": F.when(F.col("page_no") == 70_000, 3).otherwise(F.col("page_no"))})
+    listed = spark.createDataFrame([(1, "a", 0, "ok"), (1, "b", 0, "ok")], FILE)
+    out = pages.page_combine(good.unionByName(bad), listed)
+    assert out.count() == 100_000 and out.where("out_page <> page_no OR file_name <> 'a'").count() == 0
