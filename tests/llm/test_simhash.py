@@ -74,3 +74,24 @@ def test_empty_table_and_null_keys(spark, make_docs):
     rows = simhash.near_duplicates(make_docs(["x y", "x y", "q"], [None, 3, None])).collect()
     assert sorted((r.doc_id is None, r.component_id) for r in rows if r.component_id) == [(False, 3), (True, 3)]
     assert len(rows) == 3
+
+
+def changed(rng, words, share):
+    return [rng.choice(words) + "x" if rng.random() < share else w for w in words]
+
+
+def test_near_copies_are_found_and_others_are_not(make_docs):
+    rng = random.Random(8)
+    texts, similar = [], []
+    for i in range(150):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400))]
+        other = changed(rng, words, rng.choice([0.0, 0.005, 0.01, 0.02, 0.2]))
+        a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (words, other))
+        texts += [" ".join(words), " ".join(other)]
+        similar.append(len(a & b) / len(a | b))
+    rows = {r.doc_id: r.component for r in simhash.near_copies(make_docs(texts)).collect()}
+    same = [rows[2 * i] == rows[2 * i + 1] for i in range(150)]
+    assert sum(s for s, j in zip(same, similar) if j >= 0.82) >= 0.93 * sum(j >= 0.82 for j in similar)
+    assert not any(s for s, j in zip(same, similar) if j < 0.6)
+    firsts = [rows[2 * i] for i in range(150)]
+    assert len(set(firsts)) == 150
