@@ -68,7 +68,8 @@ class LineRuns:
         return [name for level in self.levels for name in level]
 
     def _sum(self, names: list[str]) -> DataFrame:
-        runs = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names])
+        # Dealt out anew: a union of bucketed tables claims their bucketing, but Spark 4.1 does not line the buckets up.
+        runs = reduce(DataFrame.unionByName, [self.spark.table(n) for n in names]).repartition("h1", "h2")
         return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
     def frequent(self) -> DataFrame:
