@@ -216,7 +216,10 @@ def removals(docs: DataFrame, key: str, kind: Kind) -> DataFrame:
     groups = written(groups, "contents")
     again = F.max(F.shiftright("place", 7).bitwiseAND(F.lit(1))) == 1
     compared = groups.groupBy("m").agg(((F.count(F.lit(1)) > 1) | again).alias("compared")).where("compared").select("m")
+    # As a table of its own, so that AQE may split the contents of one key in the join.
+    compared = written(compared, "compared-keys")
     wanted = written(groups.join(compared, "m"), "compared")
+    drop_written(compared)
     total = wanted.agg(F.coalesce(F.sum(_count("place") + kind.length), F.lit(0))).first()[0]
     shards = max(1, -(-total // kind.shard_symbols))
     verdicts = written(_verdicts(_contents(docs, key, wanted, kind, shards), kind), "verdicts")
