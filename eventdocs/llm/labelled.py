@@ -75,7 +75,8 @@ def sample(
     ]
     if not taken:
         return []
-    chosen = texts.join(reduce(DataFrame.unionByName, taken), key).dropDuplicates([key, "_label"])
+    # At most ``rows`` keys of each of 16 labels, so they may be sent to the texts, whatever the size of the corpus.
+    chosen = texts.join(F.broadcast(reduce(DataFrame.unionByName, taken)), key).dropDuplicates([key, "_label"])
     found = [tuple(r) for r in chosen.select("_label", "_text", *extra, key).collect()]
     drop_written(eligible)
     return [r[:-1] for r in sorted(found, key=lambda r: (r[0], r[-1]))]
