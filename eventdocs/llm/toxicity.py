@@ -92,7 +92,7 @@ def _start(rng: np.random.Generator, buckets: int) -> Network:
     )
 
 
-def train(docs: Sequence[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epochs: int = 12, seed: int = 0) -> Network:
+def train(docs: Sequence[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS, epochs: int = 24, seed: int = 0) -> Network:
     """Adagrad on the logistic loss in batches of 32. Both labels weigh the same."""
     rng = np.random.default_rng(seed)
     net = _start(rng, buckets)
