@@ -30,6 +30,8 @@ BLOCK_BYTES, CHUNK = 8 << 20, 1 << 20
 _GAPS = re.compile(r"[\W_]+")
 _MULTIPLIER, _FILTER_BITS = np.uint64(0x9E3779B97F4A7C15), 22
 _APART = 255
+#: Regions aligned together; one edit, and a cell that no alignment may enter, in the cells of the alignment.
+_ALIGNED, _EDIT, _CLOSED, _NOTHING = 256, np.int32(1 << 12), np.int32(1 << 29), np.uint32(0xFFFFFFFF)
 
 
 def normalized(text: str) -> str:
@@ -109,27 +111,56 @@ class Patterns:
         band = (keys[kept] & ((1 << 40) - 1)) - (1 << 20)
         return list(zip(owner[kept].tolist(), (band * width[owner[kept]]).tolist()))
 
-    def align(self, text: np.ndarray, pattern: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best occurrence on the band's diagonals and k more on each side, within the budget."""
-        codes, k = self.codes[pattern], int(self.edits[pattern])
-        low, wide = diagonal - k, 2 * (k + 1) + 2 * k
-        m, unit = len(codes), 1 << 20
-        padded = np.full(wide + m, 0xFFFFFFFF, np.uint32)
-        a, b = max(0, low), min(len(text), low + wide + m)
-        if b <= a:
-            return None
-        padded[a - low : b - low] = text[a:b]
-        x = np.arange(wide)
+    def align(self, text: np.ndarray, regions: Sequence[tuple[int, int]]) -> list[tuple[int, int, int] | None]:
+        """For each region (pattern, diagonal) of the text (edits, start, end) of its best occurrence on the band's
+        diagonals and k more on each side, None beyond the budget. Regions are aligned together, row by row."""
+        out: list[tuple[int, int, int] | None] = []
+        for at in range(0, len(regions), _ALIGNED):
+            out += self._align(text, regions[at : at + _ALIGNED])
+        return out
+
+    def _align(self, text, regions):
+        pattern = np.array([r[0] for r in regions])
+        size = np.array([len(self.codes[i]) for i in pattern])
+        order = np.argsort(-size, kind="stable")
+        pattern, size = pattern[order], size[order]
+        k = self.edits[pattern]
+        low = np.array([r[1] for r in regions])[order] - k
+        own = 4 * k + 2  # diagonals of each band
+        wide, deep = int(own.max()), int(size[0])
+        want = np.zeros((len(order), deep), np.uint32)
+        for row, i in enumerate(pattern):
+            want[row, : size[row]] = self.codes[i]
+        at = low[:, None] + np.arange(wide + deep)
+        inside = (at >= 0) & (at < len(text))
+        shown = np.where(inside, text[np.clip(at, 0, len(text) - 1)] if len(text) else 0, _NOTHING)
         # Edits in the high bits and the start in the low ones, so that one minimum keeps both.
-        inside = (x + low >= 0) & (x + low <= len(text))
-        cost = np.where(inside, x, unit * unit)
-        for row in range(m):
-            moved = cost + unit * (padded[row : row + wide] != codes[row])
-            moved[:-1] = np.minimum(moved[:-1], cost[1:] + unit)
-            cost = np.minimum.accumulate(moved - x * unit) + x * unit
-        best = int(cost.argmin())
-        edits, start = divmod(int(cost[best]), unit)
-        return (edits, low + start, min(len(text), low + best + m)) if edits <= k else None
+        x = np.arange(wide, dtype=np.int32)
+        steps = x * _EDIT
+        place = low[:, None] + x
+        closed = np.where((place >= 0) & (place <= len(text)) & (x < own[:, None]), 0, _CLOSED).astype(np.int32)
+        cost = np.maximum(x, closed)
+        closed = np.where(x < own[:, None], 0, _CLOSED).astype(np.int32)
+        best: list[tuple[int, int, int] | None] = [None] * len(order)
+        live = len(order)
+        for row in range(deep):
+            moved = cost + _EDIT * (shown[:live, row : row + wide] != want[:live, row, None])
+            np.minimum(moved[:, :-1], cost[:, 1:] + _EDIT, out=moved[:, :-1])
+            cost = np.minimum.accumulate(moved - steps, axis=1) + steps
+            np.maximum(cost, closed[:live], out=cost)
+            done = int(np.searchsorted(-size[:live], -(row + 1)))
+            for i in range(done, live):
+                end = int(cost[i].argmin())
+                edits, start = divmod(int(cost[i, end]), int(_EDIT))
+                if edits <= k[i]:
+                    found = (edits, int(low[i]) + start, min(len(text), int(low[i]) + end + row + 1))
+                    best[int(order[i])] = found
+            if done < live:
+                live = done
+                cost = cost[:live]
+            if not live:
+                break
+        return best
 
     def matches(self, text: str) -> dict[int, tuple[int, int, int]]:
         """For each item found: (edits, start, end) of its best and then first occurrence in the normalized text."""
@@ -141,14 +172,30 @@ class Patterns:
         return found
 
     def collect(self, part: np.ndarray, at: int, regions, found: dict) -> None:
-        for pattern, diagonal in regions:
-            hit = self.align(part, pattern, diagonal)
+        for (pattern, _), hit in zip(regions, self.align(part, regions)):
             if hit:
                 hit = (hit[0], hit[1] + at, hit[2] + at)
                 item = self.ids[pattern]
                 if item not in found or hit < found[item]:
                     found[item] = hit
 
+    def _hits(self, parts: list[np.ndarray], starts: np.ndarray, regions) -> Iterator[tuple[int, int, tuple]]:
+        """(pattern, text, hit) of the regions of several texts laid end to end. All are aligned together; between texts
+        stand characters that no pattern holds, and a hit that reaches over them is looked for in each text by itself."""
+        gap = np.full(Q, _NOTHING - np.uint32(1), np.uint32)
+        flat = np.concatenate([y for p in parts for y in (p, gap)])
+        for (pattern, diagonal), hit in zip(regions, self.align(flat, regions)):
+            if not hit:
+                continue
+            t = int(np.searchsorted(starts, hit[1], "right")) - 1
+            if hit[2] <= starts[t] + len(parts[t]):
+                yield pattern, t, (hit[0], hit[1] - int(starts[t]), hit[2] - int(starts[t]))
+                continue
+            for t in range(t, min(int(np.searchsorted(starts, hit[2], "right")), len(parts))):
+                alone = self.align(parts[t], [(pattern, diagonal - int(starts[t]))])[0]
+                if alone:
+                    yield pattern, t, alone
+
     def search(self, texts: Sequence[str]) -> list[dict[int, tuple[int, int, int]]]:
         """``matches`` of every text; short ones are scanned together."""
         shown = [normalized(t) for t in texts]
@@ -160,16 +207,10 @@ class Patterns:
             gap = np.full(Q, _APART, np.uint8)
             flat = np.concatenate([y for p in parts for y in (_folded(p), gap)])
             starts = np.concatenate([[0], np.cumsum([len(p) + Q for p in parts])])
-            by_text: dict[int, list] = {}
-            for pattern, diagonal in self.regions(flat):
-                # A band may touch the text before or after the one its lowest diagonal starts in.
-                m, k = len(self.codes[pattern]), int(self.edits[pattern])
-                a = np.searchsorted(starts, diagonal, "right") - 1
-                b = np.searchsorted(starts, diagonal + 2 * k + 2 + m, "right") - 1
-                for t in range(max(a, 0), min(b, len(parts) - 1) + 1):
-                    by_text.setdefault(t, []).append((pattern, diagonal - int(starts[t])))
-            for t, regions in by_text.items():
-                self.collect(parts[t], 0, regions, found[group[t]])
+            for pattern, t, hit in self._hits(parts, starts, self.regions(flat)):
+                item = self.ids[pattern]
+                if item not in found[group[t]] or hit < found[group[t]][item]:
+                    found[group[t]][item] = hit
             group.clear()
 
         size = 0
