@@ -62,7 +62,7 @@ def test_pooling_equals_a_plain_loop(net):
 def test_scores_of_odd_rows(spark, make_docs, net):
     docs = make_docs(["", None, "ba do", "ba do", "skarn " * 9], [1, 2, 3, 3, None]).withColumn("score", F.lit("x"))
     rows = toxicity.scores(docs, net).collect()
-    found = sorted((r.doc_id or 0, round(r.score, 9)) for r in rows)
+    found = sorted((r.doc_id or 0, round(r.score, 5)) for r in rows)
     assert len(found) == 5 and found[1][1] == found[2][1] and found[3] == found[4]
     assert all(0 <= s <= 1 for _, s in found) and found[0][1] > 0.5
     assert toxicity.scores(make_docs([]), net).collect() == []
