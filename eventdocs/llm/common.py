@@ -111,17 +111,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     links = written(links, "links")
     previous = None
     while True:
+        # The minima are tables of their own, so that AQE may split a hub's rows in the joins.
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour goes to the smallest of the node and its neighbours.
         smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        smallest = written(smallest, "smallest")
         large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u > v").distinct()
+        large = written(large.where("u > v").distinct(), "large-star")
         # Small star: the smaller neighbours and the node itself go to the smallest.
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(small_min.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         earlier, links = links, written(small, "links")
-        drop_written(earlier)
+        for table in (earlier, smallest, large, least):
+            drop_written(table)
         state = links.agg(
             F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.countDistinct("v")
         ).first()
