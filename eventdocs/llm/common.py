@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +69,22 @@ def same_row(a: DataFrame, b: DataFrame, key: str) -> Column:
     return (a["row_key"] == b["row_key"]) & a[key].eqNullSafe(b[key])
 
 
+#: Tables of words that a Python worker keeps from task to task: (operator, what clears them).
+_kept: list[tuple[str, Callable[[], None]]] = []
+
+
+def keeps(operator: str, clear: Callable[[], None]) -> None:
+    """Announces a table that the operator keeps in its workers."""
+    _kept.append((operator, clear))
+
+
+def keep_only(operator: str) -> None:
+    """Clears what other operators have kept in this worker; called where a task starts."""
+    for owner, clear in _kept:
+        if owner != operator:
+            clear()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

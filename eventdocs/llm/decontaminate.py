@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from eventdocs.llm.common import pieces, with_row_key
+from eventdocs.llm.common import keep_only, pieces, with_row_key
 
 Q = 8  # a q-gram is one 64-bit word
 BUDGET = 0.1
@@ -260,6 +260,7 @@ def find_leaks(
 
     def searched(block: Broadcast) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keep_only("decontamination")
             ids, texts = zip(*block.value) if block.value else ((), ())
             patterns = Patterns(list(enumerate(texts)), budget)
             for batch in pieces(batches, "text", 4 << 20):
@@ -298,6 +299,7 @@ def without_leaks(
     for block in _blocks(benchmark, item, block_bytes):
 
         def clean(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
+            keep_only("decontamination")
             patterns = Patterns(block.value, budget)
             for batch in pieces(batches, "text", 4 << 20):
                 hits = patterns.search(batch.column("text").to_pylist())

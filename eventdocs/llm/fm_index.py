@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventdocs.llm import repeats
+from eventdocs.llm.common import keeps
 
 LENGTH, GRAM = 35, 8
 #: Words of a shard on average.
@@ -169,6 +170,7 @@ class _Words(dict):
 
 
 _words = _Words()
+keeps("repeats", _words.clear)
 
 
 def _symbols(text: bytes) -> np.ndarray:

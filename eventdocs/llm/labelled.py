@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventdocs.llm.common import drop_written, pieces, text_of, written
+from eventdocs.llm.common import drop_written, keep_only, pieces, text_of, written
 
 BUCKETS = 1 << 16
 #: Bounds of a training sample: rows of one label, and words of one row. They bound what the driver holds.
@@ -89,7 +89,8 @@ def scored(docs: DataFrame, key: str, score, names: list[str], extra: tuple[str,
     )
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(rows, "_text", 4 << 20):
+        keep_only("words")
+        for batch in pieces(rows, "_text", 1 << 20):
             texts = batch.column("_text").cast(pa.large_binary()).to_pylist()
             found = [pa.array(np.asarray(a, float)) for a in score(texts)]
             kept = [batch.column(n) for n in (key, *extra)]

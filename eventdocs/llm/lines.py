@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventdocs.llm.common import BLANKS, drop_written, pieces, same_row, with_row_key, written, parts
+from eventdocs.llm.common import BLANKS, drop_written, keep_only, pieces, same_row, with_row_key, written, parts
 
 MIN_DOCS = 10
 BATCHES = 8
@@ -103,6 +103,7 @@ def line_hashes(docs: DataFrame, key: str, min_chars: int = 1, batches: int = BA
     )
 
     def explode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("lines")
         for batch in pieces(rows, "text"):
             at, pos, digests, first = [], [], [], []
             for row, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventdocs.llm.common import pieces, with_row_key, written
+from eventdocs.llm.common import keep_only, keeps, pieces, with_row_key, written
 
 MAX_TOKENS, END_ID = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,7 @@ _MARKS = ".,;:!?)]}\"%&$#*|-"
 #: Words, and runs of letters, whose ids a worker keeps, and the longest such word in bytes.
 CACHED, CACHED_BYTES = 600_000, 100
 _encoders: dict[str, WordIds] = {}
+keeps("packing", _encoders.clear)
 
 
 class WordIds:
@@ -165,6 +166,7 @@ def cut_pieces(docs: DataFrame, key: str, tokenizer: str = TOKENIZER, most: int
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("packing")
         encoder, ranks, part = word_ids(tokenizer), Counter(), TaskContext.get().partitionId()
         for batch in pieces(rows, "text", 4 << 20):
             at, found = [], []

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventdocs.llm.common import keeps
 from eventdocs.llm.labelled import BUCKETS, SAMPLE_ROWS, HashedWords, sample, scored
 
 #: Grades of the given labels: low quality, good but toxic, good.
@@ -24,6 +25,7 @@ GRADES = 3
 LEAST_STEPS = 600
 _LETTERS, _UPPER, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]{2,}"), re.compile(r"\d+")
 _tables: dict[str, dict] = {}
+keeps("words", _tables.clear)
 
 
 class HashedShapes(HashedWords):
@@ -144,7 +146,9 @@ def grade_of_labels() -> Column:
 
 def fit_on_tables(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS) -> OrdinalModel:
     """A model fitted on at most ``rows`` labelled rows of each grade outside the held-out fold."""
-    return fit(sample(docs, labels, grade_of_labels(), key, rows))
+    model = fit(sample(docs, labels, grade_of_labels(), key, rows))
+    _tables.clear()
+    return model
 
 
 def grades(

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventdocs.llm import windows
-from eventdocs.llm.common import drop_written, pieces, with_row_key, written
+from eventdocs.llm.common import drop_written, keep_only, pieces, with_row_key, written
 
 #: Symbols that are hashed together, and at most (longer documents are hashed in overlapping parts).
 _TOGETHER, _PART = 1 << 16, 1 << 20
@@ -79,7 +79,8 @@ def _runs(docs: DataFrame, key: str, kind: Kind, place: bool) -> DataFrame:
         return np.array(rows)[owner], first + np.array(offsets)[owner], count, m, rh, again
 
     def all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 8 << 20):
+        keep_only("repeats")
+        for batch in pieces(batches, "text", 2 << 20):
             rows, parts, offsets, size, results = [], [], [], 0, []
             for row, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
                 symbols = kind.symbols(text)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventdocs.llm.common import components, parts, pieces, text_of, utf8_views, with_row_key, written
+from eventdocs.llm.common import components, keep_only, parts, pieces, text_of, utf8_views, with_row_key, written
 
 BITS, RADIUS, SEED = 64, 4, 42
 #: Variants that one step of a cell's task holds at a time.
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", size: int = 4) -> DataFra
     )
 
     def hash_all(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("simhash")
         for batch in pieces(rows, "text"):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             found = np.array([simhash(t, size) for t in texts], np.uint64).view(np.int64)
@@ -260,7 +261,7 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             return
 
 
-def similar_links(nodes: DataFrame, similarity: float = 0.8, most: int = MOST_VARIANTS) -> DataFrame:
+def similar_links(nodes: DataFrame, similarity: float = 0.8, most: int = MOST_VARIANTS // 4) -> DataFrame:
     """(a, b): links between the distinct (id, fp) of ``nodes``, fp a long SimHash.
 
     Texts of similarity 0.8 differ in a sixth of their bits, too many for one ball. But their 32-bit blocks differ less by
@@ -283,6 +284,8 @@ def similar_links(nodes: DataFrame, similarity: float = 0.8, most: int = MOST_VA
     limit = _most_bits(similarity)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("simhash")
+
         def one(cell: int, ids: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
             table, cell = divmod(cell, 1 << prefix)
             own, data = np.concatenate(ids), np.concatenate(fps)
@@ -322,6 +325,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", size: int = 5, similarity:
     )
 
     def hash_all(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("simhash")
         for batch in pieces(rows, "text"):
             found = [_long_simhash(t, size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
             own = [batch.column(key), batch.column("row_key")]

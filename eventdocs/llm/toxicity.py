@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventdocs.llm.common import keeps
 from eventdocs.llm.labelled import BUCKETS, SAMPLE_ROWS, HashedWords, sample, scored
 
 WIDTHS, FILTERS, DEPTH = (1, 2, 3), 12, 12
@@ -25,6 +26,7 @@ LEAST_DOCS = 5
 #: Share of the words that a training step leaves out.
 DROPPED = 0.6
 _hashed: dict[int, HashedWords] = {}
+keeps("words", _hashed.clear)
 
 
 def hashed_words(buckets: int) -> HashedWords:
@@ -214,7 +216,9 @@ def fit(rows: Sequence[tuple[int, str, str | None]], buckets: int = BUCKETS, see
 def fit_on_tables(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Network:
     """A network fitted on at most ``rows`` labelled rows of each label outside the held-out fold."""
     found = sample(docs, labels, F.col("toxic").cast("int"), key, rows, extra=("lang",))
-    return fit([r for r in found if r[0] in (0, 1)])
+    net = fit([r for r in found if r[0] in (0, 1)])
+    _hashed.clear()
+    return net
 
 
 def scores(docs: DataFrame, net: Network, key: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
