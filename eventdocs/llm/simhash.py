@@ -217,16 +217,13 @@ def _block_links(
     for part in range(1 << slice_bits):
         variants, owners = [], []
         for own, masks in groups:
-            step = max(1, most // len(masks))
-            for at in range(0, len(own), step):
-                some = own[at : at + step]
-                v = (bases[some][:, None] ^ masks[None, :]).ravel()
-                o = np.repeat(some.astype(np.int32), len(masks))
-                if slice_bits:
-                    here = (v >> np.uint64(low - slice_bits)) & np.uint64((1 << slice_bits) - 1) == part
-                    v, o = v[here], o[here]
-                variants.append(v)
-                owners.append(o)
+            # Leading bits that a flip changes, and those of the nodes that it brings into this slice.
+            lead = masks >> np.uint64(low - slice_bits)
+            mine = (bases[own] >> np.uint64(low - slice_bits)) & np.uint64((1 << slice_bits) - 1)
+            for change in np.unique(lead):
+                some, flips = own[mine == np.uint64(part) ^ change], masks[lead == change]
+                variants.append((bases[some][:, None] ^ flips[None, :]).ravel())
+                owners.append(np.repeat(some.astype(np.int32), len(flips)))
         v, o = np.concatenate(variants), np.concatenate(owners)
         order = np.argsort(v)
         v, o = v[order], o[order]
