@@ -97,15 +97,7 @@ def _cell_links(cell: int, fps: np.ndarray, prefix: int, radius: int, most: int)
         met = np.flatnonzero(v[1:] == v[:-1])
         a, b = o[met], o[met + 1]
         near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
-        a, b = a[near], b[near]
-        while True:  # the smallest index of each group
-            least = np.minimum(label[a], label[b])
-            before = label.copy()
-            np.minimum.at(label, a, least)
-            np.minimum.at(label, b, least)
-            label = label[label]
-            if (before == label).all():
-                break
+        _join(label, a[near], b[near])
     other = np.flatnonzero(label != np.arange(len(fps)))
     return fps[label[other]], fps[other]
 
@@ -247,15 +239,20 @@ def _block_links(
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Gives both ends of each pair the smallest label that they reach."""
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label[:] = label[label]
-        if (before == label).all():
+    """Unites the groups of both ends of each pair. ``label`` holds the smallest index of every group, before and after."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
             return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        # Roots, not ends, so that what was joined earlier stays joined.
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
 
 
 def similar_links(nodes: DataFrame, similarity: float = 0.8, most: int = MOST_VARIANTS // 4) -> DataFrame:

@@ -69,6 +69,38 @@ def test_links_of_random_neighbours(spark):
         assert roots_by_brute_force(fps, near.__getitem__) == want
 
 
+def test_later_links_keep_earlier_ones():
+    label = np.arange(3)
+    simhash._join(label, np.array([2]), np.array([1]))
+    simhash._join(label, np.array([2]), np.array([0]))
+    assert label.tolist() == [0, 0, 0]
+
+
+def test_chains_across_slices_and_rounds():
+    # B and C meet in one slice only; a later slice joins C to A, which has a smaller index than B.
+    a, c = 1 << 40, (1 << 40) ^ (1 << 63) ^ (0b11 << 54) ^ 1
+    chain = [a, c ^ 0b1110, c]
+    for most in (4_000_000, 50_000, 500):
+        fps, near = np.array(chain, np.uint64), {i: {i} for i in range(3)}
+        for cell in range(256):
+            touching = fps[np.bitwise_count((fps >> np.uint64(56)) ^ np.uint64(cell)) <= 2]
+            for x, y in zip(*simhash._cell_links(cell, touching, 8, 4, most)) if len(touching) else []:
+                i, j = chain.index(int(x)), chain.index(int(y))
+                near[i].add(j)
+                near[j].add(i)
+        assert roots_by_brute_force(fps, near.__getitem__) == [0, 0, 0]
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        fps = np.unique(rng.integers(0, 1 << 18, 60).astype(np.uint64))
+        want = roots_by_brute_force(fps, lambda i: np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4))
+        at = {int(x): i for i, x in enumerate(fps)}
+        for most in (1 << 22, 1 << 12):
+            label = np.arange(len(fps))
+            x, y = simhash._cell_links(0, fps, 46, 4, most)
+            simhash._join(label, np.array([at[int(v)] for v in x], int), np.array([at[int(v)] for v in y], int))
+            assert label.tolist() == want
+
+
 def test_empty_table_and_null_keys(spark, make_docs):
     assert simhash.near_duplicates(make_docs([])).collect() == []
     rows = simhash.near_duplicates(make_docs(["x y", "x y", "q"], [None, 3, None])).collect()
