@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventdocs.llm.common import components, keep_only, parts, pieces, text_of, utf8_views, with_row_key, written
+from eventdocs.llm import jaccard
+from eventdocs.llm.common import components, keep_only, parts, pieces, text_of, with_row_key, written
 
 BITS, RADIUS, SEED = 64, 4, 42
 #: Variants that one step of a cell's task holds at a time.
@@ -161,8 +162,8 @@ def near_duplicates(
     return marked.join(labels, "fp").select(key, "row_key", "fp", "component", "component_id")
 
 
-#: For similarity instead of a radius: blocks of 32 bits, and how many of them are searched.
-BLOCK, BLOCKS, SEARCHED = 32, 12, 8
+#: An estimate of the similarity, for comparison; ``near_copies`` decides by the exact one. Blocks of 32 bits.
+BLOCKS = 12
 _SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(BLOCKS // 2)], np.uint64)
 
 
@@ -194,50 +195,6 @@ def _most_bits(similarity: float) -> int:
     return int(bits * share + 1.5 * (bits * share * (1 - share)) ** 0.5)
 
 
-def _block_links(
-    cell: int, blocks: np.ndarray, whole: np.ndarray, prefix: int, radius: int, limit: int, most: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (smallest, other) that join the nodes of a cell which share a variant of their ``blocks`` and differ in
-    at most ``limit`` bits of ``whole``."""
-    half, low = radius // 2, BLOCK - prefix
-    bases = (blocks & np.uint64((1 << low) - 1)) | np.uint64(cell << low)
-    flipped = np.bitwise_count((blocks >> np.uint64(low)) ^ np.uint64(cell)).astype(int)
-    groups = [(np.flatnonzero(flipped == k), _masks(low, half - k)) for k in range(half + 1)]
-    total = sum(len(own) * len(masks) for own, masks in groups)
-    slice_bits = max(0, int(np.ceil(np.log2(max(1, total / most)))))
-    label = np.arange(len(blocks))
-    for part in range(1 << slice_bits):
-        variants, owners = [], []
-        for own, masks in groups:
-            # Leading bits that a flip changes, and those of the nodes that it brings into this slice.
-            lead = masks >> np.uint64(low - slice_bits)
-            mine = (bases[own] >> np.uint64(low - slice_bits)) & np.uint64((1 << slice_bits) - 1)
-            for change in np.unique(lead):
-                some, flips = own[mine == np.uint64(part) ^ change], masks[lead == change]
-                variants.append((bases[some][:, None] ^ flips[None, :]).ravel())
-                owners.append(np.repeat(some.astype(np.int32), len(flips)))
-        v, o = np.concatenate(variants), np.concatenate(owners)
-        order = np.argsort(v)
-        v, o = v[order], o[order]
-        live = np.arange(len(v))
-        apart = 1
-        while True:  # neighbours first; groups that have become one component need no further comparison
-            live = live[live + apart < len(v)]
-            live = live[v[live] == v[live + apart]]
-            if not len(live):
-                break
-            a, b = o[live], o[live + apart]
-            open_ = label[a] != label[b]
-            a, b = a[open_], b[open_]
-            for at in range(0, len(a), 1 << 18):
-                x, y = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
-                near = np.bitwise_count(whole[x] ^ whole[y]).sum(1) <= limit
-                _join(label, x[near], y[near])
-            apart += 1
-    other = np.flatnonzero(label != np.arange(len(label)))
-    return label[other], other
-
-
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Unites the groups of both ends of each pair. ``label`` holds the smallest index of every group, before and after."""
     while True:
@@ -255,81 +212,15 @@ def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def similar_links(nodes: DataFrame, similarity: float = 0.8, most: int = MOST_VARIANTS // 4) -> DataFrame:
-    """(a, b): links between the distinct (id, fp) of ``nodes``, fp a long SimHash.
-
-    Texts of similarity 0.8 differ in a sixth of their bits, too many for one ball. But their 32-bit blocks differ less by
-    chance: the balls of radius 2 around a block of each meet with probability 0.45 (4 bits or less), and around one of
-    SEARCHED blocks with 0.99. What meets is verified over all bits. Cells are blocks of the same number with the same
-    leading bits.
-    """
-    spark, radius = nodes.sparkSession, RADIUS
-    prefix = max(2, (nodes.count() or 1).bit_length() - 17)
-    touched = _masks(prefix, radius // 2).astype(np.int64).tolist()
-    tables = F.explode(F.sequence(F.lit(0), F.lit(SEARCHED - 1)))
-    rows = nodes.withColumn("table", tables)
-    block = F.substring(F.hex("fp"), F.col("table") * 8 + 1, F.lit(8))
-    rows = rows.withColumn("leading", F.shiftrightunsigned(F.conv(block, 16, 10).cast("bigint"), BLOCK - prefix))
-    flips = F.explode(F.transform(F.lit(touched), lambda m: m.bitwiseXOR(F.col("leading"))))
-    cells = rows.select((F.col("table") * F.lit(1 << prefix)).alias("first"), flips.alias("cell"), "id", "fp")
-    cells = cells.select((F.col("first") + F.col("cell")).alias("cell"), "id", "fp")
-    placed = cells.repartition(max(parts(spark), SEARCHED << prefix), "cell").sortWithinPartitions("cell")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    limit = _most_bits(similarity)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("simhash")
-
-        def one(cell: int, ids: list[np.ndarray], fps: list[np.ndarray]) -> pa.RecordBatch:
-            table, cell = divmod(cell, 1 << prefix)
-            own, data = np.concatenate(ids), np.concatenate(fps)
-            blocks = data[:, 4 * table : 4 * table + 4].copy().view(">u4")[:, 0].astype(np.uint64)
-            whole = np.ascontiguousarray(data).view("<u8")
-            a, b = _block_links(cell, blocks, whole, prefix, radius, limit, most)
-            return pa.RecordBatch.from_arrays([pa.array(own[a]), pa.array(own[b])], names=["a", "b"])
-
-        current, ids, fps = None, [], []
-        for batch in batches:
-            cell, own = batch.column("cell").to_numpy(), batch.column("id").to_numpy()
-            if not len(cell):
-                continue
-            data = utf8_views(batch.column("fp"))[0].reshape(len(cell), 4 * BLOCKS)
-            cuts = np.flatnonzero(np.diff(cell)) + 1
-            for c, i, f in zip(cell[np.concatenate([[0], cuts])], np.split(own, cuts), np.split(data, cuts)):
-                if c != current and ids:
-                    yield one(int(current), ids, fps)
-                    ids, fps = [], []
-                current = c
-                ids.append(i.copy())
-                fps.append(f.copy())
-        if ids:
-            yield one(int(current), ids, fps)
-
-    return placed.mapInArrow(meet, schema).distinct()
-
-
 def near_copies(docs: DataFrame, key: str = "doc_id", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, row_key, component): texts whose distinct shingles have about ``similarity`` or more share a component.
+    """(key, row_key, component): texts whose sets of distinct shingles have a Jaccard similarity of ``similarity`` or more
+    share a component, and so do those that such links reach.
 
-    Similarity is estimated from 384 bits, with a standard deviation of 0.05. Equal sets of shingles always share one;
-    texts without words are copies of each other, null texts are empty. Rows and nulls as in ``near_duplicates``.
+    Links are found and verified exactly (see ``jaccard``), up to collisions of 64-bit hashes. Equal sets of shingles share
+    one; texts without words are copies of each other, null texts are empty. Rows and nulls as in ``near_duplicates``.
     """
-    schema = T.StructType(
-        [docs.schema[key], T.StructField("row_key", T.LongType()), T.StructField("fp", T.BinaryType())]
-    )
-
-    def hash_all(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("simhash")
-        for batch in pieces(rows, "text"):
-            found = [_long_simhash(t, size) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            own = [batch.column(key), batch.column("row_key")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.binary())], names=schema.names)
-
-    marked = with_row_key(docs, key).mapInArrow(hash_all, schema).withColumn("id", F.xxhash64("fp"))
-    marked = written(marked, "long-fingerprints")
-    nodes = written(marked.select("id", "fp").dropDuplicates(["id"]), "nodes")
-    roots = written(components(similar_links(nodes, similarity)), "roots")
-    joined = marked.drop("fp").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    marked, roots = jaccard.similar_sets(docs, key, size, similarity)
+    joined = marked.join(roots.withColumnRenamed("node", "id"), "id", "left")
     return joined.select(key, "row_key", F.coalesce("root", "id").alias("component"))
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from eventdocs.llm import simhash
+from eventdocs.llm import jaccard, simhash
 from llm_help import SMALL, roots_by_brute_force
 
 
@@ -127,3 +127,39 @@ def test_near_copies_are_found_and_others_are_not(make_docs):
     assert not any(s for s, j in zip(same, similar) if j < 0.6)
     firsts = [rows[2 * i] for i in range(150)]
     assert len(set(firsts)) == 150
+
+
+def exact_groups(texts):
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    return roots_by_brute_force(
+        sets, lambda i: [j for j, s in enumerate(sets) if 5 * len(sets[i] & s) >= 4 * len(sets[i] | s)]
+    )
+
+
+def found_groups(docs):
+    rows = sorted((r.doc_id, r.component) for r in simhash.near_copies(docs).collect())
+    first = {}
+    return [first.setdefault(c, i) for i, (_, c) in enumerate(rows)]
+
+
+def test_near_copies_equal_exact_jaccard_on_whole_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = [r.text for r in sorted(docs.collect())]
+    assert found_groups(docs) == exact_groups(texts)
+
+
+def test_near_copies_around_the_threshold(make_docs, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(f"s{i}x{k}" for k in range(n)) for i in range(40) for n in (9, 8)]  # 5 shingles and 4 of them: 0.8
+    passage = [f"p{k}" for k in range(60)]
+    for i in range(60):
+        own = [f"o{i}x{k}" for k in range(rng.choice([4, 8, 20, 60]))]
+        words = own + passage
+        texts.append(" ".join(words))
+        texts.append(" ".join(changed(rng, words, rng.choice([0.01, 0.02, 0.04]))))
+    want = exact_groups(texts)
+    for frequent in (1000, 5):
+        monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+        assert found_groups(make_docs(texts)) == want
+    assert 40 < len(set(want)) < len(texts) - 40
