@@ -9,6 +9,7 @@ touches, and the cell's task spells out the variants that lie in it, sorts them
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -22,7 +23,7 @@ from eventdocs.llm import jaccard
 from eventdocs.llm.common import components, keep_only, parts, pieces, text_of, with_row_key, written
 
 BITS, RADIUS, SEED = 64, 4, 42
-#: Variants that one step of a cell's task holds at a time.
+#: Variants that a cell's task holds at a time.
 MOST_VARIANTS = 4_000_000
 _CHUNK = 1 << 16
 
@@ -62,6 +63,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", size: int = 4) -> DataFra
     return with_row_key(docs, key).mapInArrow(hash_all, schema)
 
 
+@lru_cache(maxsize=256)
 def _masks(bits: int, flips: int) -> np.ndarray:
     """All words of ``bits`` low bits with at most ``flips`` ones."""
     return np.array(
@@ -70,35 +72,37 @@ def _masks(bits: int, flips: int) -> np.ndarray:
 
 
 def _cell_links(cell: int, fps: np.ndarray, prefix: int, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (smallest, other) that join the distinct ``fps`` whose variants meet in the cell."""
-    half, low = radius // 2, BITS - prefix
-    shift = np.uint64(low)
-    bases = (fps & np.uint64((1 << low) - 1)) | np.uint64(cell << low)
-    flipped = np.bitwise_count((fps >> shift) ^ np.uint64(cell)).astype(int)
-    groups = [(np.flatnonzero(flipped == k), _masks(low, half - k)) for k in range(half + 1)]
-    total = sum(len(own) * len(masks) for own, masks in groups)
-    slice_bits = max(0, int(np.ceil(np.log2(max(1, total / most)))))
+    """Pairs (smallest, other) that join the distinct ``fps`` whose variants meet in the cell.
+
+    A cell with more than ``most`` variants is cut by its next bits, and so are its parts, until each has no more."""
+    half = radius // 2
     label = np.arange(len(fps))
-    for part in range(1 << slice_bits):
-        variants, owners = [], []
-        for own, masks in groups:
-            step = max(1, most // len(masks))
-            for at in range(0, len(own), step):
-                some = own[at : at + step]
-                v = (bases[some][:, None] ^ masks[None, :]).ravel()
-                o = np.repeat(some.astype(np.int32), len(masks))
-                if slice_bits:
-                    here = (v >> np.uint64(low - slice_bits)) & np.uint64((1 << slice_bits) - 1) == part
-                    v, o = v[here], o[here]
-                variants.append(v)
-                owners.append(o)
-        v, o = np.concatenate(variants), np.concatenate(owners)
+
+    def visit(bits: int, cell: int, own: np.ndarray, flipped: np.ndarray) -> None:
+        low = BITS - bits
+        groups = [(own[flipped == k], _masks(low, half - k)) for k in range(half + 1)]
+        total = sum(len(some) * len(masks) for some, masks in groups)
+        if total > most and low:
+            step = min(low, 8, max(1, int(np.ceil(np.log2(total / most)))))
+            upcoming = (fps[own] >> np.uint64(low - step)) & np.uint64((1 << step) - 1)
+            for part in range(1 << step):
+                now = flipped + np.bitwise_count(upcoming ^ np.uint64(part))
+                here = now <= half
+                if here.sum() > 1:
+                    visit(bits + step, cell << step | part, own[here], now[here])
+            return
+        lead, rest = np.uint64(cell << low), np.uint64((1 << low) - 1)
+        v = np.concatenate([(((fps[some] & rest) | lead)[:, None] ^ masks[None, :]).ravel() for some, masks in groups])
+        o = np.concatenate([np.repeat(some.astype(np.int32), len(masks)) for some, masks in groups])
         order = np.argsort(v)
         v, o = v[order], o[order]
         met = np.flatnonzero(v[1:] == v[:-1])
         a, b = o[met], o[met + 1]
         near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
         _join(label, a[near], b[near])
+
+    flipped = np.bitwise_count((fps >> np.uint64(BITS - prefix)) ^ np.uint64(cell)).astype(int)
+    visit(prefix, cell, np.flatnonzero(flipped <= half), flipped[flipped <= half])
     other = np.flatnonzero(label != np.arange(len(fps)))
     return fps[label[other]], fps[other]
 
@@ -107,7 +111,7 @@ def links(fps: DataFrame, radius: int = RADIUS, prefix: int | None = None, most:
     """(a, b): links between the distinct fingerprints of ``fps``. They connect exactly the pairs within ``radius`` bits.
 
     Within a cell, a group that meets is linked as a star, so a group of m gives m - 1 rows. A cell that has more
-    variants than ``most`` is worked off in slices of its next bits. ``prefix`` leading bits make the cells; by default
+    variants than ``most`` is worked off in parts of its next bits, none of which has more. ``prefix`` leading bits make the cells; by default
     it follows the logarithm of the number of fingerprints, so that a cell keeps its size.
     """
     spark = fps.sparkSession

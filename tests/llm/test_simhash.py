@@ -101,6 +101,19 @@ def test_chains_across_slices_and_rounds():
             assert label.tolist() == want
 
 
+def test_close_fingerprints_do_not_exceed_the_variants_of_a_step(monkeypatch):
+    rng = np.random.default_rng(9)
+    fps = np.unique(rng.integers(0, 1 << 24, 300).astype(np.uint64) | np.uint64(0xABCD << 48))
+    want = roots_by_brute_force(fps, lambda i: np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 4))
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(simhash.np, "argsort", lambda v: sizes.append(len(v)) or sort(v))
+    x, y = simhash._cell_links(0xAB, fps, 8, 4, 20_000)
+    assert max(sizes) <= 20_000
+    at, label = {int(f): i for i, f in enumerate(fps)}, np.arange(len(fps))
+    simhash._join(label, np.array([at[int(v)] for v in x], int), np.array([at[int(v)] for v in y], int))
+    assert label.tolist() == want
+
+
 def test_empty_table_and_null_keys(spark, make_docs):
     assert simhash.near_duplicates(make_docs([])).collect() == []
     rows = simhash.near_duplicates(make_docs(["x y", "x y", "q"], [None, 3, None])).collect()
