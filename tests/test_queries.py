@@ -1,8 +1,7 @@
 """All queries against DuckDB, and their plans."""
 
 import pytest
-from conftest import SMALL
-from oracle_check import differences, duck
+from oracle_check import SMALL, differences, duck
 
 import __spark_entry__ as entry_points
 from eventdocs.plans.oracle import ORACLE
