@@ -166,39 +166,6 @@ def near_duplicates(
     return marked.join(labels, "fp").select(key, "row_key", "fp", "component", "component_id")
 
 
-#: An estimate of the similarity, for comparison; ``near_copies`` decides by the exact one. Blocks of 32 bits.
-BLOCKS = 12
-_SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1 for i in range(BLOCKS // 2)], np.uint64)
-
-
-def _long_simhash(text: bytes, size: int) -> bytes:
-    """SimHash of BLOCKS * 32 bits over the distinct shingles; zeros without words."""
-    words = text.lower().split()
-    if not words:
-        return bytes(4 * BLOCKS)
-    joined = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    spans = zip(starts, ends[size - 1 :]) if len(words) >= size else [(0, len(joined) + 1)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array(list({digest(joined[a : b - 1], SEED) for a, b in spans}), np.uint64)
-    ones = np.zeros(32 * BLOCKS, np.int64)
-    for at in range(0, len(hashes), _CHUNK // 8):
-        some = hashes[at : at + _CHUNK // 8, None] * _SEEDS
-        some = (some ^ (some >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        some ^= some >> np.uint64(32)
-        bits = np.unpackbits(some.astype("<u8").view(np.uint8), axis=1, bitorder="little")
-        ones += bits.sum(0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes()
-
-
-def _most_bits(similarity: float) -> int:
-    """Differing bits of texts with this Jaccard similarity: the mean and one and a half standard deviations."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 32 * BLOCKS
-    return int(bits * share + 1.5 * (bits * share * (1 - share)) ** 0.5)
-
-
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Unites the groups of both ends of each pair. ``label`` holds the smallest index of every group, before and after."""
     while True:

@@ -19,3 +19,12 @@ def roots_by_brute_force(values, linked):
                     label[j] = i
                     todo.append(j)
     return label.tolist()
+
+
+def exact_groups(texts):
+    """Smallest index of each text's group, linked by a Jaccard similarity of 0.8 over five-word shingles."""
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    return roots_by_brute_force(
+        sets, lambda i: [j for j, s in enumerate(sets) if 5 * len(sets[i] & s) >= 4 * len(sets[i] | s)]
+    )

@@ -1,12 +1,11 @@
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from eventdocs.llm import decontaminate, lines, simhash
-from llm_help import SMALL, roots_by_brute_force
+from eventdocs.llm import decontaminate, lines
+from llm_help import SMALL, exact_groups
 
 
 @pytest.fixture(scope="module")
@@ -47,9 +46,7 @@ def test_line_dedup_equals_brute_force(stages):
 
 def test_near_duplicates_equal_brute_force(stages):
     rows = sorted(stages[2], key=lambda r: r.doc_id)
-    fps = np.stack([np.frombuffer(simhash._long_simhash(r.text.encode(), 5), "<u8") for r in rows])
-    limit = simhash._most_bits(0.8)
-    roots = roots_by_brute_force(fps, lambda i: np.flatnonzero(np.bitwise_count(fps ^ fps[i]).sum(1) <= limit))
+    roots = exact_groups([r.text for r in rows])
     want = [rows[i] for i in sorted(set(roots))]
     assert sorted(stages[3]) == sorted(want) and len(want) < len(rows)
 

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from eventdocs.llm import jaccard, simhash
-from llm_help import SMALL, roots_by_brute_force
+from llm_help import SMALL, exact_groups, roots_by_brute_force
 
 
 def plain_simhash(text, size):
@@ -142,14 +142,6 @@ def test_near_copies_are_found_and_others_are_not(make_docs):
     assert len(set(firsts)) == 150
 
 
-def exact_groups(texts):
-    words = [(t or "").lower().split() for t in texts]
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
-    return roots_by_brute_force(
-        sets, lambda i: [j for j, s in enumerate(sets) if 5 * len(sets[i] & s) >= 4 * len(sets[i] | s)]
-    )
-
-
 def found_groups(docs):
     rows = sorted((r.doc_id, r.component) for r in simhash.near_copies(docs).collect())
     first = {}
