@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventdocs.llm import decontaminate, fm_index, labelled, lines, packing, quality, simhash, sketches, suffix_arrays, toxicity, urls
+from eventdocs.llm import (
+    decontaminate,
+    fm_index,
+    labelled,
+    lines,
+    packing,
+    quality,
+    simhash,
+    sketches,
+    suffix_arrays,
+    toxicity,
+    urls,
+    whitening,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -101,6 +114,12 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors on the first 32 principal components, scaled to unit variance."""
+    vectors = _table(spark, folder, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors, count=32))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -112,6 +131,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE = {
