@@ -1,7 +1,8 @@
 """Row numbers and running totals that hold when one group owns a large share of all rows.
 
 A plain ``row_number`` over a group sorts the whole group in one task. Here a group is cut into slices of the
-order key first, slices are numbered in parallel, and each slice starts where the slices before it end.
+order key first, slices are numbered in parallel, and each slice starts where the slices before it end. Where keys
+repeat, heavy slices are cut again by a tie.
 """
 
 from __future__ import annotations
@@ -84,6 +85,84 @@ def dense_ordinal(
     )
 
 
+def doubled_keys(df: DataFrame, group: Sequence[str], key: str) -> DataFrame:
+    """Keys that stand on more than one row of their group, null included, and how often: (*group, key, times)."""
+    return df.groupBy(*group, key).agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+
+
+def tied_ordinal(
+    df: DataFrame,
+    group: Sequence[str],
+    key: str,
+    out: str,
+    tie: str | None = None,
+    most: int = 1 << SLICE_BITS,
+    bits: int = SLICE_BITS,
+    tie_bits: int = SLICE_BITS,
+) -> DataFrame:
+    """Add ``out`` = 0, 1, 2, ... in the order of (key, tie) within each group, however often a key occurs.
+
+    Rows of one key follow the BIGINT ``tie``, by default a hash of their other columns; rows that share both follow their
+    other columns, from left to right, so the order is always defined. A null key or tie comes first; a null group fails the
+    job. A slice of neighbouring keys is numbered by one task, as in ``dense_ordinal``. One with more than ``most`` rows is cut
+    again, by key and by slices of the tie, and the counts of these cells are carried on; rows that are equal in every
+    column are numbered as one. So no task sorts more than the rows that share a key and a slice of the tie. Columns
+    have to be orderable. One narrow job runs while the plan is built: it finds the heavy slices.
+    """
+    group = list(group)
+    use_checkpoints(df.sparkSession)
+    others = [c for c in df.columns if c not in (*group, key, tie)]
+    by_tie = F.col(tie).cast("bigint") if tie else F.xxhash64(*others, key)
+    placed = df.withColumns({"_slice": slice_of(key, bits), "_tie": by_tie})
+    counts = placed.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+    heavy = counts.where(F.col("_rows") > most).select(*group, "_slice").checkpoint()
+    light, cut = placed, not heavy.isEmpty()
+    if cut:
+        light = placed.join(heavy, [*group, "_slice"], "left_anti")
+    in_slice = Window.partitionBy(*group, "_slice").orderBy(key, "_tie", *others)
+    ranked = light.withColumn("_rank", F.row_number().over(in_slice) - 1)
+    if cut:
+        crowded = placed.join(heavy, [*group, "_slice"], "left_semi")
+        ranked = ranked.unionByName(_ranked_by_cells(crowded, group, key, others, tie_bits))
+    return (
+        ranked.join(slice_starts(df, group, key, bits), [*group, "_slice"], "left")
+        .withColumn(out, _or_unplaced(F.col("_start") + F.col("_rank"), group))
+        .select(*df.columns, out)
+    )
+
+
+def _ranked_by_cells(rows: DataFrame, group: list[str], key: str, others: list[str], tie_bits: int) -> DataFrame:
+    """``_rank`` of every row within its (group, slice), by cells of one key and neighbouring ties."""
+    columns = rows.columns
+    equal = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    # A null key is told from the lowest one, so that cells can be joined.
+    equal = equal.withColumns(
+        {"_known": F.col(key).isNotNull(), "_key": F.coalesce(F.col(key), F.lit(_LOWEST)), "_cell": slice_of("_tie", tie_bits)}
+    )
+    owner = [*group, "_slice"]
+    cell = [*owner, "_known", "_key", "_cell"]
+    cells = equal.groupBy(*cell).agg(F.sum("_n").alias("_rows"))
+    cells = cells.withColumn("_block", F.shiftright("_cell", BLOCK_BITS))
+    block = [*owner, "_known", "_key", "_block"]
+    cells = cells.withColumn("_in_block", _before("_rows", block, ["_cell"]))
+    blocks = cells.groupBy(*block).agg(F.sum("_rows").alias("_block_rows"))
+    blocks = blocks.select(*block, _before("_block_rows", owner, ["_known", "_key", "_block"]).alias("_block_start"))
+    starts = cells.join(blocks, block).select(*cell, (F.col("_block_start") + F.col("_in_block")).alias("_cell_start"))
+    first = F.col("_cell_start") + _before("_n", cell, ["_tie", *others])
+    ranked = equal.join(starts, cell).withColumn("_rank", first).select(*columns, "_n", "_rank")
+    # Copies of a row are dealt out in parts before they are written out.
+    part, size = F.col("_copies"), 1 << SLICE_BITS
+    copies = ranked.where("_n > 1").withColumn(
+        "_copies", F.explode(F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("_n") - 1, F.lit(size))))
+    )
+    copies = copies.repartition(*owner, "_rank", "_copies")
+    copies = copies.withColumn(
+        "_copy", F.explode(F.sequence(part * size, F.least(F.col("_n"), (part + 1) * size) - 1))
+    ).withColumn("_rank", F.col("_rank") + F.col("_copy"))
+    kept = [*columns, "_rank"]
+    return ranked.where("_n = 1").select(*kept).unionByName(copies.select(*kept))
+
+
 def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the earlier rows of the group, for order keys of any type.
 

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from eventdocs.operators.constants import constants_rejects, with_constants
-from eventdocs.operators.ordinal import dense_ordinal, running_total, slice_starts
+from eventdocs.operators.ordinal import dense_ordinal, doubled_keys, running_total, slice_starts, tied_ordinal
 
 KEYS = st.one_of(st.integers(-20, 60), st.integers(-(2**63), 2**63 - 1))
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -43,6 +43,46 @@ def test_row_without_place_fails(spark, row):
         dense_ordinal(df, ["g"], "k", "o").collect()
 
 
+TIED = st.tuples(st.integers(0, 1), st.one_of(st.none(), st.integers(-2, 3)), st.integers(-9, 9), st.sampled_from("ab"))
+
+
+def nulls_first(value):
+    return (value is not None, value or 0)
+
+
+@SLOW
+@given(st.lists(TIED, min_size=1, max_size=60), st.sampled_from([1, 5, 1000]))
+def test_tied_ordinal_numbers_repeated_keys_and_rows(spark, rows, most):
+    df = spark.createDataFrame(rows, "g BIGINT, k BIGINT, t BIGINT, x STRING")
+    found = tied_ordinal(df, ["g"], "k", "o", tie="t", most=most, bits=1, tie_bits=2).collect()
+    got = [tuple(r)[:4] for r in sorted(found, key=lambda r: (r["g"], r["o"]))]
+    assert got == sorted(rows, key=lambda r: (r[0], nulls_first(r[1]), r[2], r[3]))
+    assert all([r["o"] for r in sorted(found, key=lambda r: r["o"]) if r["g"] == g] == list(range(sum(x[0] == g for x in rows))) for g in (0, 1))
+
+
+def test_the_order_does_not_follow_the_size_of_a_slice(spark):
+    df = spark.range(0, 3000).select((F.col("id") % 2).alias("g"), (F.col("id") % 7).alias("k"), "id")
+    one, cut = (
+        {r["id"]: r["o"] for r in tied_ordinal(df, ["g"], "k", "o", most=most).collect()} for most in (1 << 16, 10)
+    )
+    assert one == cut
+
+
+def test_a_third_of_the_rows_under_one_key_is_cut_to_slices(spark):
+    df = spark.range(0, 30_000).select(F.lit(1).alias("g"), F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("k"), "id")
+    numbered = tied_ordinal(df, ["g"], "k", "o", tie="id", most=1000, bits=8, tie_bits=9)
+    assert numbered.select("o").distinct().count() == 30_000 and numbered.agg(F.max("o")).first()[0] == 29_999
+    hot = numbered.where("k = 5 AND id % 3 = 0").orderBy("o").collect()
+    assert [r["id"] for r in hot] == list(range(0, 30_000, 3)) and hot[-1]["o"] - hot[0]["o"] in (9_999, 10_000)
+    windows = [line for line in numbered._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in line]
+    assert any("_cell" in line and "_tie" in line for line in windows)
+
+
+def test_doubled_keys_are_reported(spark):
+    df = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (2, None), (2, None)], "g BIGINT, k BIGINT")
+    assert {tuple(r) for r in doubled_keys(df, ["g"], "k").collect()} == {(1, 1, 2), (2, None, 2)}
+
+
 def test_running_total_over_text_keys(spark):
     rows = [(f"job{i % 3}", f"f{i:04}" if i % 2 else f"f{i}", i % 7) for i in range(400)]
     df = spark.createDataFrame(rows, "job STRING, name STRING, n BIGINT")
