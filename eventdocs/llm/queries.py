@@ -11,6 +11,7 @@ from eventdocs.llm import (
     labelled,
     lines,
     packing,
+    prefix_trie,
     quality,
     simhash,
     sketches,
@@ -114,6 +115,12 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, after each took over its first turns from another one."""
+    turns, convs = prefix_trie.rebuilt(prefix_trie.ordered_turns(_table(spark, folder, "conversations")), every=20, heads=4)
+    return prefix_trie.prefix_trie(turns, convs)
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors on the first 32 principal components, scaled to unit variance."""
     vectors = _table(spark, folder, "embeddings")
@@ -131,6 +138,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_whitening": op13_whitening,
 }
 
@@ -172,5 +180,47 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    # The checksum goes bit by bit: a number of 0 and more is a byte to take in, -1 is a shift. Rows that share a
+    # conversation and a turn are not in the tables.
+    "op12_prefix_trie": r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), listed AS (
+  SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY pos) AS turns FROM own GROUP BY conv_id
+), steps AS (
+  SELECT conv_id, turns, list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS s FROM listed
+), heads AS (
+  SELECT conv_id, turns, xor(list_reduce(s, lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x)
+    WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END), 4294967295) % 4 AS h FROM steps
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns[1:h], []), a.turns[h + 1:]) AS turns
+  FROM heads a LEFT JOIN listed b ON b.conv_id = a.conv_id - a.conv_id % 20
+), members AS (
+  SELECT conv_id, len(turns) AS n, d, turns[1:d] AS node, turns[1:d - 1] AS parent, turns[d].t AS last
+  FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d AS depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * coalesce(len(regexp_extract_all(any_value(last), '[^\x20\x09-\x0D]+')), 0) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM members GROUP BY d, node
+), children AS (
+  SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), counted AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (depth, node)
+), paths AS (
+  SELECT conv_id, depth, node, n_children, saved, unnest(range(depth + 1)) AS above FROM counted
+), below AS (
+  SELECT above AS depth, node[1:above] AS node, count(*) FILTER (n_children = 0) AS n_leaves,
+    CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM paths GROUP BY ALL
+)
+SELECT a.conv_id, a.depth, b.conv_id AS parent_conv_id, a.n_convs, a.n_children, below.n_leaves, below.saved_tokens,
+  a.ends_sha256
+FROM counted a JOIN below USING (depth, node)
+LEFT JOIN counted b ON a.depth > 0 AND b.depth = a.depth - 1 AND b.node = a.parent
 """,
 }
