@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +115,50 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20)
             yield batch.slice(start)
 
 
+#: Tasks that add up arrays of other tasks.
+SUMS = 8
+#: An array of a task: which of the SUMS tasks adds it up, and in which order.
+ARRAYS = "slot int, task long, values binary"
+
+
+def array_row(task: int, values: np.ndarray) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary())
+    row = zip(([task % SUMS], [task], [values.tobytes()]), kinds)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in row], names=["slot", "task", "values"])
+
+
+def added_up(arrays: DataFrame, kind: type = np.float64) -> np.ndarray | None:
+    """Sum of arrays of one size (see ARRAYS); None without any. They are added up in the order of ``task``, so that the
+    result is the same each time, and the driver gets at most SUMS of them."""
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slot, value in zip(batch.column("slot").to_pylist(), batch.column("values").to_pylist()):
+                own = np.frombuffer(value, kind)
+                totals[slot] = totals[slot] + own if slot in totals else own
+        for slot, total in sorted(totals.items()):
+            yield array_row(slot, total)
+
+    dealt = arrays.repartition(SUMS, "slot").sortWithinPartitions("slot", "task")
+    found = sorted((r["slot"], bytes(r["values"])) for r in dealt.mapInArrow(together, ARRAYS).collect())
+    return sum((np.frombuffer(v, kind) for _, v in found), np.zeros((), kind)) if found else None
+
+
+def summed(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray], kind: type = np.float64) -> np.ndarray | None:
+    """Sum of ``partial`` over all batches of all tasks; None without rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            own = partial(batch)
+            total = own if total is None else total + own
+        if total is not None:
+            yield array_row(TaskContext.get().partitionId(), total)
+
+    return added_up(df.mapInArrow(each, ARRAYS), kind)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges`` of BIGINT nodes: (node, root), root the smallest node of each.
 

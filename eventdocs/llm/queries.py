@@ -10,6 +10,7 @@ from eventdocs.llm import (
     fm_index,
     labelled,
     lines,
+    lm_scoring,
     packing,
     prefix_trie,
     quality,
@@ -115,6 +116,12 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of every whole text under the attention model and under a unigram model."""
+    docs = _table(spark, folder, "documents")
+    return lm_scoring.scores(docs, lm_scoring.fit(docs, rate=16))
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """The prefix trie of all conversations, after each took over its first turns from another one."""
     turns, convs = prefix_trie.rebuilt(prefix_trie.ordered_turns(_table(spark, folder, "conversations")), every=20, heads=4)
@@ -138,6 +145,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_simhash": op10_simhash,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_whitening": op13_whitening,
 }

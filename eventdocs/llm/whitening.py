@@ -14,11 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from eventdocs.llm.common import summed
+
 #: An entry c becomes floor(SCALE * c) + SHIFT.
 SCALE, SHIFT = 64, 1_000_000
 #: Scaled entries beyond this have no exact sums in 64 bits; such a vector is left out like one that is not finite.
@@ -28,8 +29,6 @@ COMPONENTS = 32
 GUARD, INNER, ROUNDS = 8, 5, 60
 #: A residual counts as zero below so many units of rounding of the largest eigenvalue, times the root of the dimensions.
 TOLERANCE = 16
-#: Tasks that add up what the tasks over the rows give.
-SUMS = 8
 _EPS = float(np.finfo(float).eps)
 
 
@@ -45,40 +44,6 @@ def _entries(batch: pa.RecordBatch, column: str, dims: int) -> tuple[np.ndarray,
     return rows[usable], np.floor(values[usable]).astype(np.int64) + SHIFT
 
 
-def _summed(df: DataFrame, partial: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
-    """Sum of ``partial`` over all batches; None without rows. Tasks are added up in their order, so that the result is
-    the same each time; the driver gets SUMS arrays."""
-    schema = "slot int, task int, values binary"
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            own = partial(batch)
-            total = own if total is None else total + own
-        if total is not None:
-            task = TaskContext.get().partitionId()
-            row = {"slot": [task % SUMS], "task": [task], "values": [total.tobytes()]}
-            yield pa.RecordBatch.from_pydict(row, pa.schema([("slot", pa.int32()), ("task", pa.int32()), ("values", pa.binary())]))
-
-    kind = np.dtype(np.int64 if getattr(partial, "exact", False) else np.float64)
-
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for slot, value in zip(batch.column("slot").to_pylist(), batch.column("values").to_pylist()):
-                own = np.frombuffer(value, kind)
-                totals[slot] = totals[slot] + own if slot in totals else own
-        rows = sorted(totals.items())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([s for s, _ in rows], pa.int32()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
-            names=["slot", "values"],
-        )
-
-    dealt = df.mapInArrow(each, schema).repartition(SUMS, "slot").sortWithinPartitions("slot", "task")
-    found = sorted(dealt.mapInArrow(together, "slot int, values binary").collect())
-    return sum((np.frombuffer(r["values"], kind) for r in found), np.zeros((), kind)) if found else None
-
-
 @dataclass(frozen=True)
 class Moments:
     """Number of vectors, and the sums of their integers by dimension, as whole numbers."""
@@ -97,8 +62,7 @@ def moments(vectors: DataFrame, column: str, dims: int) -> Moments:
         _, x = _entries(batch, column, dims)
         return np.concatenate([[len(x)], (x >> 20).sum(0), (x & 0xFFFFF).sum(0)]).astype(np.int64)
 
-    partial.exact = True
-    found = _summed(vectors.select(column), partial)
+    found = summed(vectors.select(column), partial, np.int64)
     if found is None:
         return Moments(0, (0,) * dims)
     high, low = found[1 : 1 + dims].tolist(), found[1 + dims :].tolist()
@@ -242,9 +206,9 @@ def fit(vectors: DataFrame, column: str = "embedding", count: int = COMPONENTS)
             c = centred(batch)
             return (c.T @ (c @ block)).ravel()
 
-        return _summed(rows, partial).reshape(block.shape) / n
+        return summed(rows, partial).reshape(block.shape) / n
 
-    trace = float(_summed(rows, lambda batch: np.array([(centred(batch) ** 2).sum()]))[0]) / n
+    trace = float(summed(rows, lambda batch: np.array([(centred(batch) ** 2).sum()]))[0]) / n
     if not trace:
         return Whitening(column, first, np.zeros(0), np.zeros((dims, 0)), 0.0)
     values, found = jacobi_davidson(product, dims, count)
@@ -286,7 +250,7 @@ def whiten(vectors: DataFrame, fitted: Whitening, key: str = "vec_id") -> DataFr
         z = projected(_entries(batch, column, dims)[1])
         return np.concatenate([z.sum(0), (z.T @ z).ravel()])
 
-    total = _summed(vectors.select(column), partial) / n
+    total = summed(vectors.select(column), partial) / n
     mean, square = total[:count], total[count:].reshape(count, count)
     error = float(np.abs(square - np.outer(mean, mean) - np.eye(count)).max())
 
