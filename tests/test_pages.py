@@ -94,3 +94,36 @@ def test_large_files_are_checked_by_slices(spark):
     listed = spark.createDataFrame([(1, "a", 0, "ok"), (1, "b", 0, "ok")], FILE)
     out = pages.page_combine(good.unionByName(bad), listed)
     assert out.count() == 100_000 and out.where("out_page <> page_no OR file_name <> 'a'").count() == 0
+
+
+def test_a_file_comes_wherever_a_list_names_it(spark):
+    rows = spark.createDataFrame([(1, f, n) for f, k in (("a", 2), ("b", 1), ("lost", 3)) for n in range(1, k + 1)] + [(2, None, 1)],
+                                 "job_id BIGINT, file_name STRING, page_no BIGINT")
+    places = [(1, "b", 1), (1, "a", 2), (1, "b", 3), (1, "a", 5), (1, "a", 5), (1, "none", 4), (3, "a", 1)]
+    listed = spark.createDataFrame([(*p, "ok") for p in places], FILE)
+    got = pages.page_combine(rows, listed, order=pages.BY_LIST, by=pages.BY_FILE).orderBy("out_page").collect()
+    assert [(r["file_name"], r["page_no"]) for r in got] == [("b", 1), ("a", 1), ("a", 2), ("b", 1), *[("a", 1), ("a", 2)] * 2]
+    assert [r["out_page"] for r in got] == list(range(1, 9))
+    found = {tuple(r) for r in pages.page_combine_rejects(listed, rows, by=pages.BY_FILE).collect()}
+    assert found == {
+        (1, "none", 4, "ok", "skipped none: no pages"), (3, "a", 1, "ok", "skipped a: no pages"),
+        (1, "lost", None, None, "skipped lost: not in the list"), (2, None, None, None, "skipped a file without a name: not in the list"),
+    }
+
+
+def test_one_of_equal_uploads_comes_as_often_as_it_is_listed(spark):
+    listed = spark.createDataFrame([(1, "a", 0, "ok")] * 3, FILE)
+    got = combined(pages.page_combine(page_rows(spark, {(1, "a", 0): 2, (1, "b", 0): 1}), listed))
+    assert [row[1:] for row in got] == [(i + 1, "a", 0, i % 2 + 1) for i in range(6)]
+    messages = {r["message"] for r in pages.page_combine_rejects(listed, page_rows(spark, {(1, "a", 0): 2, (1, "b", 9): 1})).collect()}
+    assert messages == {"skipped b: not in the list"}
+
+
+def test_doubled_overlay_pages_double_no_base_page(spark):
+    base = spark.createDataFrame([("a", 1, 210.0, 297.0), ("a", 1, 210.0, 297.0), ("a", 2, 210.0, 297.0), ("b", 1, 210.0, 297.0)], PAGE)
+    labels = [("a", 1, "x"), ("a", 1, "w"), ("a", 1, None), ("a", 5, "y"), ("a", 5, "y"), ("b", None, "n"), (None, 1, "n")]
+    over = spark.createDataFrame([(d, n, 210.0, 297.0, label) for d, n, label in labels], PAGE + ", label STRING")
+    rows = [(r["doc_id"], r["page_no"], r["label"]) for r in pages.page_overlay(base, over).collect()]
+    assert sorted(rows, key=str) == [("a", 1, "w"), ("a", 1, "w"), ("a", 2, None), ("b", 1, None)]
+    found = {tuple(r) for r in pages.page_overlay_rejects(base, over).collect()}
+    assert found == {("a", 1, "doubled", 2), ("a", 5, "beyond the base", 2), ("b", None, "no number", 1), (None, 1, "no number", 1)}
