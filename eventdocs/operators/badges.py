@@ -10,7 +10,7 @@ from eventdocs.functions.text import fit_font_size, is_marked
 from eventdocs.operators.constants import with_constants
 from eventdocs.operators.elements import expand_elements
 from eventdocs.operators.numbering import expand_range
-from eventdocs.operators.ordinal import dense_ordinal
+from eventdocs.operators.ordinal import tied_ordinal
 
 _EVENT = "event_id congress event_date committee committee_sub place label_affiliation label_name strip_color".split()
 _BADGE = ["event_id", "entry_no", "name", "affiliation", "fee_dinner", "fee_workshop"]
@@ -46,8 +46,9 @@ def _laid_out(numbered: DataFrame) -> DataFrame:
 
 
 def badge_layout(roster: DataFrame) -> DataFrame:
-    """One badge per attendee, numbered in roster order within the event."""
-    return _laid_out(dense_ordinal(roster.select(*_BADGE), ["event_id"], "entry_no", "ord"))
+    """One badge per attendee, numbered in roster order within the event. Attendees of one entry number follow their other
+    columns' hash; ``ordinal.doubled_keys`` reports such numbers."""
+    return _laid_out(tied_ordinal(roster.select(*_BADGE), ["event_id"], "entry_no", "ord"))
 
 
 def badge_sheets(roster: DataFrame, events: DataFrame | None = None) -> DataFrame:

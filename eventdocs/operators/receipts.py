@@ -12,7 +12,7 @@ from eventdocs.functions.geometry import stamp_height_mm
 from eventdocs.functions.text import amount_text, proviso_text, recipient_text
 from eventdocs.operators.constants import with_constants
 from eventdocs.operators.elements import expand_elements
-from eventdocs.operators.ordinal import dense_ordinal
+from eventdocs.operators.ordinal import tied_ordinal
 from eventdocs.schemas import FEE_COLUMNS
 
 _EVENT = "event_id title congress committee_sub president receipt_date image_width image_height".split()
@@ -62,7 +62,7 @@ def receipt_pages(roster: DataFrame) -> DataFrame:
     """Every attendee has a page, also one without any receipt on it; pages follow roster order."""
     paid = [F.coalesce((F.col(fee) != 0).cast("bigint"), F.lit(0)) for fee in FEE_COLUMNS]
     attendees = roster.select("event_id", "entry_no", "name", (paid[0] + paid[1] + paid[2]).alias("receipts"))
-    numbered = dense_ordinal(attendees, ["event_id"], "entry_no", "_ordinal")
+    numbered = tied_ordinal(attendees, ["event_id"], "entry_no", "_ordinal")
     return numbered.select("event_id", "entry_no", (F.col("_ordinal") + 1).alias("page_no"), "name", "receipts")
 
 
