@@ -110,6 +110,36 @@ SELECT DISTINCT lang AS job_id, source || '.pdf' AS file_name,
 FROM {documents}
 """
 
+# Lists that name some files twice, leave one out, and name one that has no pages.
+LISTS_SQL = """
+SELECT job_id, file_name, upload_seq, 'ok' AS status
+FROM (SELECT DISTINCT lang AS job_id, source || '.pdf' AS file_name, CAST(substr(source, 4) AS BIGINT) AS upload_seq FROM {documents})
+WHERE file_name <> 'src2.pdf'
+UNION ALL
+SELECT DISTINCT lang, source || '.pdf', 1000 + CAST(substr(source, 4) AS BIGINT), 'ok' FROM {documents}
+WHERE source IN ('src1', 'src4')
+UNION ALL
+SELECT DISTINCT lang, 'ghost.pdf', CAST(7 AS BIGINT), 'ok' FROM {documents}
+"""
+
+# Sign-ups in which a third of an event's rows share one entry number; ``place`` tells them apart, though not all.
+SIGN_UPS_SQL = """
+SELECT l_suppkey % 7 AS event_id, CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_orderkey END AS entry_no,
+  l_orderkey * 8 + l_linenumber AS place, l_suppkey AS desk
+FROM {lineitem}
+"""
+
+# Lines of roster files: some lack a cell, and the fourth of each event opens a quote and never closes it.
+DAMAGED_LINES_SQL = """
+SELECT event_id, entry_no, CASE WHEN row_number() OVER (PARTITION BY event_id ORDER BY entry_no) = 4 THEN '"' ELSE '' END
+  || name || ',' || coalesce(affiliation, '') || ',' || member_type || ',' || CAST(fee_attend AS STRING) || ','
+  || coalesce(CAST(fee_dinner AS STRING), '') || ',' || CAST(fee_workshop AS STRING)
+  || CASE WHEN entry_no % 23 = 5 THEN '' ELSE ',' || CAST(fee_attend + coalesce(fee_dinner, 0) + fee_workshop AS STRING) END
+  AS line
+FROM {roster}
+"""
+ROSTER_HEADER = "氏名,所属,会員属性,参加費,懇親会参加費,研修会参加費,合計"
+
 
 # Schemas of the given tables; a schema that is stated need not be read from the files first.
 TABLES = {
@@ -192,6 +222,30 @@ def file_pages(spark: SparkSession, folder: str) -> DataFrame:
     return numbered.withColumn("page_no", page).drop("_ordinal")
 
 
+def page_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return _derived(spark, folder, LISTS_SQL, "documents")
+
+
+def named_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document is a page of its source's file, numbered without gaps."""
+    documents = given(spark, folder, "documents")["documents"]
+    documents = documents.select(F.col("lang").alias("job_id"), F.concat("source", F.lit(".pdf")).alias("file_name"), "doc_id")
+    numbered = dense_ordinal(documents, ["job_id", "file_name"], "doc_id", "_ordinal")
+    return numbered.withColumn("page_no", F.col("_ordinal") + 1).drop("_ordinal")
+
+
+def sign_ups(spark: SparkSession, folder: str) -> DataFrame:
+    return _derived(spark, folder, SIGN_UPS_SQL, "lineitem")
+
+
+def damaged_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(event_id, entry_no, line), a header with entry number null in each event."""
+    rows = roster(spark, folder)
+    lines = spark.sql(DAMAGED_LINES_SQL, roster=rows)
+    header = rows.select("event_id").distinct().select("event_id", F.lit(None).cast("bigint").alias("entry_no"), F.lit(ROSTER_HEADER).alias("line"))
+    return lines.unionByName(header)
+
+
 def base_pages(spark: SparkSession, folder: str) -> DataFrame:
     """All documents of a language are the pages of one manuscript; page sizes vary."""
     documents = given(spark, folder, "documents")["documents"].select(

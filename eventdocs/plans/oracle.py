@@ -19,6 +19,8 @@ _SESSIONS = _cte("sessions", fixtures.SESSIONS_SQL)
 _MANUSCRIPTS = _cte("manuscripts", fixtures.MANUSCRIPTS_SQL)
 _REQUESTS = _cte("requests", fixtures.PAGE_REQUESTS_SQL)
 _FILES = _cte("files", fixtures.FILES_SQL)
+_LISTS = _cte("lists", fixtures.LISTS_SQL)
+_SIGN_UPS = _cte("sign_ups", fixtures.SIGN_UPS_SQL)
 
 _NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY entry_no) - 1 AS ord FROM roster)"
 
@@ -407,13 +409,13 @@ WHERE ordinal < counted AND title_en <> '' AND volume IS NULL
     "feed_file_entries": f"""
 WITH {_ARTICLES}, {_FEED_NUMBERED}
 SELECT feed_id, ordinal, number, '10.0/' || doc_id AS doi FROM numbered
-WHERE ordinal < counted AND feed_id % 5 <> 4 AND feed_id % 7 <> 3
+WHERE ordinal < counted AND feed_id % 5 <> 4 AND (feed_id % 7 <> 3 OR ordinal < held - 1)
 """,
     "feed_file_rejects": f"""
 WITH {_ARTICLES}, {_FEED_NUMBERED}
-SELECT feed_id, CASE WHEN feed_id % 5 = 4 THEN 'no count of results' ELSE 'not readable as XML' END AS reason,
-  count(*) AS entries
-FROM numbered WHERE feed_id % 5 = 4 OR feed_id % 7 = 3 GROUP BY feed_id
+SELECT DISTINCT feed_id, CASE WHEN feed_id % 5 = 4 THEN 'no count of results' ELSE 'breaks off' END AS reason,
+  CASE WHEN feed_id % 5 = 4 THEN held WHEN held - 1 < counted THEN 1 ELSE 0 END AS entries
+FROM numbered WHERE feed_id % 5 = 4 OR feed_id % 7 = 3
 """,
     "roster_csv": f"""
 WITH {_ROSTER_CELLS}
@@ -421,7 +423,8 @@ SELECT event_id, position, name, affiliation, member_type, fee_attend, fee_dinne
 """,
     "roster_rejects": f"""
 WITH {_ROSTER_CELLS}
-SELECT event_id, name, 'fee_attend' AS "column", '免除' AS text FROM numbered WHERE entry_no % 31 = 0
+SELECT event_id, name, 'fee_attend' AS "column", '免除' AS text, 'not an amount' AS reason FROM numbered
+WHERE entry_no % 31 = 0
 """,
     "roster_fee_labels": f"""
 WITH {_ROSTER_CELLS}
@@ -440,13 +443,77 @@ ORACLE["badge_files"] = ORACLE["badge_layout"]
 
 def _list_lines(items: str) -> str:
     return f"""
-SELECT lang, part, row_number() OVER (PARTITION BY lang, part ORDER BY item_index, k) - 1 AS line_no, value
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY item_index, k) - 1 AS line_no, value
 FROM (
-  SELECT lang, item_index, item_index // 4096 AS part, unnest(string_split(value, chr(10))) AS value,
+  SELECT lang, item_index, unnest(string_split(value, chr(10))) AS value,
     generate_subscripts(string_split(value, chr(10)), 1) AS k FROM ({items}))
 """
 
 
 ORACLE["citation_list_files"] = _list_lines(ORACLE["citation_html_en"])
 ORACLE["citation_list_files_ja"] = _list_lines(ORACLE["citation_html_ja"])
+ORACLE["citation_list_replaced"] = _list_lines(
+    f"SELECT * FROM ({ORACLE['citation_html_en']}) WHERE lang NOT IN ('en', 'es') OR item_index % 5 = 0"
+)
 ORACLE["contents_files"] = f"SELECT * EXCLUDE (kind) FROM ({ORACLE['contents_items']})"
+ORACLE["contents_page_files"] = ORACLE["contents_items"]
+ORACLE["badge_files_replaced"] = ORACLE["badge_layout"]
+ORACLE["receipt_files_replaced"] = f"""
+SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN recipient || ' *' ELSE recipient END AS recipient)
+FROM ({ORACLE["receipt_files"]})
+"""
+ORACLE["page_overlay_doubled"] = ORACLE["page_overlay"]
+ORACLE["page_overlay_rejects"] = """
+WITH held AS (SELECT lang AS manuscript, count(*) AS n FROM documents GROUP BY lang), numbers AS (
+  SELECT manuscript, n, unnest(range(1, CASE manuscript WHEN 'es' THEN n + 6 ELSE n // 2 + 1 END)) AS page_no FROM held)
+SELECT manuscript, page_no, CASE WHEN page_no > n THEN 'beyond the base' ELSE 'doubled' END AS reason,
+  CASE WHEN page_no > n AND page_no % 4 = 0 THEN 2 ELSE 1 END::BIGINT AS pages
+FROM numbers WHERE page_no > n OR page_no % 4 = 0
+"""
+ORACLE["page_combine_twice"] = f"""
+WITH {_LISTS}, paged AS (
+  SELECT lang AS job_id, source || '.pdf' AS file_name, doc_id,
+    row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS page_no FROM documents)
+SELECT paged.*, row_number() OVER (PARTITION BY job_id ORDER BY upload_seq, file_name, page_no) AS out_page
+FROM paged JOIN lists USING (job_id, file_name)
+"""
+ORACLE["page_combine_unmatched"] = f"""
+WITH {_LISTS}
+SELECT job_id, file_name, upload_seq, status, 'skipped ghost.pdf: no pages' AS message FROM lists WHERE file_name = 'ghost.pdf'
+UNION ALL
+SELECT DISTINCT lang, 'src2.pdf', NULL::BIGINT, NULL, 'skipped src2.pdf: not in the list' FROM documents WHERE source = 'src2'
+"""
+ORACLE["roster_ties"] = f"""
+WITH {_SIGN_UPS}
+SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY entry_no, place, desk) - 1 AS position FROM sign_ups
+"""
+ORACLE["roster_doubles"] = f"""
+WITH {_SIGN_UPS} SELECT event_id, entry_no, count(*) AS times FROM sign_ups GROUP BY ALL HAVING count(*) > 1
+"""
+ORACLE["event_constants_rejects"] = f"""
+WITH {_HOSTS} SELECT event_id, 2::BIGINT AS times FROM hosts WHERE event_id % 3 = 0
+"""
+ORACLE["roster_fee_label_rejects"] = f"""
+WITH {_ROSTER} SELECT event_id, count(DISTINCT entry_no % 2) AS versions FROM roster GROUP BY event_id
+HAVING count(DISTINCT entry_no % 2) > 1
+"""
+_DAMAGED = f"""{_ROSTER}, written AS ({fixtures.DAMAGED_LINES_SQL.format(roster="roster")})"""
+ORACLE["roster_damaged"] = f"""
+WITH {_DAMAGED}
+SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY entry_no) - 1 AS position, name,
+  nullif(affiliation, '') AS affiliation, member_type, fee_attend, fee_dinner, fee_workshop,
+  fee_attend + coalesce(fee_dinner, 0) + fee_workshop AS total
+FROM roster JOIN written USING (event_id, entry_no) WHERE entry_no % 23 <> 5 AND line NOT LIKE '"%'
+"""
+ORACLE["roster_damaged_rejects"] = f"""
+WITH {_DAMAGED}
+SELECT event_id, NULL::VARCHAR AS "column", line AS text,
+  CASE WHEN line LIKE '"%' THEN 'quote not closed' ELSE 'wrong number of cells' END AS reason
+FROM written WHERE entry_no % 23 = 5 OR line LIKE '"%'
+"""
+ORACLE["roster_parquet"] = f"""
+WITH {_ROSTER} SELECT *, fee_attend + coalesce(fee_dinner, 0) + fee_workshop AS total FROM roster
+"""
+ORACLE["roster_parquet_rejects"] = f"""
+WITH {_ROSTER} SELECT DISTINCT event_id, 'not readable' AS reason, 0::BIGINT AS rows FROM roster WHERE event_id % 5 = 0
+"""

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventdocs.operators import badges, citations, contents, numbering, pages, receipts
-from eventdocs.operators.constants import with_constants
-from eventdocs.operators.ordinal import dense_ordinal, use_checkpoints
+from eventdocs.operators.constants import constants_rejects, with_constants
+from eventdocs.operators.ordinal import dense_ordinal, doubled_keys, running_total, tied_ordinal, use_checkpoints
 from eventdocs.plans import fixtures
 from eventdocs.schemas import ROSTER_COLUMNS
 from eventdocs.sinks import tables
+from eventdocs.sources import contents as contents_source
 from eventdocs.sources import feed as feed_source
 from eventdocs.sources import roster as roster_source
 
@@ -93,6 +94,23 @@ def page_overlay(spark: SparkSession, folder: str) -> DataFrame:
     return pages.page_overlay(fixtures.base_pages(spark, folder), numbers, "manuscript")
 
 
+def _doubled_overlay(spark: SparkSession, folder: str) -> DataFrame:
+    """Page numbers of which every fourth comes once more."""
+    numbers = numbering.page_labels(fixtures.overlay_requests(spark, folder), "manuscript")
+    again = numbers.where("page_no % 4 = 0").withColumn("label", F.concat("label", F.lit("b")))
+    return numbers.unionByName(again)
+
+
+def page_overlay_doubled(spark: SparkSession, folder: str) -> DataFrame:
+    """An overlay with doubled pages changes no base page and doubles none."""
+    return pages.page_overlay(fixtures.base_pages(spark, folder), _doubled_overlay(spark, folder), "manuscript")
+
+
+def page_overlay_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlay pages that are doubled or have no base page."""
+    return pages.page_overlay_rejects(fixtures.base_pages(spark, folder), _doubled_overlay(spark, folder), "manuscript")
+
+
 def page_combine(spark: SparkSession, folder: str) -> DataFrame:
     return pages.page_combine(fixtures.file_pages(spark, folder), fixtures.page_files(spark, folder))
 
@@ -106,6 +124,18 @@ def page_combine_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return pages.page_combine_rejects(fixtures.page_files(spark, folder), fixtures.file_pages(spark, folder))
 
 
+def page_combine_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """Files at all places where a list names them."""
+    listed, held = fixtures.page_lists(spark, folder), fixtures.named_pages(spark, folder)
+    return pages.page_combine(held, listed, order=pages.BY_LIST, by=pages.BY_FILE)
+
+
+def page_combine_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are listed without pages, or have pages without being listed."""
+    listed, held = fixtures.page_lists(spark, folder), fixtures.named_pages(spark, folder)
+    return pages.page_combine_rejects(listed, held, by=pages.BY_FILE)
+
+
 def citation_ja(spark: SparkSession, folder: str) -> DataFrame:
     return citations.with_citation_ja(fixtures.articles(spark, folder)).select("doc_id", "citation")
 
@@ -191,12 +221,12 @@ def _new_folder(spark: SparkSession) -> str:
     return f"{use_checkpoints(spark)}/eventdocs-{uuid4().hex}"
 
 
-def _roster_files(spark: SparkSession, folder: str) -> str:
-    """Rosters as CSV files by event, several to an event, with other headers in odd events than in even ones."""
+def _roster_files(spark: SparkSession, folder: str, by: str = "event_id") -> str:
+    """Rosters as CSV files by event, several to an event, with other headers where ``by`` is odd than where it is even."""
     path, cells = _new_folder(spark), fixtures.roster_cells(spark, folder)
     headers = {0: ("参加費", "懇親会参加費", "研修会参加費"), 1: ("fee", "dinner", "trip")}
     for odd, names in headers.items():
-        own = cells.where(F.col("event_id") % 2 == odd).repartition("event_id").sortWithinPartitions("event_id", "entry_no")
+        own = cells.where(F.col(by) % 2 == odd).repartition("event_id").sortWithinPartitions("event_id", "entry_no")
         own = own.select("event_id", *ROSTER_COLUMNS).withColumnsRenamed(dict(zip(ROSTER_COLUMNS[3:6], names)))
         writer = own.write.partitionBy("event_id").mode("append").option("maxRecordsPerFile", 40)
         spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -204,6 +234,61 @@ def _roster_files(spark: SparkSession, folder: str) -> str:
     return path
 
 
+def roster_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions of rows of which a third share one entry number; a slice of more than 1,024 rows is cut."""
+    return tied_ordinal(fixtures.sign_ups(spark, folder), ["event_id"], "entry_no", "position", tie="place", most=1024)
+
+
+def roster_doubles(spark: SparkSession, folder: str) -> DataFrame:
+    """Entry numbers that occur more than once."""
+    return doubled_keys(fixtures.sign_ups(spark, folder), ["event_id"], "entry_no")
+
+
+def event_constants_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that have their constants more than once."""
+    hosts = fixtures.hosts(spark, folder)
+    return constants_rejects(hosts.unionByName(hosts.where("event_id % 3 = 0")))
+
+
+def _damaged_folder(spark: SparkSession, folder: str) -> str:
+    path, lines = _new_folder(spark), fixtures.damaged_lines(spark, folder)
+    placed = lines.repartition("event_id").sortWithinPartitions("event_id", "entry_no")
+    placed.select("event_id", "line").write.partitionBy("event_id").text(path)
+    return path
+
+
+def roster_damaged(spark: SparkSession, folder: str) -> DataFrame:
+    """Attendees of files with damaged lines: only those lines are lost."""
+    rows = roster_source.read_roster_csv(spark, _damaged_folder(spark, folder))
+    return dense_ordinal(rows, ["event_id"], "entry_no", "position").drop("entry_no")
+
+
+def roster_damaged_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The damaged lines, as they are written."""
+    rejects = roster_source.read_roster_rejects(spark, _damaged_folder(spark, folder))
+    return rejects.select("event_id", "column", "text", "reason")
+
+
+def _roster_tables(spark: SparkSession, folder: str) -> str:
+    """Rosters as Parquet files by event, and in every fifth event's folder a file that is no table."""
+    path, rows = _new_folder(spark), fixtures.roster(spark, folder)
+    total = F.col("fee_attend") + F.coalesce("fee_dinner", F.lit(0)) + F.col("fee_workshop")
+    rows.withColumn("total", total).repartition("event_id").write.partitionBy("event_id").parquet(path)
+    garbage = rows.where("event_id % 5 = 0").select("event_id").distinct().withColumn("value", F.lit("no table"))
+    garbage.repartition("event_id").write.partitionBy("event_id").mode("append").text(path)
+    return path
+
+
+def roster_parquet(spark: SparkSession, folder: str) -> DataFrame:
+    """Roster tables beside files that cannot be read."""
+    return roster_source.read_roster_parquet(spark, _roster_tables(spark, folder))
+
+
+def roster_parquet_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The files that cannot be read."""
+    return roster_source.read_roster_parquet_rejects(spark, _roster_tables(spark, folder)).drop("file")
+
+
 def roster_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Roster files read by column position, with each row's position in its event."""
     rows = roster_source.read_roster_csv(spark, _roster_files(spark, folder))
@@ -224,6 +309,12 @@ def roster_fee_labels(spark: SparkSession, folder: str) -> DataFrame:
     return receipts.receipt_items(labelled).select("event_id", "slot_no", "recipient", "amount_text", "fee_label")
 
 
+def roster_fee_label_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Events whose files disagree on the fees' headers, and how many versions they have."""
+    rejects = roster_source.read_fee_label_rejects(spark, _roster_files(spark, folder, by="entry_no"))
+    return rejects.select("event_id", F.size("fee_labels").cast("bigint").alias("versions"))
+
+
 def _feed_folder(spark: SparkSession, folder: str) -> str:
     path = _new_folder(spark)
     fixtures.feed_files(spark, folder).write.partitionBy("feed_id").text(path)
@@ -256,24 +347,70 @@ def receipt_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(items.schema).parquet(path)
 
 
-def _list_lines(spark: SparkSession, items: DataFrame) -> DataFrame:
-    """Lines of a list as written, with their place: part and line."""
-    path = _new_folder(spark)
-    tables.write_html_list(items, path, "lang")
-    files = spark.read.text(path, wholetext=True)
-    lines = F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1)).alias("line_no", "value")
-    rows = files.select("lang", F.col("part").cast("bigint").alias("part"), lines)
-    return rows.withColumn("line_no", F.col("line_no").cast("bigint"))
+def badge_files_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    """Badges of all events, written with wrong names, then again for every second event and again for the others: each
+    write replaces its own events only, and writing twice leaves one copy."""
+    path, layout = _new_folder(spark), badge_layout(spark, folder)
+    tables.write_by_event(layout.withColumn("name", F.lit("wrong")), path, tables.BADGE_ORDER)
+    for odd in (0, 1, 1):
+        tables.write_by_event(layout.where(F.col("event_id") % 2 == odd), path, tables.BADGE_ORDER)
+    return spark.read.schema(layout.schema).parquet(path)
+
+
+def receipt_files_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    """Receipts of all events, then those of every third event once more, in another version."""
+    path, items = _new_folder(spark), receipts.receipt_items(fixtures.roster(spark, folder))
+    tables.write_by_event(items, path, tables.RECEIPT_ORDER)
+    again = items.where("event_id % 3 = 0").withColumn("recipient", F.concat("recipient", F.lit(" *")))
+    tables.write_by_event(again, path, tables.RECEIPT_ORDER)
+    return spark.read.schema(items.schema).parquet(path)
+
+
+#: Part files of the lists that the queries write, so that lists of the small tables have several.
+_PART_BYTES = 1 << 18
+
+
+def _list_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of lists as written, numbered through each list's files in the order of their names."""
+    files = spark.read.text(path, wholetext=True).select("lang", "value", F.col("_metadata.file_name").alias("file"))
+    files = files.withColumn("lines", F.split(F.regexp_replace("value", r"\n\z", ""), "\n", -1))
+    sizes = running_total(files.select("lang", "file", F.size("lines").alias("n")), ["lang"], ["file"], "n", "before")
+    placed = files.join(sizes.select("lang", "file", "before"), ["lang", "file"])
+    rows = placed.select("lang", "before", F.posexplode("lines").alias("at", "value"))
+    return rows.select("lang", (F.col("before") + F.col("at")).alias("line_no"), "value")
 
 
 def citation_list_files(spark: SparkSession, folder: str) -> DataFrame:
     """The English list as written."""
-    return _list_lines(spark, citation_html_en(spark, folder))
+    path = _new_folder(spark)
+    tables.write_html_list(citation_html_en(spark, folder), path, "lang", part_bytes=_PART_BYTES)
+    return _list_lines(spark, path)
 
 
 def citation_list_files_ja(spark: SparkSession, folder: str) -> DataFrame:
     """The Japanese list as written."""
-    return _list_lines(spark, citation_html_ja(spark, folder))
+    path = _new_folder(spark)
+    tables.write_html_list(citation_html_ja(spark, folder), path, "lang", part_bytes=_PART_BYTES)
+    return _list_lines(spark, path)
+
+
+def citation_list_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    """The English list, then the lists of two languages once more and shorter: no old part is left of them."""
+    path, items = _new_folder(spark), citation_html_en(spark, folder)
+    tables.write_html_list(items, path, "lang", part_bytes=1 << 14)
+    again = items.where("lang IN ('en', 'es') AND item_index % 5 = 0")
+    tables.write_html_list(again, path, "lang", part_bytes=_PART_BYTES)
+    return _list_lines(spark, path)
+
+
+def contents_page_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Contents pages read from HTML files."""
+    path, listed = _new_folder(spark), fixtures.contents_pages(spark, folder)
+    listed.select("html", "page_id").repartition("page_id").write.partitionBy("page_id").text(path)
+    read = contents_source.read_contents_pages(spark, path)
+    number = F.regexp_extract("url", "page_id=([0-9]+)", 1).cast("bigint")
+    items = contents.html_items(read.withColumn("page_id", number), ["page_id"])
+    return contents.contents_rows(items, ["page_id"])
 
 
 def contents_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -302,9 +439,13 @@ QUERIES: dict[str, Query] = {
         page_labels,
         page_requests,
         page_overlay,
+        page_overlay_doubled,
+        page_overlay_rejects,
         page_combine,
         page_combine_listed,
         page_combine_rejects,
+        page_combine_twice,
+        page_combine_unmatched,
         citation_ja,
         citation_en,
         citation_rejects,
@@ -317,15 +458,27 @@ QUERIES: dict[str, Query] = {
         feed_entries,
         html_items,
         contents_items,
+        contents_page_files,
+        roster_ties,
+        roster_doubles,
+        event_constants_rejects,
         roster_csv,
         roster_rejects,
+        roster_damaged,
+        roster_damaged_rejects,
+        roster_parquet,
+        roster_parquet_rejects,
         roster_fee_labels,
+        roster_fee_label_rejects,
         feed_file_entries,
         feed_file_rejects,
         badge_files,
         receipt_files,
+        badge_files_replaced,
+        receipt_files_replaced,
         citation_list_files,
         citation_list_files_ja,
+        citation_list_replaced,
         contents_files,
     )
 }

@@ -1,5 +1,8 @@
 """Reading and writing files."""
 
+import gzip
+import re
+
 from pyspark.sql import functions as F
 
 from eventdocs.operators import citations, receipts
@@ -95,9 +98,48 @@ def test_broken_files_are_reported(spark, tmp_path):
     entries = feed_source.read_entries(spark, str(tmp_path))
     assert {r["doi"] for r in entries.collect()} == {"10.0/0", "10.0/3", None}
     assert [r["feed_file"][-5:] for r in feed_source.broken_entries(entries).collect()] == ["a.xml"]
-    assert feed_source.read_feed_entries(spark, str(tmp_path)).count() == 1
+    numbered = feed_source.read_feed_entries(spark, str(tmp_path)).collect()
+    assert {(r["ordinal"], r["doi"]) for r in numbered} == {(0, "10.0/0"), (2, "10.0/2"), (0, "10.0/3")}
     rejects = {r["feed_file"][-5:]: (r["reason"], r["entries"]) for r in feed_source.read_feed_rejects(spark, str(tmp_path)).collect()}
-    assert rejects == {"a.xml": ("not readable as XML", 3)}
+    assert rejects == {"a.xml": ("not readable as XML", 1)}
+
+
+def test_large_feeds_are_read_by_several_tasks(spark, tmp_path):
+    made = [entry(i).replace("<doi>", "<!-- <entry> old </entry> --><doi>") if i % 5 == 0 else entry(i) for i in range(300)]
+    made[7] = made[7].replace("<entry>", '<entry xml:lang="ja"\n id="7">')
+    made[9] = made[9].replace("<doi>10.0/9</doi>", "<doi><![CDATA[</entry> 9]]></doi>")
+    text = feed(290, *made)
+    write(tmp_path / "a.xml", text)
+    whole = {r["doi"]: r["ordinal"] for r in feed_source.read_feed_entries(spark, str(tmp_path)).collect()}
+    assert whole == {("</entry> 9" if i == 9 else f"10.0/{i}"): i for i in range(290)}
+    settings = {"spark.sql.files.maxPartitionBytes": 3000, "spark.sql.files.openCostInBytes": 100}
+    kept = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        pieces = feed_source._pieces(spark, str(tmp_path), [])
+        assert pieces.select("_block").distinct().count() > 20
+        split = {r["doi"]: r["ordinal"] for r in feed_source.read_feed_entries(spark, str(tmp_path)).collect()}
+        assert split == whole and feed_source.read_feed_rejects(spark, str(tmp_path)).collect() == []
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_prefixes_and_feeds_that_break_off(spark, tmp_path):
+    plain = feed(3, entry(0), entry(1), entry(2))
+    names = {m for m in re.findall(r"</?(\w+)", plain)}
+    prefixed = re.sub(r"<(/?)(\w+)", lambda m: f"<{m[1]}a:{m[2]}", plain).replace("xmlns=", "xmlns:a=")
+    assert "entry" in names and "<a:entry>" in prefixed
+    write(tmp_path / "a.xml", prefixed)
+    write(tmp_path / "b.xml", prefixed[: prefixed.rindex("</a:doi>")])
+    write(tmp_path / "c.xml", plain[: plain.rindex("<entry>")])
+    write(tmp_path / "d.xml", feed(2, entry(0), entry(1), entry(2))[:-40])
+    got = feed_source.read_feed_entries(spark, str(tmp_path)).collect()
+    assert {(r["feed_file"][-5], r["ordinal"], r["doi"]) for r in got} == {
+        (f, i, f"10.0/{i}") for f, n in (("a", 3), ("b", 2), ("c", 2), ("d", 2)) for i in range(n)}
+    rejects = {(r["feed_file"][-5], r["reason"], r["entries"]) for r in feed_source.read_feed_rejects(spark, str(tmp_path)).collect()}
+    assert rejects == {("b", "breaks off", 1), ("c", "breaks off", 0), ("d", "breaks off", 0)}
 
 
 def test_feeds_without_a_count_are_reported(spark, tmp_path):
@@ -153,10 +195,34 @@ def test_html_list_is_written_in_order(spark, tmp_path):
     entries = citations.feed_entries(citations.parse_feeds(feeds), ["f"])
     listed = citations.citation_html(entries, ["f"], "en")
     path = tmp_path / "list"
-    tables.write_html_list(listed, str(path), "f", size=3)
-    text = "".join(p.read_text(encoding="utf-8") for p in sorted(path.glob("f=*/part=*/part-*")))
-    wanted = [r["value"] for r in listed.orderBy("f", "item_index").collect()]
-    assert text == "\n".join(wanted) + "\n"
+    for part_bytes in (500, 1 << 20):
+        tables.write_html_list(listed, str(path), "f", part_bytes=part_bytes)
+        text = "".join(p.read_text(encoding="utf-8") for p in sorted(path.glob("f=*/part-*")))
+        wanted = [r["value"] for r in listed.orderBy("f", "item_index").collect()]
+        assert text == "\n".join(wanted) + "\n"
+
+
+def test_lists_are_cut_by_bytes_and_replaced_one_by_one(spark, tmp_path):
+    items = spark.range(0, 5000).select((F.col("id") % 2).alias("f"), F.col("id").alias("item_index"), F.repeat(F.lit("ä"), 50).alias("value"))
+    items = items.unionByName(items.where("item_index < 40").withColumn("f", F.lit(7)))
+    path = tmp_path / "list"
+    tables.write_html_list(items, str(path), "f", part_bytes=50_000)
+    sizes = [p.stat().st_size for p in path.glob("f=*/part-*")]
+    assert sum(sizes) == 5040 * 101 and max(sizes) < 70_000 and 10 <= len(sizes) <= 14
+    kept = (path / "f=0").stat().st_mtime_ns, sorted(p.name for p in (path / "f=0").iterdir())
+    tables.write_html_list(items.where("f = 1 AND item_index < 600"), str(path), "f", part_bytes=50_000)
+    assert sum(p.stat().st_size for p in path.glob("f=1/part-*")) == 300 * 101
+    assert kept == ((path / "f=0").stat().st_mtime_ns, sorted(p.name for p in (path / "f=0").iterdir()))
+
+
+def test_events_are_replaced_one_by_one(spark, tmp_path, make_roster):
+    path = str(tmp_path / "receipts")
+    items = receipts.receipt_items(make_roster({1: 12, 2: 3, 3: 4}))
+    tables.write_by_event(items.where("event_id < 3"), path, tables.RECEIPT_ORDER)
+    for _ in range(2):
+        tables.write_by_event(items.where("event_id > 1"), path, tables.RECEIPT_ORDER)
+    back = spark.read.schema(items.schema).parquet(path).select(items.columns)
+    assert sorted(back.collect(), key=str) == sorted(items.collect(), key=str)
 
 
 def test_contents_pages(spark, tmp_path):
@@ -184,3 +250,106 @@ def test_layouts_by_event(spark, tmp_path, make_roster):
     items = receipts.receipt_items(roster)
     tables.write_by_event(items, str(tmp_path / "receipts"), tables.RECEIPT_ORDER)
     assert spark.read.parquet(str(tmp_path / "receipts")).count() == items.count()
+
+
+def rejects_of(spark, path, **how):
+    return {(r["name"], r["column"], r["text"], r["reason"]) for r in roster_source.read_roster_rejects(spark, str(path), **how).collect()}
+
+
+def names_of(spark, path, **how):
+    return [r["name"] for r in roster_source.read_roster_csv(spark, str(path), **how).orderBy("event_id", "entry_no").collect()]
+
+
+def test_a_quote_that_is_never_closed_costs_its_own_line_only(spark, tmp_path):
+    lines = ["A,x,m,1,2,3,6", 'B,"open,m,1,2,3,6', 'C,"y, z",m,1,2,3,6', "D,,m,0,0,0,0", "", "E,x,m,1,1,1,3"]
+    write(tmp_path / "first/event_id=1/a.csv", HEADER + "\n".join(lines) + "\n")
+    assert names_of(spark, tmp_path / "first") == ["A", "C", "D", "E"]
+    assert rejects_of(spark, tmp_path / "first") == {("B", None, lines[1], "quote not closed")}
+    # In the last cell the number of cells is right, and the line has told all.
+    lines[1] = 'B,x,m,1,2,3,"6'
+    for folder, own in (("last", lines), ("plain", [x.replace('"y, z"', "y") for x in lines])):
+        write(tmp_path / folder / "event_id=1/a.csv", HEADER + "\r\n".join(own) + "\r\n")
+        rows = roster_source.read_roster_csv(spark, str(tmp_path / folder)).orderBy("entry_no").collect()
+        assert [(r["name"], r["total"]) for r in rows] == [("A", 6), ("B", 6), ("C", 6), ("D", 0), ("E", 3)]
+        assert rejects_of(spark, tmp_path / folder) == set()
+
+
+def test_rows_with_another_number_of_cells_are_reported_and_left_out(spark, tmp_path):
+    lines = ["A,x,m,1000", "B,x, y,m,1000,2,3,6", 'C,"x, y",m,1,2,3,6', 'D,"x\ny",m,1']
+    write(tmp_path / "event_id=1/a.csv", HEADER + "\n".join(lines) + "\n")
+    assert names_of(spark, tmp_path) == ["C"]
+    wrong = "wrong number of cells"
+    found = rejects_of(spark, tmp_path)
+    assert {r[1:] for r in found if r[0] in ("A", "B")} == {(None, lines[0], wrong), (None, lines[1], wrong)}
+    assert "".join(sorted(r[2] for r in found if r[0] not in ("A", "B"))) == 'D,"xy",m,1'
+
+
+def test_further_columns_are_no_fault(spark, tmp_path):
+    more = HEADER.replace("\n", ",備考,連絡先\n")
+    write(tmp_path / "event_id=1/a.csv", more + "A,x,m,1,2,3,6,n,t\nB,x,m,1,2,3,6\nC,x,m,1,2,3,6,,\n")
+    write(tmp_path / "event_id=2/a.csv", "氏名,所属\nD,x\n")
+    assert names_of(spark, tmp_path) == ["A", "C"]
+    assert {(r[0], r[3]) for r in rejects_of(spark, tmp_path)} == {(n, "wrong number of cells") for n in ("B", "D", "氏名")}
+    labels = roster_source.read_fee_labels(spark, str(tmp_path)).where("event_id = 1").collect()
+    assert labels[0]["fee_labels"] == ["参加費", "懇親会参加費", "研修会参加費"]
+
+
+def test_long_cells_are_reported(spark, tmp_path):
+    write(tmp_path / "event_id=1/a.csv", HEADER + f"A,{'x' * 30},m,1,2,3,6\nB,x,m,1,2,3,6\n")
+    assert rejects_of(spark, tmp_path, longest=20) == {("A", "affiliation", "x" * 30, "too long")}
+    assert names_of(spark, tmp_path) == ["A", "B"] and rejects_of(spark, tmp_path) == set()
+
+
+def test_rosters_in_another_encoding(spark, tmp_path):
+    path = tmp_path / "event_id=1/a.csv"
+    path.parent.mkdir(parents=True)
+    path.write_bytes((HEADER + "髙橋①,ソ表ー大学,一般,1,2,3,6\n" + '"山田\n太郎",能,一般,"4,000",2,3,6\n').encode("cp932"))
+    rows = roster_source.read_roster_csv(spark, str(tmp_path), encoding="windows-31j").orderBy("entry_no").collect()
+    assert [(r["name"], r["affiliation"], r["fee_attend"]) for r in rows] == [("髙橋①", "ソ表ー大学", 1), ("山田\n太郎", "能", 4000)]
+    labels = roster_source.read_fee_labels(spark, str(tmp_path), encoding="windows-31j").collect()
+    assert labels[0]["fee_labels"] == ["参加費", "懇親会参加費", "研修会参加費"]
+
+
+def files_of(df):
+    return {(r["event_id"], r["file"].rpartition("/")[2], r["reason"], r["rows"]) for r in df.collect()}
+
+
+def test_damaged_parquet_files_are_skipped_and_reported(spark, tmp_path, make_roster):
+    path = tmp_path / "rosters"
+    make_roster({1: 3000, 2: 5}).coalesce(1).write.option("parquet.block.size", 4096).option("parquet.page.row.count.limit", 200).partitionBy("event_id").parquet(str(path))
+    (path / "event_id=2/garbage.parquet").write_text("no table at all")
+    (path / "event_id=3").mkdir()
+    (path / "event_id=3/none.parquet").write_bytes(b"")
+    whole = next((path / "event_id=1").glob("part-*.parquet"))
+    content = whole.read_bytes()
+    (path / "event_id=1/cut.parquet").write_bytes(content[: len(content) // 2])
+    assert roster_source.read_roster_parquet(spark, str(path)).count() == 3005
+    found = files_of(roster_source.read_roster_parquet_rejects(spark, str(path)))
+    assert found == {(1, "cut.parquet", "not readable", 0), (2, "garbage.parquet", "not readable", 0)}
+    # Damage within the pages: the footer still promises all rows.
+    spoilt = bytearray(content)
+    spoilt[len(content) // 2 : len(content) // 2 + 4000] = bytes(4000)
+    (path / "event_id=1/spoilt.parquet").write_bytes(bytes(spoilt))
+    (reason, rows), = {r[2:] for r in files_of(roster_source.read_roster_parquet_rejects(spark, str(path))) if r[1] == "spoilt.parquet"}
+    assert reason == "breaks off" and rows < 3000
+    assert len(roster_source.read_roster_parquet(spark, str(path)).collect()) == 3005 + rows
+
+
+def test_damaged_packed_files_are_read_to_the_damage_and_reported(spark, tmp_path):
+    lines = "".join(f"名{i},所属{i * 7919 % 1000},m,{i},2,3,6\n" for i in range(20_000))
+    packed = gzip.compress((HEADER + lines).encode())
+    (tmp_path / "event_id=1").mkdir()
+    (tmp_path / "event_id=1/whole.csv.gz").write_bytes(packed)
+    (tmp_path / "event_id=1/two.csv.gz").write_bytes(gzip.compress((HEADER + "A,x,m,1,2,3,6\n").encode()) + gzip.compress("B,x,m,1,2,3,6\n".encode()))
+    write(tmp_path / "event_id=2/plain.csv", HEADER + "A,x,m,1,2,3,6\n")
+    write(tmp_path / "event_id=2/void.csv", "")
+    assert files_of(roster_source.read_roster_file_rejects(spark, str(tmp_path))) == set()
+    assert roster_source.read_roster_csv(spark, str(tmp_path)).count() == 20_003
+    (tmp_path / "event_id=3").mkdir()
+    (tmp_path / "event_id=3/torn.csv.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "event_id=3/other.csv.gz").write_bytes(b"no gzip")
+    found = {r[1]: r[2:] for r in files_of(roster_source.read_roster_file_rejects(spark, str(tmp_path)))}
+    assert set(found) == {"torn.csv.gz", "other.csv.gz"} and found["other.csv.gz"] == ("breaks off", 0)
+    assert found["torn.csv.gz"][0] == "breaks off" and found["torn.csv.gz"][1] < 20_000
+    names = {r["name"] for r in roster_source.read_roster_csv(spark, str(tmp_path)).select("name").collect()}
+    assert {"A", "B", "名0", "名19999"} <= names
