@@ -26,9 +26,9 @@ from eventdocs.llm.common import drop_written, keep_only, pieces, with_row_key,
 
 #: Symbols that are hashed together, and at most (longer documents are hashed in overlapping parts).
 _TOGETHER, _PART = 1 << 16, 1 << 20
-#: Bits of a run's place: 25 of the row key, 31 of the first window, 1 for ``again``, 7 of the number of windows.
-_TAG_BITS, _FIRST_BITS = 25, 31
-_TAG = (1 << _TAG_BITS) - 1
+#: A run's place in its row: 31 bits of the first window, 1 for ``again``, 7 of the number of windows. A row is named by its
+#: key and its ``tag``, the whole 64-bit row key.
+_FIRST_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -47,9 +47,8 @@ class Kind:
     shard_symbols: int
 
 
-def _place(row_key: np.ndarray, first: np.ndarray, again: np.ndarray, count: np.ndarray) -> np.ndarray:
-    tag = (row_key.astype(np.int64) & _TAG) << (_FIRST_BITS + 8)
-    return tag | (first.astype(np.int64) << 8) | (again.astype(np.int64) << 7) | count.astype(np.int64)
+def _place(first: np.ndarray, again: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (first.astype(np.int64) << 8) | (again.astype(np.int64) << 7) | count.astype(np.int64)
 
 
 def _first(place: str):
@@ -60,16 +59,14 @@ def _count(place: str):
     return F.col(place).bitwiseAND(F.lit(127))
 
 
-def _tag(place: str):
-    return F.shiftrightunsigned(place, _FIRST_BITS + 8)
-
-
 def _runs(docs: DataFrame, key: str, kind: Kind, place: bool) -> DataFrame:
-    """(m, rh, id, place) of all runs, or (m, times) for the count of keys."""
+    """(m, rh, id, tag, place) of all runs, or (m, times) for the count of keys."""
     fields = [("m", T.LongType())]
-    fields += [("rh", T.LongType()), ("id", docs.schema[key].dataType), ("place", T.LongType())] if place else [
-        ("times", T.IntegerType())
-    ]
+    fields += (
+        [("rh", T.LongType()), ("id", docs.schema[key].dataType), ("tag", T.LongType()), ("place", T.LongType())]
+        if place
+        else [("times", T.IntegerType())]
+    )
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def found(rows: list[int], parts: list[np.ndarray], offsets: list[int]) -> tuple[np.ndarray, ...]:
@@ -105,7 +102,7 @@ def _runs(docs: DataFrame, key: str, kind: Kind, place: bool) -> DataFrame:
                 continue
             own = batch.column("row_key").to_numpy()[row]
             arrays = [pa.array(m), pa.array(rh), batch.column(key).take(pa.array(row))]
-            arrays.append(pa.array(_place(own, first, again, count)))
+            arrays += [pa.array(own), pa.array(_place(first, again, count))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return with_row_key(docs, key).mapInArrow(all_runs, schema)
@@ -124,9 +121,8 @@ def _zipped(docs: DataFrame, key: str) -> DataFrame:
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in pieces(batches, "text"):
-            tag = batch.column("row_key").to_numpy() & _TAG
             zipped = [packer.compress(t) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-            arrays = [batch.column(key), pa.array(tag), pa.array(zipped, pa.binary())]
+            arrays = [batch.column(key), batch.column("row_key"), pa.array(zipped, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return with_row_key(docs, key).mapInArrow(compress, schema)
@@ -143,14 +139,15 @@ def _same(a: DataFrame, b: DataFrame):
 
 
 def _contents(docs: DataFrame, key: str, wanted: DataFrame, kind: Kind, shards: int) -> DataFrame:
-    """(shard, m, rh, id, place, copies, content) of the wanted (m, rh, id, place, copies)."""
+    """(shard, m, rh, id, tag, place, copies, content) of the wanted (m, rh, id, tag, place, copies)."""
     runs = F.collect_list(F.struct("m", "rh", "place", "copies")).alias("runs")
-    lists = wanted.withColumn("tag", _tag("place")).groupBy("id", "tag").agg(runs)
+    lists = wanted.groupBy("id", "tag").agg(runs)
     texts = _zipped(docs, key)
-    joined = texts.join(lists, _same(texts, lists)).select(texts["id"], "zipped", "runs")
+    joined = texts.join(lists, _same(texts, lists)).select(texts["id"], texts["tag"], "zipped", "runs")
     schema = T.StructType(
         [T.StructField("shard", T.IntegerType()), T.StructField("m", T.LongType()), T.StructField("rh", T.LongType())]
-        + [T.StructField("id", docs.schema[key].dataType), T.StructField("place", T.LongType())]
+        + [T.StructField("id", docs.schema[key].dataType), T.StructField("tag", T.LongType())]
+        + [T.StructField("place", T.LongType())]
         + [T.StructField("copies", T.LongType()), T.StructField("content", T.BinaryType())]
     )
 
@@ -171,7 +168,7 @@ def _contents(docs: DataFrame, key: str, wanted: DataFrame, kind: Kind, shards:
                         i += 1
                 shard = ((m.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
                 arrays = [pa.array(shard.astype(np.int32)), pa.array(m), pa.array(rh)]
-                arrays += [batch.column("id").take(pa.array(row)), pa.array(place), pa.array(copies)]
+                arrays += [batch.column(c).take(pa.array(row)) for c in ("id", "tag")] + [pa.array(place), pa.array(copies)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.binary())], names=schema.names)
 
     return joined.mapInArrow(cut, schema)
@@ -187,13 +184,11 @@ def _verdicts(contents: DataFrame, kind: Kind) -> DataFrame:
         # Contents in the order of the corpus, null keys last; places are compared from the first window on.
         known = pa.compute.is_null(table["id"])
         first = pa.compute.bit_wise_and(pa.compute.shift_right(table["place"], 8), (1 << _FIRST_BITS) - 1)
-        order = pa.table({"k": known, "id": table["id"], "p": table["place"], "f": first})
-        tag = pa.compute.shift_right(table["place"], _FIRST_BITS + 8)
-        order = order.append_column("t", pa.compute.bit_wise_and(tag, _TAG))
+        order = pa.table({"k": known, "id": table["id"], "t": table["tag"], "f": first})
         rows = pa.compute.sort_indices(order, [(n, "ascending") for n in ("k", "id", "t", "f")])
         table = table.take(rows).combine_chunks()
         # Repeated rows of a document have sent their contents more than once.
-        pair = np.stack([table["m"].to_numpy(), table["rh"].to_numpy(), table["place"].to_numpy()], 1)
+        pair = np.stack([table[c].to_numpy() for c in ("m", "rh", "tag", "place")], 1)
         table = table.filter(pa.array(np.append(True, (pair[1:] != pair[:-1]).any(1))))
         spans = kind.search(table["content"].to_pylist(), table["copies"].to_numpy(), kind.length)
         hit = [i for i, s in enumerate(spans) if len(s)]
@@ -211,9 +206,9 @@ def removals(docs: DataFrame, key: str, kind: Kind) -> DataFrame:
     runs = written(_runs(docs, key, kind, True).join(repeated, "m"), "runs")
     drop_written(repeated)
 
-    place = F.struct(F.col("id").isNull().alias("last"), "id", _tag("place").alias("tag"), _first("place").alias("f"), "place")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "tag", "place")
     groups = runs.groupBy("m", "rh").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("one"))
-    groups = groups.select("m", "rh", "copies", F.col("one.id").alias("id"), F.col("one.place").alias("place"))
+    groups = groups.select("m", "rh", "copies", *[F.col(f"one.{c}").alias(c) for c in ("id", "tag", "place")])
     groups = written(groups, "contents")
     again = F.max(F.shiftright("place", 7).bitwiseAND(F.lit(1))) == 1
     compared = groups.groupBy("m").agg(((F.count(F.lit(1)) > 1) | again).alias("compared")).where("compared").select("m")
@@ -226,14 +221,17 @@ def removals(docs: DataFrame, key: str, kind: Kind) -> DataFrame:
     verdicts = written(_verdicts(_contents(docs, key, wanted, kind, shards), kind), "verdicts")
 
     ends = groups.join(verdicts, ["m", "rh"], "left").where("spans IS NOT NULL OR copies > 1")
-    ends = ends.select("m", "rh", "copies", F.col("id").alias("one"), F.col("place").alias("one_place"), "spans")
+    ends = ends.select(
+        "m", "rh", "copies", F.col("id").alias("one"), F.col("tag").alias("one_tag"), F.col("place").alias("one_place"), "spans"
+    )
     ends = written(ends, "decisions")
     whole = F.col("copies") > 1
     if kind.keep_first:
-        whole = whole & ~(F.col("id").eqNullSafe(F.col("one")) & (F.col("place") == F.col("one_place")))
+        first = (F.col("tag") == F.col("one_tag")) & (F.col("place") == F.col("one_place"))
+        whole = whole & ~(F.col("id").eqNullSafe(F.col("one")) & first)
     found = runs.join(ends, ["m", "rh"]).select(
         "id",
-        _tag("place").alias("tag"),
+        "tag",
         F.struct(
             _first("place").cast("int").alias("first"),
             F.when(whole, _count("place") + (kind.length - 1)).otherwise(0).cast("int").alias("whole"),

@@ -28,3 +28,16 @@ def exact_groups(texts):
     return roots_by_brute_force(
         sets, lambda i: [j for j, s in enumerate(sets) if 5 * len(sets[i] & s) >= 4 * len(sets[i] | s)]
     )
+
+
+def colliding_texts(spark, key, make, count=30_000):
+    """Two different texts whose row keys under ``key`` share their lowest 25 bits; ``make`` gives the i-th candidate."""
+    from eventdocs.llm.common import with_row_key
+
+    rows = spark.createDataFrame([(key, make(i)) for i in range(count)], "doc_id bigint, text string")
+    seen = {}
+    for r in with_row_key(rows, "doc_id").collect():
+        other = seen.setdefault(r.row_key & (1 << 25) - 1, r.text)
+        if other != r.text:
+            return other, r.text
+    raise AssertionError("no such pair")

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -6,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventdocs.llm import fm_index as fm
-from llm_help import SMALL
+from eventdocs.llm import queries
+from llm_help import SMALL, colliding_texts
 
 
 def test_wavelet_matrix_counts():
@@ -91,3 +93,22 @@ def test_empty_table_repeated_rows_and_null_keys(make_docs):
     docs = make_docs(["a b c d", "a b c d", "x a b c", "n o n e"], [1, 1, None, 2]).withColumn("kept", F.lit(1))
     rows = fm.dedup_windows(docs, length=3).collect()
     assert sorted(bytes(r.kept) for r in rows) == [b"", b"", b"n o n e", b"x"]
+
+
+def test_other_texts_of_the_same_key_lose_nothing(spark, make_docs):
+    def text(i):
+        rng = random.Random(i)
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(40 + i % 9))
+
+    a, b = colliding_texts(spark, 7, text)
+    rows = [(7, a), (7, b), (8, a + " tail"), (None, "n " + a)]
+    got = sorted((r.doc_id or 99, bytes(r.kept).decode()) for r in fm.dedup_windows(make_docs([t for _, t in rows], [k for k, _ in rows])).collect())
+    assert got == sorted([(7, ""), (7, b), (8, "tail"), (99, "n")])
+
+
+def test_query_equals_brute_force(spark):
+    rows = queries.QUERIES["op4_fm_index_dedup"](spark, SMALL)
+    assert rows.dtypes == [(c, "bigint") for c in ("doc_id", "n_words", "n_removed")] + [("kept_sha256", "string")]
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = [(k, n, gone, hashlib.sha256(kept).hexdigest()) for k, kept, n, gone in expected(given, 35)]
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(want)

@@ -1,11 +1,13 @@
+import hashlib
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventdocs.llm import queries
 from eventdocs.llm import suffix_arrays as sa
-from llm_help import SMALL
+from llm_help import SMALL, colliding_texts
 
 
 @pytest.mark.parametrize("bucket", [1, 10**9])
@@ -76,3 +78,19 @@ def test_empty_table_repeated_rows_and_null_keys(make_docs):
     got = sorted((r.doc_id or 99, bytes(r.kept)) for r in rows)
     assert got[0][1] == got[1][1] == (text + "x").encode()
     assert got[2] == (7, b"") and got[3] == (99, b"y")
+
+
+def test_other_texts_of_the_same_key_lose_nothing(spark, make_docs):
+    a, b = colliding_texts(spark, 7, lambda i: "".join(random.Random(i).choices("abcdefghij ", k=153)))
+    rows = [(7, a), (7, b), (8, a + "tail"), (None, b[:120]), (None, "x" * 50)]
+    got = sa.dedup_substrings(make_docs([t for _, t in rows], [k for k, _ in rows])).collect()
+    kept = sorted((r.doc_id is None, r.doc_id or 0, bytes(r.kept).decode()) for r in got)
+    assert kept == sorted([(False, 7, a), (False, 7, b), (False, 8, "tail"), (True, 0, ""), (True, 0, "x" * 50)])
+
+
+def test_query_equals_brute_force(spark):
+    rows = queries.QUERIES["op5_suffix_array_dedup"](spark, SMALL)
+    assert rows.dtypes == [(c, "bigint") for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [("kept_sha256", "string")]
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = {k: (v[1], v[2], v[3], hashlib.sha256(v[0]).hexdigest()) for k, v in expected(given, 100).items()}
+    assert {r.doc_id: tuple(r)[1:] for r in rows.collect()} == want
