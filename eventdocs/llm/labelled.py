@@ -88,12 +88,15 @@ def scored(docs: DataFrame, key: str, score, names: list[str], extra: tuple[str,
         [docs.schema[key], *(docs.schema[e] for e in extra), *(T.StructField(n, T.DoubleType()) for n in names)]
     )
 
+    shown = "text" if "text" in extra else "_text"
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("words")
-        for batch in pieces(rows, "_text", 1 << 20):
-            texts = batch.column("_text").cast(pa.large_binary()).to_pylist()
+        for batch in pieces(rows, shown, 1 << 20):
+            texts = [t or b"" for t in batch.column(shown).cast(pa.large_binary()).to_pylist()]
             found = [pa.array(np.asarray(a, float)) for a in score(texts)]
             kept = [batch.column(n) for n in (key, *extra)]
             yield pa.RecordBatch.from_arrays([*kept, *found], names=schema.names)
 
-    return docs.select(key, *extra, text_of().alias("_text")).mapInArrow(run, schema)
+    others = [] if shown in extra else [text_of().alias("_text")]
+    return docs.select(key, *extra, *others).mapInArrow(run, schema)

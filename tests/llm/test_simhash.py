@@ -164,7 +164,9 @@ def test_near_copies_around_the_threshold(make_docs, monkeypatch):
         texts.append(" ".join(words))
         texts.append(" ".join(changed(rng, words, rng.choice([0.01, 0.02, 0.04]))))
     want = exact_groups(texts)
-    for frequent in (1000, 5):
+    for frequent, known in ((1000, 1 << 20), (5, 1 << 20), (5, 20), (5, 0)):
         monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+        monkeypatch.setattr(jaccard, "KNOWN", known)
+        monkeypatch.setattr(jaccard, "SEEN", 1)
         assert found_groups(make_docs(texts)) == want
     assert 40 < len(set(want)) < len(texts) - 40
