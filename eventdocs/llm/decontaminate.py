@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -21,9 +22,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from eventdocs.llm.common import keep_only, pieces, with_row_key
 
-Q = 8  # a q-gram is one 64-bit word
+#: Characters of a q-gram, which is one 64-bit word. Some patterns of under SHORT_UNDER characters may have so many edits that
+#: they need not share a q-gram of Q characters; for those it has SHORT_Q.
+Q, SHORT_Q, SHORT_UNDER = 8, 5, 32
 BUDGET = 0.1
-#: Characters of a pattern; longer items become several patterns, the last one at the item's end.
+#: Characters of a pattern. An item over SEGMENT characters is held if one of its stretches of this length is, the last of
+#: which is at its end.
 SEGMENT = 512
 #: Bytes of benchmark text that are broadcast at a time, and normalized characters of text worked off at a time.
 BLOCK_BYTES, CHUNK = 8 << 20, 1 << 20
@@ -48,30 +52,36 @@ def _folded(codes: np.ndarray) -> np.ndarray:
     return (codes % 251).astype(np.uint8)
 
 
-def _grams(folded: np.ndarray) -> np.ndarray:
+def _grams(folded: np.ndarray, q: int) -> np.ndarray:
     """The q-gram at every place, as overlapping 64-bit words over the same bytes."""
-    if len(folded) < Q:
+    if len(folded) < q:
         return np.zeros(0, np.uint64)
-    return np.ndarray((len(folded) - Q + 1,), "<u8", np.ascontiguousarray(folded), strides=(1,))
+    padded = folded if q == Q else np.concatenate([folded, np.zeros(Q - q, np.uint8)])
+    words = np.ndarray((len(folded) - q + 1,), "<u8", np.ascontiguousarray(padded), strides=(1,))
+    return words if q == Q else words & np.uint64((1 << 8 * q) - 1)
+
+
+def _stretches(codes: np.ndarray, segment: int) -> list[np.ndarray]:
+    cuts = {min(a, len(codes) - segment) for a in range(0, len(codes), segment)} if len(codes) > segment else {0}
+    return [codes[a : a + segment] for a in sorted(cuts)]
+
+
+def _vouches(size: int, budget: float, q: int) -> bool:
+    """Whether a pattern with all its edits shares a q-gram with its occurrences."""
+    return size + 1 - q * (int(budget * size) + 1) >= 1
 
 
 class Patterns:
-    """The patterns of a block of items (id, text) and their q-gram index."""
+    """Patterns (id, codes), each of ``q`` characters at least, and their q-gram index."""
 
-    def __init__(self, items: Sequence[tuple[int, str]], budget: float = BUDGET, segment: int = SEGMENT):
-        self.ids, self.codes = [], []
-        for item, text in items:
-            codes = _codes(normalized(text or ""))
-            cuts = {min(a, len(codes) - segment) for a in range(0, len(codes), segment)} if len(codes) > segment else {0}
-            for a in sorted(cuts):
-                if len(codes[a : a + segment]) >= Q:
-                    self.ids.append(item)
-                    self.codes.append(codes[a : a + segment])
+    def __init__(self, patterns: Sequence[tuple[int, np.ndarray]], budget: float = BUDGET, segment: int = SEGMENT, q: int = Q):
+        self.q, self.segment = q, segment
+        self.ids, self.codes = [i for i, _ in patterns], [c for _, c in patterns]
         sizes = np.array([len(c) for c in self.codes], np.int64)
-        # As many edits as the budget allows and the lemma can vouch for with at least one shared q-gram.
-        self.edits = np.minimum((budget * sizes).astype(np.int64), np.maximum(0, sizes // Q - 1))
-        self.least = np.maximum(1, sizes + 1 - Q * (self.edits + 1))
-        grams = [_grams(_folded(c)) for c in self.codes]
+        # As many edits as the budget allows. Where the lemma can't vouch for them, only those it can.
+        self.edits = np.minimum((budget * sizes).astype(np.int64), np.maximum(0, sizes // q - 1))
+        self.least = np.maximum(1, sizes + 1 - q * (self.edits + 1))
+        grams = [_grams(_folded(c), q) for c in self.codes]
         flat = np.concatenate([np.zeros(0, np.uint64), *grams])
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
@@ -87,7 +97,7 @@ class Patterns:
 
     def regions(self, folded: np.ndarray) -> list[tuple[int, int]]:
         """(pattern, lowest diagonal of the band) of the bands with enough shared q-grams."""
-        grams = _grams(folded)
+        grams = _grams(folded, self.q)
         if not len(grams) or not len(self.keys):
             return []
         at = np.flatnonzero(self.seen[self._slot(grams)])
@@ -163,8 +173,8 @@ class Patterns:
         return best
 
     def matches(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """For each item found: (edits, start, end) of its best and then first occurrence in the normalized text."""
-        whole, overlap = normalized(text), 4 * SEGMENT
+        """For each item found: (edits, start, end) of its best and then first occurrence in a normalized text."""
+        whole, overlap = text, 4 * self.segment
         found: dict[int, tuple[int, int, int]] = {}
         for at in range(0, max(1, len(whole) - overlap), CHUNK):
             part = _codes(whole[at : at + CHUNK + overlap])
@@ -197,8 +207,8 @@ class Patterns:
                     yield pattern, t, alone
 
     def search(self, texts: Sequence[str]) -> list[dict[int, tuple[int, int, int]]]:
-        """``matches`` of every text; short ones are scanned together."""
-        shown = [normalized(t) for t in texts]
+        """``matches`` of every normalized text; short ones are scanned together."""
+        shown = texts
         found: list[dict] = [{} for _ in texts]
         group: list[int] = []
 
@@ -228,6 +238,42 @@ class Patterns:
         return found
 
 
+class Items:
+    """The patterns of a block of items (id, text), each with the search that finds it with all its edits: by q-grams, by shorter
+    ones, or, under Q characters, where no edit is allowed, as whole words."""
+
+    def __init__(self, items: Sequence[tuple[int, str]], budget: float = BUDGET, segment: int = SEGMENT):
+        by_q: dict[int, list[tuple[int, np.ndarray]]] = {Q: [], SHORT_Q: []}
+        self.words = ahocorasick.Automaton()
+        for item, text in items:
+            shown = normalized(text or "")
+            if 0 < len(shown) < Q:
+                spaced = f" {shown} "
+                self.words.add_word(spaced, (len(shown), self.words.get(spaced, (0, ()))[1] + (item,)))
+            elif shown:
+                for codes in _stretches(_codes(shown), segment):
+                    short = len(codes) < SHORT_UNDER and not _vouches(len(codes), budget, Q)
+                    by_q[SHORT_Q if short else Q].append((item, codes))
+        self.words.make_automaton()
+        self.patterns = [Patterns(own, budget, segment, q) for q, own in by_q.items() if own]
+
+    def search(self, texts: Sequence[str]) -> list[dict[int, tuple[int, int, int]]]:
+        """For each text and each item that it holds: (edits, start, end) of its best and then first occurrence in the
+        normalized text."""
+        shown = [normalized(t) for t in texts]
+        found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        for patterns in self.patterns:
+            for own, hits in zip(found, patterns.search(shown)):
+                for item, hit in hits.items():
+                    own[item] = min(hit, own.get(item, hit))
+        if len(self.words):
+            for own, text in zip(found, shown):
+                for end, (size, items) in self.words.iter(f" {text} "):
+                    for item in items:
+                        own[item] = min((0, end - 1 - size, end - 1), own.get(item, (0, end, end)))
+        return found
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -235,14 +281,15 @@ def find_leaks(
     item: str = "item_id",
     budget: float = BUDGET,
     block_bytes: int = BLOCK_BYTES,
+    segment: int = SEGMENT,
 ) -> DataFrame:
     """(key, row_key, item, edits, start, end) for every row and item whose text the whole text holds.
 
     Texts are compared in lower case with one space for everything that is no letter or digit; an item is held if some
     part of the text differs from it by at most ``budget`` times its length in edits. ``start`` and ``end`` are the best
-    and then first occurrence in that normalized text. Of an item over 512 characters each stretch counts by itself.
-    Items under q = 8 characters, empty and null ones match nothing, and short items allow fewer edits, as the lemma needs
-    a shared q-gram. Null and empty texts hold nothing. Repeated rows and items and null keys each give their own rows;
+    and then first occurrence in that normalized text. An item longer than ``segment`` is held if a stretch of that length
+    is; with a ``segment`` as long as the longest item, only whole items are. Items under 8 characters have no edits and
+    are looked for as whole words. Empty and null items match nothing, null and empty texts hold nothing. Repeated rows and items and null keys each give their own rows;
     empty tables give an empty one; other columns are not read.
 
     Documents are not shuffled. The benchmark is broadcast in blocks of about ``block_bytes``, each searched in all
@@ -262,7 +309,7 @@ def find_leaks(
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep_only("decontamination")
             ids, texts = zip(*block.value) if block.value else ((), ())
-            patterns = Patterns(list(enumerate(texts)), budget)
+            patterns = Items(list(enumerate(texts)), budget, segment)
             for batch in pieces(batches, "text", 4 << 20):
                 at, found = [], []
                 for row, hits in enumerate(patterns.search(batch.column("text").to_pylist())):
@@ -292,7 +339,12 @@ def _blocks(benchmark: DataFrame, item: str, block_bytes: int) -> list[Broadcast
 
 
 def without_leaks(
-    docs: DataFrame, benchmark: DataFrame, item: str = "item_id", budget: float = BUDGET, block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    benchmark: DataFrame,
+    item: str = "item_id",
+    budget: float = BUDGET,
+    block_bytes: int = BLOCK_BYTES,
+    segment: int = SEGMENT,
 ) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, whose whole text holds no item (see ``find_leaks``). No shuffle."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
@@ -300,7 +352,7 @@ def without_leaks(
 
         def clean(batches: Iterator[pa.RecordBatch], block: Broadcast = block) -> Iterator[pa.RecordBatch]:
             keep_only("decontamination")
-            patterns = Patterns(block.value, budget)
+            patterns = Items(block.value, budget, segment)
             for batch in pieces(batches, "text", 4 << 20):
                 hits = patterns.search(batch.column("text").to_pylist())
                 yield batch.filter(pa.array([not h for h in hits], pa.bool_()))

@@ -41,14 +41,14 @@ def words(rng, n):
 
 def test_finds_exactly_what_alignment_with_everything_finds():
     rng = random.Random(2)
-    items = [(i, words(rng, rng.choice([20, 40, 90, 200, 400]))) for i in range(12)]
-    patterns = dc.Patterns(items)
+    items = [(i, words(rng, size)) for i, size in enumerate([9, 10, 11, 15, 20, 22, 23, 30, 31, 40, 90, 200, 400, 511, 1200, 2000])]
+    patterns = dc.Items(items, segment=4000)
     texts = []
-    for _ in range(120):
+    for _ in range(160):
         item = rng.choice(items)[1]
         inner = edited(rng, item, rng.randrange(0, 2 + len(item) // 7))
         texts.append(rng.choice(["", words(rng, 300)]) + inner + rng.choice(["", words(rng, 100)]))
-    allowed = dict(zip(patterns.ids, patterns.edits))
+    allowed = {i: len(dc.normalized(t)) // 10 for i, t in items}
     for text, hits in zip(texts, patterns.search(texts)):
         shown = dc.normalized(text)
         want = {}
@@ -62,6 +62,23 @@ def test_finds_exactly_what_alignment_with_everything_finds():
             assert nearest(dc.normalized(items[i][1]), shown[start:end]) == edits
 
 
+def test_items_of_a_few_characters_are_whole_words():
+    items = [(1, "42, yes!"), (2, "Paris"), (3, "paris"), (4, "a"), (5, "é è"), (6, "...")]
+    texts = ["He said 42 -- YES.", "paris", "comparison parish", "A: É; è", "", "x" * 50 + " paris paris"]
+    found = [{i: h for i, h in sorted(own.items())} for own in dc.Items(items).search(texts)]
+    assert found == [
+        {1: (0, 8, 14)}, {2: (0, 0, 5), 3: (0, 0, 5)}, {}, {4: (0, 0, 1), 5: (0, 2, 5)}, {}, {2: (0, 51, 56), 3: (0, 51, 56)}
+    ]
+
+
+def test_long_items_are_held_by_a_stretch_or_as_a_whole():
+    rng = random.Random(6)
+    item = words(rng, 1889)
+    text = words(rng, 100) + item[450:1200] + words(rng, 100)
+    assert list(dc.Items([(1, item)]).search([text])[0]) == [1]
+    assert dc.Items([(1, item)], segment=2000).search([text, "so " + item]) == [{}, {1: (0, 3, 3 + len(dc.normalized(item)))}]
+
+
 def test_whole_table(spark):
     docs, bench = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "benchmark"))
     found = {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, bench).collect()}
@@ -85,6 +102,6 @@ def test_odd_rows(spark, make_docs):
     docs = make_docs(texts, [0, 1, 2, 3, 3, 5, None]).withColumn("start", F.lit(1))
     rows = dc.find_leaks(docs, items).collect()
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.item_id or 0, r.edits) for r in rows)
-    assert got == [(-1, 0, 0)] + [(3, 1, 0)] * 4 + [(5, 1, 0)] * 2
+    assert got == [(-1, 0, 0), (2, 4, 0)] + [(3, 1, 0)] * 4 + [(5, 1, 0)] * 2
     assert dc.find_leaks(make_docs([]), items).collect() == []
     assert dc.find_leaks(docs, items.limit(0)).collect() == []
