@@ -517,3 +517,6 @@ WITH {_ROSTER} SELECT *, fee_attend + coalesce(fee_dinner, 0) + fee_workshop AS
 ORACLE["roster_parquet_rejects"] = f"""
 WITH {_ROSTER} SELECT DISTINCT event_id, 'not readable' AS reason, 0::BIGINT AS rows FROM roster WHERE event_id % 5 = 0
 """
+ORACLE["feed_broken_entries"] = f"""
+WITH {_ARTICLES}, {_FEED_NUMBERED} SELECT DISTINCT feed_id FROM numbered WHERE feed_id % 7 = 3 AND feed_id % 5 <> 4
+"""

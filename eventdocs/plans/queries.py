@@ -333,6 +333,13 @@ def feed_file_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.select(F.col("feed_id").cast("bigint").alias("feed_id"), "reason", "entries")
 
 
+def feed_broken_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """Feeds whose entries, read one by one without their number, stop being XML."""
+    entries = feed_source.read_entries(spark, _feed_folder(spark, folder))
+    number = F.regexp_extract("feed_file", "feed_id=([0-9]+)", 1).cast("bigint")
+    return feed_source.broken_entries(entries).select(number.alias("feed_id"))
+
+
 def badge_files(spark: SparkSession, folder: str) -> DataFrame:
     """The badge layout written by event and read back."""
     path, layout = _new_folder(spark), badge_layout(spark, folder)
@@ -472,6 +479,7 @@ QUERIES: dict[str, Query] = {
         roster_fee_label_rejects,
         feed_file_entries,
         feed_file_rejects,
+        feed_broken_entries,
         badge_files,
         receipt_files,
         badge_files_replaced,
