@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from eventdocs.llm.common import drop_written, keep_only, pieces, text_of, written
 
 BUCKETS = 1 << 16
-#: Bounds of a training sample: rows of one label, and words of one row. They bound what the driver holds.
-SAMPLE_ROWS, SAMPLE_WORDS = 6_000, 3_000
+#: Bounds of a training sample: rows of one label, words and bytes of one row, and labels. They bound what the driver holds.
+SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_BYTES, MOST_LABELS = 6_000, 3_000, 1 << 15, 16
 _CACHED_WORDS, _CACHED_BYTES = 400_000, 100
 _ENDS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‚‘’¿¡…–—"
 
@@ -60,16 +60,19 @@ def sample(
 ) -> list:
     """At most ``rows`` rows (label, text, *extra) of each label, taken in the order of the key's hash.
 
-    Only labelled rows outside the held-out fold with at most ``words`` words are eligible, so the driver holds a bounded
-    number of words. Null labels and null keys are left out; a key that is labelled twice counts once per label.
+    Only labelled rows outside the held-out fold with at most ``words`` words and SAMPLE_BYTES bytes are eligible, so what the
+    driver holds is bounded. More than MOST_LABELS labels raise an error. Null labels and null keys are left out; a key that is labelled twice counts once per label.
     """
     marked = labels.where(~held_out(key) & F.col(key).isNotNull())
     marked = marked.select(key, label.alias("_label")).where("_label IS NOT NULL").distinct()
     texts = docs.select(key, text_of().alias("_text"), *extra)
     # Narrow rows first: which keys are taken is decided without their texts.
-    short = texts.where(F.size(F.split("_text", "[ \t\n\x0b\f\r]+")) <= words).select(key)
+    short = texts.where(F.octet_length("_text") <= SAMPLE_BYTES)
+    short = short.where(F.size(F.split("_text", "[ \t\n\x0b\f\r]+")) <= words).select(key)
     eligible = written(short.join(marked, key).distinct(), "labelled")
-    kinds = sorted(r[0] for r in eligible.select("_label").distinct().limit(16).collect())
+    kinds = sorted(r[0] for r in eligible.select("_label").distinct().limit(MOST_LABELS + 1).collect())
+    if len(kinds) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     taken = [
         eligible.where(F.col("_label") == kind).orderBy(F.xxhash64(key), key).limit(rows) for kind in kinds
     ]
