@@ -188,13 +188,16 @@ def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], val
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the shared one it names, or one in its warehouse, which is shared too."""
+    """Checkpoint folder of the session: the shared one that it names. On one machine it may name none, and one beside the
+    warehouse serves; on a cluster that might be a machine's own, so there it is an error."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
