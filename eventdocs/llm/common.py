@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventdocs.operators.ordinal import use_checkpoints
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,12 +29,8 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; where none is named (tests), one beside the session's warehouse."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return context.getCheckpointDir()
+    """The session's checkpoint folder, see ``use_checkpoints``."""
+    return use_checkpoints(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -19,7 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventdocs.llm.common import BLANKS, drop_written, keep_only, pieces, same_row, with_row_key, written, parts
+from eventdocs.llm.common import (
+    BLANKS,
+    drop_path,
+    drop_written,
+    keep_only,
+    new_path,
+    parts,
+    pieces,
+    same_row,
+    with_row_key,
+    written,
+)
 
 MIN_DOCS = 10
 BATCHES = 8
@@ -33,20 +44,20 @@ def line_key(line: bytes) -> bytes:
 
 
 class LineRuns:
-    """The levelled runs. They live as bucketed tables in the session's shared warehouse until ``clear``."""
+    """The levelled runs. They live as bucketed tables in the session's shared folder until ``clear``."""
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.buckets = buckets or parts(spark)
         self.levels: list[list[str]] = [[]]
         self._name = f"line_runs_{uuid.uuid4().hex}"
-        self._count = 0
+        self._paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        name = f"{self._name}_{level}_{self._count}"
-        self._count += 1
-        placed = rows.repartition(self.buckets, "h1")
-        placed.write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").saveAsTable(name)
+        name = f"{self._name}_{level}_{len(self._paths)}"
+        self._paths[name] = new_path(self.spark, "line-run")
+        writer = rows.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2")
+        writer.option("path", self._paths[name]).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -79,6 +90,7 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(self.spark, self._paths[name])
 
     def clear(self) -> None:
         self._drop(self.names())
