@@ -88,19 +88,16 @@ def _splits(pieces: DataFrame) -> DataFrame:
     known = F.when(F.col("_total").isNotNull() & F.col("_outside"), F.col("_at"))
     counted = told.groupBy(*_SPLIT, "_mark_before").agg(
         F.sum(F.col("_closes").cast("bigint")).alias("_entries"),
-        F.max_by(F.col("_opens"), "_at").alias("_open"),
         F.min_by("_total", known).alias("_total"),
         # Whether the last piece is the start of an entry that goes on; at the end of a file, of one that breaks off.
         F.max_by(F.col("_began"), "_at").alias("_open_last"),
         F.max("_ends").alias("_ends"),
     )
     whole = Window.partitionBy("feed_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ordered = Window.partitionBy("feed_file").orderBy("_block")
     return counted.select(
         *_SPLIT,
         "_mark_before",
         F.coalesce(F.sum("_entries").over(before), F.lit(0)).alias("_start"),
-        F.coalesce(F.lag("_open").over(ordered), F.lit(False)).alias("_open_before"),
         F.first("_total", ignorenulls=True).over(whole).alias("totalResults"),
         F.sum("_entries").over(whole).alias("_found"),
         F.col("_open_last").alias("_unfinished"),
