@@ -154,6 +154,18 @@ def test_near_copies_equal_exact_jaccard_on_whole_table(spark):
     assert found_groups(docs) == exact_groups(texts)
 
 
+def test_shapes_bound_what_sets_share():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        common = rng.integers(0, 1 << 63, rng.integers(0, 900)).astype(np.uint64) * np.uint64(2)
+        own = [rng.integers(0, 1 << 63, rng.integers(0, 300)).astype(np.uint64) * np.uint64(2) + np.uint64(1) for _ in "ab"]
+        a, b = (np.unique(np.concatenate([common, x])) for x in own)
+        shapes = [np.frombuffer(jaccard._shape(x), np.uint8) for x in (a, b)]
+        most = jaccard._most_common(*shapes)
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b)) and most == jaccard._most_common(*shapes[::-1])
+    assert jaccard._shape(np.arange(300, dtype=np.uint64)) == b"" and jaccard._most_common(np.zeros(0), np.ones(4)) is None
+
+
 def test_near_copies_around_the_threshold(make_docs, monkeypatch):
     rng = random.Random(4)
     texts = [" ".join(f"s{i}x{k}" for k in range(n)) for i in range(40) for n in (9, 8)]  # 5 shingles and 4 of them: 0.8
